@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontaminate, mixture, url_rules
-from weftline.llm.common import table
+from weftline.llm import chat, decontaminate, html_text, langid, licenses, mixture, parity_join, quality, url_rules, vector_join
+from weftline.llm.common import hash_fold, table
 
 #: Fixed by the contract: host, path, verdict.
 URL_RULES = (
@@ -18,10 +18,40 @@ URL_RULES = (
 )
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(hash_fold("doc_id", 4) == 2, F.lit(False))
+    model = langid.fit(docs.where(hash_fold("doc_id", 4) != 2))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(hash_fold("doc_id", 5) == 0, F.lit(False))
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(hash_fold("doc_id", 5) != 0))
+    return quality.rate(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan_licenses(docs, licenses.fit(docs))
+    families = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"])))
+    return found.select(
+        "doc_id",
+        F.array_join(families, ",").alias("families"),
+        F.size("licenses").cast("long").alias("n_paragraphs"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda x: x["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -40,15 +70,29 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
     return {
+        "op1_language": op1_language,
+        "op2_quality": op2_quality,
         "op3_source_mix": op3_source_mix,
+        "op4_jaccard_join": op4_jaccard_join,
+        "op5_licenses": op5_licenses,
         "op6_chat_format": op6_chat_format,
         "op7_url_rules": op7_url_rules,
+        "op8_near_vectors": op8_near_vectors,
+        "op9_main_text": op9_main_text,
         "op10_decontaminate": op10_decontaminate,
     }
 
@@ -79,6 +123,35 @@ best AS (
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (n)
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT row_no, list_slice(w, i, i + 4) AS s FROM (SELECT row_no, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT row_no, count(*) AS n FROM g GROUP BY row_no),
+p AS (
+  SELECT a, b FROM (SELECT x.row_no AS a, y.row_no AS b, count(*) AS shared FROM g x JOIN g y ON x.s = y.s AND x.row_no <> y.row_no GROUP BY 1, 2)
+  JOIN n na ON na.row_no = a JOIN n nb ON nb.row_no = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+r(a, b) AS (SELECT row_no, row_no FROM d UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b)
+SELECT d.doc_id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d JOIN r ON r.a = d.row_no JOIN d o ON o.row_no = r.b LEFT JOIN n ON n.row_no = d.row_no GROUP BY d.row_no, d.doc_id
+"""
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS row_no, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT x.row_no AS a, y.row_no AS b FROM ok x JOIN ok y ON x.row_no <> y.row_no AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+r(a, b) AS (SELECT row_no, row_no FROM v UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+c AS (SELECT r.a AS row_no, min(o.vec_id) AS component_id FROM r JOIN v o ON o.row_no = r.b GROUP BY r.a),
+k AS (SELECT a AS row_no, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c USING (row_no) LEFT JOIN k USING (row_no)
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -101,4 +174,4 @@ FROM d LEFT JOIN pos USING (row_no) LEFT JOIN its USING (row_no)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op8_near_vectors": OP8_SQL, "op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL, "op10_decontaminate": OP10_SQL}
