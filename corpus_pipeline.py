@@ -1,7 +1,65 @@
-"""Corpus pipeline; stages follow."""
+"""Corpus pipeline over documents: quality, language, near-duplicates, benchmark items, mixture.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before
+kept and returns the columns of documents, the last one the mixture's. ``run``
+writes what a stage returns as Parquet in the shared folder and reads it back
+for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import decontaminate, langid, mixture, parity_join, quality
+from weftline.llm.common import hash_fold, materialize, table
+
+#: Least calibrated probability of the language of a kept document.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts good."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(hash_fold("doc_id", 5) != 0))
+    return quality.rate(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified with some certainty; those without letters or of a mixed language go."""
+    model = langid.fit(docs.where(hash_fold("doc_id", 4) != 2))
+    rated = langid.identify(docs, model)
+    return rated.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return parity_join.near_duplicates_removed(docs).select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words taken of each document for the target weights of the sources."""
+    return mixture.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("benchmark", benchmark_stage),
+    ("mixture", mixture_stage),
+]
+
+#: Trained models and seeded choices are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
