@@ -8,10 +8,12 @@ bits than the sets differ in shingles, which bounds the difference from below.
 Sketches are compared within size bands. A band cuts the sketch into segments;
 by the pigeonhole principle two similar sets differ in at most d segments, so
 among m segments at least m - d are equal. Segments are ranked by their content
-(number of shingles first), and a set is posted under its d + 1 highest: the
-highest of the equal segments is among these for both sets, so no pair is lost.
-Postings meet in an equi-join; the distance of whole sketches drops most chance
-meetings, and the shingles of the rest are compared.
+(number of shingles first), and a set is posted under its d + 1 + x highest: the
+highest 1 + x of the equal segments are among these for both sets. Every set then
+leaves out its x most frequent postings; the rarest posting of two similar sets
+stays in both, so no pair is lost, while sets that share a passage only fall
+apart. Postings meet in an equi-join; the distance of whole sketches drops most
+chance meetings, and the shingles of the rest are compared.
 
 Copies (equal sequences of words) are one class and are joined once. Within a
 posting the classes first meet the least one only; after components are known,
@@ -82,10 +84,13 @@ def shingles(words: list[bytes], step: int = 100_000) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
+def _segments(band: int) -> int:
+    return 4 + (LEAST << band)
+
+
 def _posted(found: np.ndarray, band: int, top: int) -> np.ndarray:
     """Keys of the ``top`` highest segments of a band's sketch."""
-    segments = 4 + (26 << band) // 10
-    top = min(top, segments)
+    segments = _segments(band)
     at = ((found >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)  # rises with the hash
     first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
     mark = np.bitwise_xor.reduceat(found, first)
@@ -99,17 +104,21 @@ def _posted(found: np.ndarray, band: int, top: int) -> np.ndarray:
     return mix64(mark ^ mix64(place + np.uint64((band + 1) << 40)))
 
 
-def postings(found: np.ndarray) -> np.ndarray:
-    """Keys under which a set meets all sets similar to it."""
+def postings(found: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For its own band, and for the one below if a similar set can be there: how many postings may be left out, and the keys."""
     n = len(found)
     if n < LEAST:
-        return np.empty(0, dtype=np.uint64)
+        return []
     band = (n // LEAST).bit_length() - 1
-    keys = [_posted(found, band, n // 4 + 1)]
+    wanted = [(band, n // 4)]
     below = (LEAST << band) - 1  # largest size of the band below
     if band and 5 * below >= 4 * n:
-        keys.append(_posted(found, band - 1, (below + n) // 9 + 1))
-    return np.concatenate(keys)
+        wanted.append((band - 1, (below + n) // 9))
+    out = []
+    for b, differ in wanted:
+        spare = ((LEAST << b) // 4 + 1) // 2  # alike for all sets of a band, else a pair could lose its rarest posting
+        out.append((spare, _posted(found, b, differ + 1 + spare)))
+    return out
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -129,10 +138,13 @@ def may_link(n_a: int, sketch_a: bytes, n_b: int, sketch_b: bytes) -> bool:
     return 9 * int(np.bitwise_count(a ^ b).sum()) <= n_a + n_b
 
 
+_LISTS = pa.list_(pa.struct([("spare", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # classes of this task; their copies are not posted again
     for batch in batches:
-        cids, sizes, sketches, keys = [], [], [], []
+        cids, sizes, sketches, lists = [], [], [], []
         for text in batch.column("text").cast(pa.binary()):
             words = normal_words(text.as_py())
             found = shingles(words)
@@ -142,10 +154,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cids.append(cid)
             sizes.append(len(found))
             sketches.append(sketch(found) if fresh else None)
-            keys.append(postings(found).view(np.int64) if fresh else None)
+            lists.append([{"spare": spare, "keys": keys.view(np.int64)} for spare, keys in postings(found)] if fresh else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row_key"), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "row_key", "cid", "n", "sketch", "keys"],
+            [batch.column("doc_id"), batch.column("row_key"), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(lists, _LISTS)],
+            names=["doc_id", "row_key", "cid", "n", "sketch", "lists"],
         )
 
 
@@ -159,16 +171,54 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose shingles reach the similarity."""
-    last: tuple[int | None, np.ndarray] = (None, np.empty(0, dtype=np.uint64))
+    held: dict[int, np.ndarray] = {}
+
+    def of(cid: int, text: pa.Scalar) -> np.ndarray:
+        if cid not in held:
+            if len(held) >= 256:
+                held.clear()
+            held[cid] = shingles(normal_words(text.as_py()))
+        return held[cid]
+
     for batch in batches:
-        held = []
-        for b, text_a, text_b in zip(*(batch.column(c) for c in ("b", "text_a", "text_b")), strict=True):
-            if last[0] != b.as_py():
-                last = (b.as_py(), shingles(normal_words(text_b.as_py())))
-            x, y = shingles(normal_words(text_a.as_py())), last[1]
+        good = []
+        for a, b, text_a, text_b in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b")), strict=True):
+            x, y = of(a.as_py(), text_a), of(b.as_py(), text_b)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            held.append(100 * both >= 80 * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
+            good.append(100 * both >= 80 * (len(x) + len(y) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _compare(block: pa.Table) -> pa.Table:
+    """Pairs of different components in one block of a crowded posting that sizes and sketches allow; each pair only under the least posting that both sets have."""
+    key, i, j = (block[c][0].as_py() for c in ("key", "i", "j"))
+    place = np.array(block["b"])
+    cids, parts, sizes = (np.array(block[c]) for c in ("cid", "part", "n"))
+    sketches, keys = block["sketch"].to_pylist(), block["keys"].to_pylist()
+    width = min(map(len, sketches))
+    words = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in sketches])
+    words = np.pad(words, ((0, 0), (0, -width % 8))).view(np.uint64)
+    left, right = np.flatnonzero(place == i), np.flatnonzero(place == j)
+    out_a, out_b = [], []
+    for p, row in enumerate(left.tolist()):
+        others = right[p + 1 :] if i == j else right
+        small, large = np.minimum(sizes[others], sizes[row]), np.maximum(sizes[others], sizes[row])
+        others = others[(parts[others] != parts[row]) & (5 * small >= 4 * large)]
+        apart = np.bitwise_count(words[others] ^ words[row]).sum(axis=1, dtype=np.int64)
+        for other in others[9 * apart <= sizes[others] + sizes[row]].tolist():
+            if min(set(keys[row]).intersection(keys[other])) == key:
+                out_a.append(int(min(cids[row], cids[other])))
+                out_b.append(int(max(cids[row], cids[other])))
+    return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+
+def _crowded(members: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) left in postings of many sets: blocks of a posting are compared with each other, each in a task of its own."""
+    own = members.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # at most a set's postings
+    blocks = F.ceil(F.col("sets") / block).cast("int")
+    held = members.join(own, "cid").join(classes, "cid").withColumns({"b": F.pmod(F.hash("cid"), blocks), "x": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    dealt = held.select("key", "cid", "part", "n", "sketch", "keys", "b", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"))
+    return dealt.groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long")
 
 
 def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -183,7 +233,7 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, texts: DataFra
     return materialize(both.mapInArrow(_verified, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", few: int = 32, block: int = 512) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, cid (class of copies), component_id.
 
     component_id is the smallest doc_id that links reach. Null texts and texts
@@ -192,30 +242,39 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     sought; a component of null ids only has a null id. Rows that share a doc_id
     but not a text are documents of their own. An empty table gives no rows.
     Classes are known by 64 bits of MD5: two different texts are taken for one
-    with a probability of 2**-64.
+    with a probability of 2**-64. Postings with more than ``few`` open sets are
+    compared in blocks of ``block`` sets inside tasks, the others as pairs.
     """
     texts = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    rows = materialize(texts.mapInArrow(_features, "doc_id long, row_key long, cid long, n long, sketch binary, keys array<long>"))
-    first = rows.where("keys is not null")
+    rows = materialize(texts.mapInArrow(_features, "doc_id long, row_key long, cid long, n long, sketch binary, lists array<struct<spare:int,keys:array<bigint>>>"))
+    first = rows.where("lists is not null")
     classes = first.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     by_key = Window.partitionBy("key")
+    by_set = Window.partitionBy("cid", "list").orderBy(F.desc("sets"), "key")
+    posted = first.select("cid", F.posexplode("lists").alias("list", "l")).select("cid", "list", "l.spare", F.explode("l.keys").alias("key"))
     shared = materialize(
-        first.select("cid", F.explode("keys").alias("key"))
-        .withColumn("least", F.min("cid").over(by_key))
-        .withColumn("most", F.max("cid").over(by_key))
+        posted.withColumns({"least": F.min("cid").over(by_key), "most": F.max("cid").over(by_key), "sets": F.count("*").over(by_key)})
         .where("least <> most")
-        .select("key", "cid", "least")
+        .select("key", "cid", "list", "spare", "sets")
         .distinct()
+        .withColumn("rank", F.row_number().over(by_set))
+        .where("rank > spare")
+        .select("key", "cid")
+        .distinct()
+        .withColumn("least", F.min("cid").over(by_key))
     )
     stars = materialize(shared.where("least <> cid").select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct())
     links = _links(stars, classes, rows, texts)
     found = connected_components(links)
 
+    # what different components still share
     of = found.select(F.col("node").alias("cid"), "component")
     placed = shared.join(of, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("part"))
-    open_ = placed.withColumn("lo", F.min("part").over(by_key)).withColumn("hi", F.max("part").over(by_key)).where("lo <> hi").select("key", "cid", "part")
-    x, y = (open_.select("key", F.col("cid").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
-    rest = materialize(x.join(y, "key").where("a < b and part_a <> part_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
+    open_ = placed.withColumns({"lo": F.min("part").over(by_key), "hi": F.max("part").over(by_key), "sets": F.count("*").over(by_key)}).where("lo <> hi").select("key", "cid", "part", "sets")
+    open_ = materialize(open_)
+    x, y = (open_.where(F.col("sets") <= few).select("key", F.col("cid").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
+    rest = x.join(y, "key").where("a < b and part_a <> part_b").select("a", "b")
+    rest = materialize(rest.unionByName(_crowded(open_.where(F.col("sets") > few), classes, block)).distinct().join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = _links(rest, classes, rows, texts)
         if not more.isEmpty():
