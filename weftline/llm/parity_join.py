@@ -234,7 +234,7 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, texts: DataFra
 
 
 def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", few: int = 32, block: int = 512) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, cid (class of copies), component_id.
+    """One row per row of docs: doc_id, n_shingles, cid (class of copies), component_id, row_key (of id and text).
 
     component_id is the smallest doc_id that links reach. Null texts and texts
     without words have no shingles, no class, and their own doc_id as component.
@@ -284,12 +284,15 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     owners = owners.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("cid", "least_doc", F.coalesce("component", "cid").alias("part"))
     least = owners.groupBy("part").agg(F.min("least_doc").alias("component_id"))
     named = owners.join(least, "part").select("cid", "component_id")
-    empty = rows.where("cid is null").select("doc_id", F.col("n").alias("n_shingles"), "cid", F.col("doc_id").alias("component_id"))
-    return rows.where("cid is not null").join(named, "cid").select("doc_id", F.col("n").alias("n_shingles"), "cid", "component_id").unionByName(empty)
+    empty = rows.where("cid is null").select("doc_id", F.col("n").alias("n_shingles"), "cid", F.col("doc_id").alias("component_id"), "row_key")
+    return rows.where("cid is not null").join(named, "cid").select("doc_id", F.col("n").alias("n_shingles"), "cid", "component_id", "row_key").unionByName(empty)
 
 
 def near_duplicates_removed(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id; one of its repeated rows stays."""
-    kept = jaccard_components(docs, doc_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, docs[doc_col].eqNullSafe(kept["_kept"]), "left_semi")
-    return one.dropDuplicates([doc_col])
+    """docs with one document of each component: that of the smallest doc_id; one of its repeated rows stays.
+
+    A component of null ids only keeps all its texts. The texts are shuffled once.
+    """
+    key = F.xxhash64(F.col(doc_col), F.col(text_col).cast("string"))
+    kept = jaccard_components(docs, doc_col, text_col).where("doc_id <=> component_id").select(F.col("row_key").alias("_row_key")).distinct()
+    return docs.withColumn("_row_key", key).join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
