@@ -139,7 +139,7 @@ def range_errors(spark, sf_dir):
 
 @query(
     "top_quintile_lift",
-    chain("panel", more={"r": "SELECT *, row_number() OVER (PARTITION BY asset ORDER BY vol_rank252 DESC, date) AS n, count(*) OVER (PARTITION BY asset) AS k FROM panel"}) + f"SELECT asset, {h('(avg(next_true_range) FILTER (n <= greatest(1, ceil(k * 0.2e0)))) / avg(next_true_range)', 6)} AS lift FROM r GROUP BY asset",
+    chain("panel", more={"r": "SELECT *, row_number() OVER (PARTITION BY asset ORDER BY vol_rank252 DESC, date) AS place, count(*) OVER (PARTITION BY asset) AS all_rows FROM panel"}) + f"SELECT asset, {h('(avg(next_true_range) FILTER (place <= greatest(1, ceil(all_rows * 0.2e0)))) / avg(next_true_range)', 6)} AS lift FROM r GROUP BY asset",
 )
 def top_quintile_lift(spark, sf_dir):
     return metrics.top_share_lift(panel_rows(spark, sf_dir), "vol_rank252", "next_true_range", "asset", "date")
@@ -274,10 +274,10 @@ def calendar_gap(spark, sf_dir):
 
 _WEIGHTS = {
     "k": "SELECT *, left(asset, 1) AS cluster FROM panel",
-    "wr": "SELECT cluster, asset, count(*) AS r FROM k GROUP BY ALL",
-    "wc": "SELECT cluster, count(*) AS a, sum(r) AS i FROM wr GROUP BY cluster",
-    "wt": "SELECT count(*) AS c, sum(i) AS t FROM wc",
-    "w": "SELECT k.*, CAST(t AS DOUBLE) / c / a / r AS weight FROM k JOIN wr USING (cluster, asset) JOIN wc USING (cluster) CROSS JOIN wt",
+    "wr": "SELECT cluster, asset, count(*) AS n_rows FROM k GROUP BY ALL",
+    "wc": "SELECT cluster, count(*) AS n_assets, sum(n_rows) AS n_in FROM wr GROUP BY cluster",
+    "wt": "SELECT count(*) AS n_clusters, sum(n_in) AS n_all FROM wc",
+    "w": "SELECT k.*, CAST(n_all AS DOUBLE) / n_clusters / n_assets / n_rows AS weight FROM k JOIN wr USING (cluster, asset) JOIN wc USING (cluster) CROSS JOIN wt",
 }
 
 
