@@ -150,7 +150,7 @@ def trailing_intervals(rows: DataFrame, predicted: str, actual: str, points: lis
     for k, p in enumerate(points):
         own = half_up(F.percentile("_q", p).over(before), 8)
         blend = share * F.coalesce(own, F.lit(0.0)) + (1.0 - share) * F.col(f"_g{k}")
-        held = held.withColumn(f"bound{k}", half_up(blend * F.col(predicted), 6))
+        held = held.withColumn(f"bound{k}", half_up(blend * F.col(predicted), 4))
     return held.drop("_q", *(f"_g{k}" for k in range(len(points))))
 
 

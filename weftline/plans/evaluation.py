@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scalar import WEATHER, half_up, weather_grade
@@ -282,7 +283,8 @@ _WEIGHTS = {
 
 
 def weighted_rows(spark, sf_dir):
-    return models.hierarchical_weights(panel_rows(spark, sf_dir).withColumn("cluster", F.substring("asset", 1, 1)), "cluster", "asset")
+    rows = panel_rows(spark, sf_dir).withColumn("cluster", F.substring("asset", 1, 1)).cache()  # counted at three levels
+    return models.hierarchical_weights(rows, "cluster", "asset")
 
 
 @query("weights_hierarchical", chain("panel", more=_WEIGHTS) + f"SELECT cluster, asset, count(*) AS rows, {h('max(weight)', 6)} AS weight FROM w GROUP BY cluster, asset")
@@ -312,33 +314,46 @@ def base_rate_and_scale(spark, sf_dir):
 PREDICTORS = ["log_atr", "rsi14", "sma_gap20", "realized_vol20"]
 
 
+def _placed(spark, sf_dir):
+    """Weighted panel with the logarithm of the range predictor and each row's place (0 to 1) in its series."""
+    w = Window.partitionBy("asset")
+    place = (F.row_number().over(w.orderBy("date")) - 1) / F.count("*").over(w)
+    rows = weighted_rows(spark, sf_dir).withColumns({"log_atr": F.ln(F.greatest(F.col("atr14"), F.lit(0.01))), "place": place})
+    return rows.cache()  # each step of a fit reads them
+
+
+def _log_range():
+    return F.ln(F.greatest(F.col("next_true_range"), F.lit(0.01)))
+
+
 @query("ridge_predictions")
 def ridge_predictions(spark, sf_dir):
-    """Ranges predicted by a ridge model of the logarithm, fitted on rows before 1996, for the rows from 1996 on."""
-    rows = weighted_rows(spark, sf_dir).withColumn("log_atr", F.ln(F.greatest(F.col("atr14"), F.lit(0.01))))
-    model = models.ridge(rows.where("year(date) < 1996"), PREDICTORS, F.ln(F.greatest(F.col("next_true_range"), F.lit(0.01))), 0.1)
-    return rows.where("year(date) >= 1996").select("asset", "date", half_up(model.range_prediction(), 4).alias("predicted"), "next_true_range")
+    """Ranges predicted by a ridge model of the logarithm, fitted on the first 60% of each series, for the rest."""
+    rows = _placed(spark, sf_dir)
+    model = models.ridge(rows.where("place < 0.6"), PREDICTORS, _log_range(), 0.1)
+    return rows.where("place >= 0.6").select("asset", "date", half_up(model.range_prediction(), 4).alias("predicted"), "next_true_range")
 
 
 @query("logistic_predictions")
 def logistic_predictions(spark, sf_dir):
-    """Tail probabilities of a logistic model fitted on rows before 1996, for the rows from 1996 on."""
-    rows = weighted_rows(spark, sf_dir).withColumn("log_atr", F.ln(F.greatest(F.col("atr14"), F.lit(0.01))))
-    model = models.logistic(rows.where("year(date) < 1996"), PREDICTORS, "tail1", 0.01)
-    return rows.where("year(date) >= 1996").select("asset", "date", half_up(model.probability(), 4).alias("p"), "tail1")
+    """Tail probabilities of a logistic model fitted on the first 60% of each series, for the rest."""
+    rows = _placed(spark, sf_dir)
+    model = models.logistic(rows.where("place < 0.6"), PREDICTORS, "tail1", 0.01)
+    return rows.where("place >= 0.6").select("asset", "date", half_up(model.probability(), 4).alias("p"), "tail1")
 
 
 @query("walk_forward_search")
 def walk_forward_search(spark, sf_dir):
-    """Mean absolute errors, equal by asset, of ridge penalties over three yearly folds, the least first."""
-    rows = weighted_rows(spark, sf_dir).withColumn("log_atr", F.ln(F.greatest(F.col("atr14"), F.lit(0.01))))
+    """Mean absolute errors, equal by asset, of ridge penalties over three folds, the least first."""
+    rows = _placed(spark, sf_dir)
     out = None
-    for year in (1995, 1996, 1997):
+    for fold, start in enumerate((0.4, 0.6, 0.8)):
         for penalty in (0.01, 0.1, 1.0):
-            model = models.ridge(rows.where(F.year("date") < year), PREDICTORS, F.ln(F.greatest(F.col("next_true_range"), F.lit(0.01))), penalty)
-            part = rows.where(F.year("date") == year).select(F.lit(penalty).alias("penalty"), F.lit(year).alias("year"), "asset", F.abs(model.range_prediction() - F.col("next_true_range")).alias("error"))
+            model = models.ridge(rows.where(F.col("place") < start), PREDICTORS, _log_range(), penalty)
+            held = rows.where((F.col("place") >= start) & (F.col("place") < start + 0.2))
+            part = held.select(F.lit(penalty).alias("penalty"), F.lit(fold).alias("fold"), "asset", F.abs(model.range_prediction() - F.col("next_true_range")).alias("error"))
             out = part if out is None else out.unionByName(part)
-    by_asset = out.groupBy("penalty", "year", "asset").agg(F.avg("error").alias("mae"))
+    by_asset = out.groupBy("penalty", "fold", "asset").agg(F.avg("error").alias("mae"))
     return by_asset.groupBy("penalty").agg(half_up(F.avg("mae"), 4).alias("mae")).orderBy("mae", "penalty")
 
 
@@ -367,7 +382,7 @@ _INTERVALS = {
     "g": "SELECT " + ", ".join(f"{h(f'quantile_cont(q, {p})', 8)} AS g{k}" for k, p in enumerate(_POINTS)) + " FROM r",
     "o": f"SELECT *, count(q) OVER {_PAST} AS residuals, " + ", ".join(f"{h(f'quantile_cont(q, {p}) OVER {_PAST}', 8)} AS o{k}" for k, p in enumerate(_POINTS)) + " FROM r CROSS JOIN g",
     "s": "SELECT *, CASE WHEN residuals >= 60 THEN residuals / (residuals + 100e0) ELSE 0e0 END AS share FROM o",
-    "b": "SELECT asset, date, next_true_range, residuals, " + ", ".join(f"{h(f'(share * coalesce(o{k}, 0e0) + (1.0 - share) * g{k}) * atr14', 6)} AS bound{k}" for k in range(4)) + " FROM s",
+    "b": "SELECT asset, date, next_true_range, residuals, " + ", ".join(f"{h(f'(share * coalesce(o{k}, 0e0) + (1.0 - share) * g{k}) * atr14', 4)} AS bound{k}" for k in range(4)) + " FROM s",
 }
 
 

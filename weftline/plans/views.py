@@ -68,7 +68,7 @@ _STATUS = "CASE WHEN dayofweek({0}) IN (0, 6) THEN 'weekend' WHEN hour({0}) * 60
 _OFFSETS = {"Seoul": 9, "London": 0, "New York": -5}
 
 
-@query("session_status", " UNION ALL ".join(f"SELECT event_id, '{c}' AS city, {_STATUS.format(f'(ts + INTERVAL {_OFFSETS[c]} HOUR)', a, b)} AS status FROM events" for c, _, a, b in rules.CITIES))
+@query("session_status", " UNION ALL ".join(f"SELECT event_id, '{c}' AS city, {_STATUS.format(f'(ts + INTERVAL ({_OFFSETS[c]}) HOUR)', a, b)} AS status FROM events" for c, _, a, b in rules.CITIES))
 def session_status(spark, sf_dir):
     events = source.read(spark, sf_dir, "events").select("event_id", "ts")
     return rules.session_status(events, "ts").select("event_id", "city", "status")
@@ -99,7 +99,8 @@ def chart_payload(spark, sf_dir):
     bars = source.hourly_bars(spark, sf_dir).withColumn("t", F.unix_timestamp(F.col("hour").cast("timestamp")))
     names = ("t", "open", "high", "low", "close", "volume")
     packed = bars.groupBy("asset", F.to_date("hour").alias("day")).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("b"))
-    each = {c: F.transform("b", lambda x, c=c: x[c]) for c in names}
+    pick = lambda c: F.transform("b", lambda x: x[c])
+    each = {c: pick(c) for c in names}
     quote = F.array(F.struct(*(each[c].alias(c) for c in names[1:])))
     text = F.to_json(F.struct(F.struct(F.array(F.struct(each["t"].alias("timestamp"), F.struct(quote.alias("quote")).alias("indicators"))).alias("result")).alias("chart")))
     candles = payloads.chart_candles(packed.select("asset", text.alias("payload")), "payload")
