@@ -181,8 +181,8 @@ def test_payloads(spark):
 
 
 def test_candle_validation_and_sink(spark, tmp_path):
-    bars = candles(spark, range(1, 121)).withColumn("n", F.col("close").cast("int"))
-    again = bars.limit(1).withColumns({"close": F.lit(1.5), "n": F.lit(999)})
+    bars = candles(spark, range(2, 122)).withColumn("n", F.col("close").cast("int"))
+    again = bars.limit(1).withColumns({"close": F.lit(2.5), "n": F.lit(999)})
     bad = bars.limit(1).withColumns({"high": F.lit(-1.0), "date": F.lit(dt.date(2019, 1, 1))})
     got = source.valid_candles(bars.unionByName(again).unionByName(bad), "n")
     assert got.count() == 120 and got.where("n = 999").count() == 1

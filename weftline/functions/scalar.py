@@ -17,10 +17,14 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with x written once, so that plans don't grow with every use of it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     """x within bounds; NaN and infinities give the lower bound, null stays null."""
-    held = F.least(F.lit(high), F.greatest(F.lit(low), x))
-    return F.when(x.isNull(), None).when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(low)).otherwise(held)
+    return once(x, lambda v: F.when(v.isNull(), None).when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(low)).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), v))))
 
 
 def finite(x: Column) -> Column:

@@ -144,14 +144,15 @@ def trailing_intervals(rows: DataFrame, predicted: str, actual: str, points: lis
     """
     held = rows.withColumn("_q", half_up(F.try_divide(actual, predicted), 8))
     before = Window.partitionBy(key).orderBy(time).rowsBetween(-n, -1)
-    total = held.agg(*(half_up(F.percentile("_q", p), 8).alias(f"_g{k}") for k, p in enumerate(points)))
-    held = held.crossJoin(F.broadcast(total)).withColumn("residuals", F.count("_q").over(before))  # total has one row
+    wanted = F.array(*(F.lit(p) for p in points))
+    total = held.agg(F.percentile("_q", wanted).alias("_g"))
+    held = held.crossJoin(F.broadcast(total)).withColumns({"residuals": F.count("_q").over(before), "_o": F.percentile("_q", wanted).over(before)})  # total has one row
     share = F.when(F.col("residuals") >= least, F.col("residuals") / (F.col("residuals") + pull)).otherwise(0.0)
-    for k, p in enumerate(points):
-        own = half_up(F.percentile("_q", p).over(before), 8)
-        blend = share * F.coalesce(own, F.lit(0.0)) + (1.0 - share) * F.col(f"_g{k}")
+    for k in range(len(points)):
+        own = F.coalesce(half_up(F.try_element_at("_o", F.lit(k + 1)), 10), F.lit(0.0))
+        blend = share * own + (1.0 - share) * half_up(F.try_element_at("_g", F.lit(k + 1)), 10)
         held = held.withColumn(f"bound{k}", half_up(blend * F.col(predicted), 4))
-    return held.drop("_q", *(f"_g{k}" for k in range(len(points))))
+    return held.drop("_q", "_g", "_o")
 
 
 def trailing_prior(rows: DataFrame, truth: str, base: Column, key: str = "asset", time: str = "date", n: int = 252, pull: float = 100.0) -> DataFrame:

@@ -379,15 +379,16 @@ _PAST = "(PARTITION BY asset ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PREC
 _POINTS = (0.1, 0.25, 0.75, 0.9)
 _INTERVALS = {
     "r": f"SELECT asset, date, atr14, next_true_range, {h('next_true_range / atr14', 8)} AS q FROM panel",
-    "g": "SELECT " + ", ".join(f"{h(f'quantile_cont(q, {p})', 8)} AS g{k}" for k, p in enumerate(_POINTS)) + " FROM r",
-    "o": f"SELECT *, count(q) OVER {_PAST} AS residuals, " + ", ".join(f"{h(f'quantile_cont(q, {p}) OVER {_PAST}', 8)} AS o{k}" for k, p in enumerate(_POINTS)) + " FROM r CROSS JOIN g",
+    "g": "SELECT " + ", ".join(f"{h(f'quantile_cont(q, {p})', 10)} AS g{k}" for k, p in enumerate(_POINTS)) + " FROM r",
+    "o": f"SELECT *, count(q) OVER {_PAST} AS residuals, " + ", ".join(f"{h(f'quantile_cont(q, {p}) OVER {_PAST}', 10)} AS o{k}" for k, p in enumerate(_POINTS)) + " FROM r CROSS JOIN g",
     "s": "SELECT *, CASE WHEN residuals >= 60 THEN residuals / (residuals + 100e0) ELSE 0e0 END AS share FROM o",
     "b": "SELECT asset, date, next_true_range, residuals, " + ", ".join(f"{h(f'(share * coalesce(o{k}, 0e0) + (1.0 - share) * g{k}) * atr14', 4)} AS bound{k}" for k in range(4)) + " FROM s",
 }
 
 
 def _intervals(spark, sf_dir):
-    return models.trailing_intervals(panel_rows(spark, sf_dir), "atr14", "next_true_range", list(_POINTS))
+    rows = panel_rows(spark, sf_dir).select("asset", "date", "atr14", "next_true_range").cache()  # read for all rows and for each series
+    return models.trailing_intervals(rows, "atr14", "next_true_range", list(_POINTS))
 
 
 @query("trailing_intervals", chain("panel", more=_INTERVALS) + "SELECT asset, date, residuals, bound0, bound1, bound2, bound3 FROM b")
