@@ -15,7 +15,7 @@ from weftline.llm import decontaminate, langid, mixture, parity_join, quality
 from weftline.llm.common import hash_fold, materialize, table
 
 #: Least calibrated probability of the language of a kept document.
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
