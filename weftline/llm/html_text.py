@@ -32,29 +32,29 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login share sharing social comment comments disqus reply replies related recommended widget widgets toolbar pagination pager".split()
 )
+#: Of these, what holds no article of its own.
+_CERTAIN = _WORDS - frozenset("sidebar sidebars menu menus nav navbar navigation header masthead topbar banner modal popup share sharing social widget widgets toolbar".split())
 _UNLESS = frozenset("has with no not without".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCES = frozenset("article main section div table ul ol dl body td th li aside nav".split())
 WINDOW = 3
 
 
-def _hinted(name: str, attributes: str) -> bool:
-    """Whether role, class or id say that an element is no main text."""
+def _hinted(name: str, attributes: str) -> int:
+    """Whether role, class or id say that an element is no main text: 2 if certainly, 1 unless an article is inside, else 0."""
     if not attributes.strip():
-        return False
+        return 0
+    found = 0
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in _ROLES:
-            return True
+            found = max(found, 1)
         if key in ("class", "id"):
             for word in value.split():
-                bits = re.split(r"[^a-z0-9]+", word)
-                if name in ("article", "main"):
-                    if word in _WORDS:
-                        return True
-                elif _WORDS.intersection(bits) and not _UNLESS.intersection(bits):
-                    return True
-    return False
+                bits = {word} if name in ("article", "main") else set(re.split(r"[^a-z0-9]+", word))
+                if bits & _WORDS and not bits & _UNLESS:
+                    found = max(found, 2 if bits & _CERTAIN else 1)
+    return found
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
@@ -130,8 +130,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             dropped = -1
         if dropped < 0:
             hard = name in _DROPPED and not (name == "header" and inside)
-            if hard or name not in ("html", "body") and _hinted(name, rest):
-                dropped, soft = len(stack), not hard
+            hint = 2 if hard else 0 if name in ("html", "body") else _hinted(name, rest)
+            if hint:
+                dropped, soft = len(stack), hint == 1
         stack.append(name)
         inside += name in ("article", "main")
         links += name == "a"
