@@ -59,7 +59,7 @@ def test_mix(spark):
 
 
 def test_empty_table(spark):
-    df, _ = docs(spark, 5)
+    df, _ = docs(spark, 10)
     assert mixture.mix(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixture.mix(df, max_sources=1)
