@@ -30,17 +30,22 @@ def value_hash(value) -> str:
 def chained(rows: DataFrame, chain: str, order: list[str], payload: Column) -> DataFrame:
     """rows with previous_hash and record_hash, where record_hash = sha256(previous_hash | payload) along each chain.
 
-    A chain's payloads are folded in order in one array; its hashes are then
-    joined back by position. Payloads are texts made by the caller.
+    A chain is sequential, so its payload digests are folded in one grouped task;
+    only positions and hashes pass through it. Payloads are texts made by the caller.
     """
     w = Window.partitionBy(chain).orderBy(*order)
-    numbered = rows.withColumns({"position": F.row_number().over(w) - 1, "_payload": payload})
-    folded = numbered.groupBy(chain).agg(F.transform(F.sort_array(F.collect_list(F.struct("position", F.sha2("_payload", 256).alias("h")))), lambda x: x["h"]).alias("h"))
-    start = F.array(F.lit(GENESIS))
-    hashes = F.aggregate("h", start, lambda acc, h: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), F.lit("|"), h), 256))))
-    link = lambda a, b: F.struct(a.alias("previous_hash"), b.alias("record_hash"))
-    each = folded.withColumn("_all", hashes).select(chain, F.posexplode(F.zip_with(F.slice("_all", 1, F.size("h")), F.slice("_all", 2, F.size("h")), link)).alias("position", "x"))
-    return numbered.drop("_payload").join(each.select(chain, "position", "x.previous_hash", "x.record_hash"), [chain, "position"])
+    numbered = rows.withColumns({"position": F.row_number().over(w) - 1, "_h": F.sha2(payload, 256)})
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        hashes = [GENESIS]
+        for h in pdf["_h"]:
+            hashes.append(sha256(f"{hashes[-1]}|{h}".encode()).hexdigest())
+        return pd.DataFrame({chain: pdf[chain], "position": pdf["position"], "previous_hash": hashes[:-1], "record_hash": hashes[1:]})
+
+    kind = rows.schema[chain].dataType.simpleString()
+    each = numbered.select(chain, "position", "_h").groupBy(chain).applyInPandas(fold, f"{chain} {kind}, position int, previous_hash string, record_hash string")
+    return numbered.drop("_h").join(each, [chain, "position"])
 
 
 def chain_breaks(ledger: DataFrame, chain: str, payload: Column) -> DataFrame:
