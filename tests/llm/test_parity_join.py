@@ -40,6 +40,15 @@ def test_equals_brute_force(spark):
     assert rows(parity_join.jaccard_components(df, few=1, block=2), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_repeated_words_of_any_length(spark):
+    docs = [(k, " ".join((cycle * 60)[first : first + n])) for k, (cycle, first, n) in enumerate((c, f, n) for c in (["ha"], ["a", "b"], ["x", "y", "z"], ["p", "q", "r", "s"], ["ha", "ho", "ha"]) for f, n in ((0, 3), (0, 5), (0, 6), (1, 7), (2, 11), (0, 50), (1, 51)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs)
+    assert rows(parity_join.jaccard_components(df.repartition(3)), "doc_id", "n_shingles", "component_id") == want
+    assert rows(parity_join.jaccard_components(df, few=1, block=2), "doc_id", "n_shingles", "component_id") == want
+    assert parity_join.near_duplicates_removed(df).count() == len({c for _, _, c in want})
+
+
 def test_no_similar_pair_without_a_shared_posting():
     rng = np.random.default_rng(3)
     for n in (4, 5, 7, 8, 9, 15, 16, 17, 31, 32, 40, 63, 64, 100, 257, 500, 1030):

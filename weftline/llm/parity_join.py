@@ -34,7 +34,7 @@ from weftline.llm.common import materialize, mix64
 from weftline.llm.graph import connected_components
 
 SHINGLE = 5
-#: Sizes below this link only with equal sets.
+#: Sizes below this link only with equal sets, and are posted under the whole set.
 LEAST = 4
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,8 +107,8 @@ def _posted(found: np.ndarray, band: int, top: int) -> np.ndarray:
 def postings(found: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """For its own band, and for the one below if a similar set can be there: how many postings may be left out, and the keys."""
     n = len(found)
-    if n < LEAST:
-        return []
+    if n < LEAST:  # texts that repeat a few words have equal small sets at any length
+        return [(0, mix64(np.bitwise_xor.reduce(found, keepdims=True) ^ mix64(np.array([n]))))] if n else []
     band = (n // LEAST).bit_length() - 1
     wanted = [(band, n // 4)]
     below = (LEAST << band) - 1  # largest size of the band below
