@@ -106,3 +106,27 @@ def test_licenses(spark):
     assert all(got[k] == "" for k, _ in plain) and got[300] == got[301] == ""
     assert licenses.scan_licenses(df.limit(0), model).count() == 0
     assert rows(licenses.scan_licenses(df.where("doc_id = 200"), licenses.fit(df.limit(0))), "doc_id") == [(200,)]
+
+
+def test_wrapped_licenses(spark):
+    rng = random.Random(4)
+    plain = [(k, "\n".join(text("abc"[k % 3] * 2, 12, rng) for _ in range(4))) for k in range(120)]
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    narrow = lambda t, n: "\n".join(" ".join(w[i : i + n]) for w in [t.split()] for i in range(0, len(w), n))
+    heads = {
+        200: (gpl, [(5, "gpl")]),
+        201: (gpl.replace("GNU General", "GNU Lesser General"), [(5, "lgpl")]),
+        202: (gpl.replace("GNU General", "GNU Affero General"), [(5, "agpl")]),
+        203: (narrow(mit, 3), [(4, "mit")]),
+        204: (narrow(mit, 1), [(4, "mit")]),
+        205: (narrow("Licensed under the Apache License, Version 2.0.", 4) + "\n\n" + narrow(mit, 6), [(4, "apache"), (7, "mit")]),
+        206: ("this software\n\nis under\n\nthe sea of the license", []),
+        207: ("Released under the MIT License.\n" + narrow(mit, 5), [(4, "mit"), (5, "mit")]),
+    }
+    docs = plain + [(k, plain[k - 200][1] + "\n" + v) for k, (v, _) in heads.items()]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = licenses.fit(df.where("doc_id < 200"))
+    got = {r.doc_id: [(x.line, x.family) for x in r.licenses] for r in licenses.scan_licenses(df, model).collect()}
+    assert {k: got[k] for k in heads} == {k: f for k, (_, f) in heads.items()}
+    assert all(got[k] == [] for k, _ in plain)

@@ -7,13 +7,17 @@ varied at random and set in lines of the corpus, and plain and shuffled lines.
 A temperature and a least probability are fitted on rows kept apart; below it a
 paragraph is ordinary text. A family must also be confirmed by a notice: most of
 its word pairs must stand in the paragraph. A paragraph that is no family's but
-holds half of a notice is of an ``unknown`` licence.
+holds half of a notice is of an ``unknown`` licence. Notices that are wrapped over
+lines are confirmed over the joined words of the lines in which they stand.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -83,18 +87,95 @@ class LicenseModel:
         return (UNKNOWN if any(confirmed(f, words, RESEMBLE) for f in NOTICES) else None), score
 
     def scan(self, text: str | None) -> list[tuple[int, str, float]]:
-        """Line number, family and score of the licence paragraphs of a whole text."""
-        out = []
+        """First line's number, family and score of the licence paragraphs of a whole text.
+
+        Lines are judged alone; then notices wrapped over several lines are sought
+        in runs of lines that no blank line and no line of a family divides.
+        """
+        out: dict[int, tuple[str, float]] = {}
+        run: list[tuple[int, list[bytes]]] = []
         for k, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-            words = split_words(line)
+            raw = split_words(line)
+            words = [b"#" if w.isdigit() else w for w in raw]
             # without two neighbours that notices use, a line is ordinary text
-            held = [w in self.known or w.isdigit() for w in words]
-            if not any(map(bool.__and__, held, held[1:])):
-                continue
-            family, score = self.judge([b"#" if w.isdigit() else w for w in words])
+            held = [w in self.known or w.isdigit() for w in raw]
+            family, score = self.judge(words) if any(map(bool.__and__, held, held[1:])) else (None, 0.0)
             if family:
-                out.append((k, family, score))
-        return out
+                out[k] = family, score
+            if words and family in (None, UNKNOWN):
+                run.append((k, words))
+            else:
+                self._wrapped(run, out)
+                run = []
+        self._wrapped(run, out)
+        return [(k, *out[k]) for k in sorted(out)]
+
+    def _wrapped(self, run: list[tuple[int, list[bytes]]], out: dict[int, tuple[str, float]]) -> None:
+        """Add the notices that stand in two or more lines of a run; a family replaces what its lines are alone."""
+        if len(run) < 2:
+            return
+        words = [w for _, line in run for w in line]
+        ends = list(accumulate(len(line) for _, line in run))
+        starts = [0, *ends[:-1]]
+        hits = [i for i, pair in enumerate(zip(words, words[1:], strict=False)) if pair in _HOLDERS]
+        first, kept = 0, None
+        while first < len(run) - 1:
+            last = min(bisect_left(ends, ends[first] + _REACH), len(run) - 1)
+            near = hits[bisect_left(hits, starts[first]) : bisect_left(hits, ends[last] - 1)]
+            # pairs inside one line were judged with it
+            if not (kept and kept[0] == first) and (len(near) < 2 or near[-1] + 1 < ends[bisect_right(ends, near[0])]):
+                first += 1
+                continue
+            found = None
+            part = lambda i, j: words[starts[i] : ends[j]]
+            for f, share in sorted(_shares(part(first, last)).items(), key=lambda x: -x[1]):
+                if share < RESEMBLE:
+                    break
+                i, j = first, last
+                while j > i and _shares(part(i, j - 1)).get(f, 0.0) >= share:
+                    j -= 1
+                while j > i and _shares(part(i + 1, j)).get(f, 0.0) >= share:
+                    i += 1
+                family, score = self.judge(part(i, j)) if j > i else (None, 0.0)
+                if family and (not found or found[2] == UNKNOWN != family):
+                    found = i, j, family, score
+            if found and found[0] > first:  # look again with the whole reach of its own first line
+                kept, first = found, found[0]
+                continue
+            found = found or (kept if kept and kept[0] == first else None)
+            if not found:
+                first += 1
+                continue
+            i, j, family, score = found
+            alone = [k for k, _ in run[i : j + 1] if k in out]
+            if family != UNKNOWN or not alone:
+                for k in alone:
+                    del out[k]
+                out[run[i][0]] = family, score
+                first = j + 1
+            else:
+                first += 1
+
+
+def _pairs(notice: str) -> set[tuple[bytes, bytes]]:
+    w = notice.encode().split()
+    return set(zip(w, w[1:], strict=False))
+
+
+#: Word pairs of each notice, the notices of each pair, and the words in which a notice that starts in a line ends, with some to spare.
+_NOTICE_PAIRS = [(f, _pairs(n)) for f, notices in NOTICES.items() for n in notices]
+_HOLDERS = {pair: [k for k, (_, pairs) in enumerate(_NOTICE_PAIRS) if pair in pairs] for _, held in _NOTICE_PAIRS for pair in held}
+_REACH = max(len(n.split()) for notices in NOTICES.values() for n in notices) + 8
+
+
+def _shares(words: list[bytes]) -> dict[str, float]:
+    """For each family, the largest share of a notice's word pairs that stand in the paragraph; families without any are left out."""
+    counts = Counter(k for pair in set(zip(words, words[1:], strict=False)) if pair in _HOLDERS for k in _HOLDERS[pair])
+    out: dict[str, float] = {}
+    for k, n in counts.items():
+        family, pairs = _NOTICE_PAIRS[k]
+        out[family] = max(out.get(family, 0.0), n / len(pairs))
+    return out
 
 
 def confirmed(family: str, words: list[bytes], least: float = CONFIRM) -> bool:
@@ -137,7 +218,7 @@ def fit(docs: DataFrame, text_col: str = "text", doc_col: str = "doc_id", docume
     rng = np.random.default_rng(seed)
     plain: list[list[bytes]] = []
     for r in docs.where((draw < share) & F.col(text_col).isNotNull()).select(F.col(doc_col).alias("d"), F.col(text_col).cast("string").alias("t")).orderBy("d", "t").toLocalIterator():
-        lines = [w for line in r.t.encode("utf-8", "surrogatepass").split(b"\n") if (w := paragraph_words(line)[:60])]
+        lines = [w for line in r.t.encode("utf-8", "surrogatepass").split(b"\n") if (w := paragraph_words(line))]
         plain += [lines[i] for i in rng.permutation(len(lines))[:per_document]]
     plain = [w for w in plain if not any(confirmed(f, w) for f in NOTICES)]
     classes: list[str | None] = [None, *NOTICES]
