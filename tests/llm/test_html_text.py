@@ -17,6 +17,13 @@ def test_without_article():
     assert main_text(page) == "Head First long paragraph. Second."
 
 
+def test_every_stretch_without_article():
+    links = "<ul><li><a>l1</a></li><li><a>l2</a></li><li><a>l3</a></li></ul>"
+    assert main_text(f"<body><p>A first paragraph.</p>{links}<p>A second paragraph, longer.</p>{links}<p>Last words here.</p></body>") == "A first paragraph. A second paragraph, longer. Last words here."
+    assert main_text("<body><p><a>Before</a></p><p>Some text.</p><p><a>Source</a></p></body>") == "Before Some text. Source"
+    assert main_text("<body><p><a>only</a></p></body>") == "" and main_text(f"<body>{links}<p>tiny</p>{links}</body>") == "tiny"
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x") == main_text("<!-- x") == ""
     assert main_text("plain text") == "plain text"

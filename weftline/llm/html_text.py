@@ -2,10 +2,11 @@
 
 Markup is stripped into lines, one for each block; lines of menus, headers,
 footers, sidebars, notices, adverts, forms, scripts and comments weigh nothing.
-Text lengths are summed over a sliding window of lines; where the sums surge
-from nothing and where they dive back bounds a stretch of main text, and the
-lines between are kept. In a page with an article or main element only lines
-inside weigh, and all its stretches are kept; elsewhere the heaviest one is.
+In a page with an article or main element the tags decide: all other lines
+inside are kept. Elsewhere text lengths outside links are summed over a sliding
+window of lines; where the sums surge from nothing and where they dive back
+bounds a stretch, and all lines of every stretch whose sums reach a small least
+value are kept. Runs of links only that are shorter than the window stay.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ _UNLESS = frozenset("has with no not without".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCES = frozenset("article main section div table ul ol dl body td th li aside nav".split())
 WINDOW = 3
+#: Least sum of a window, in characters outside links, at which a stretch counts, unless no stretch of the page has as much.
+SURGE = 10
 
 
 def _hinted(name: str, attributes: str) -> int:
@@ -144,25 +147,22 @@ def main_text(page: str | None) -> str:
     """Main text of a page: its blocks joined by one space; empty for a null page."""
     lines = lines_of(page or "")
     framed = any(text and within for text, _, within in lines)
-    weights = [len(text) if within else 0 for text, _, within in lines] if framed else [plain if text else 0 for text, plain, _ in lines]
-    lines = [(text if within or not framed else "", weight) for (text, _, within), weight in zip(lines, weights, strict=True)]
-    if not framed:
-        lines = [x for x in lines if x[0]]
-    stretches: list[tuple[int, int, int]] = []  # weight, surge, dive
-    quiet, start = WINDOW, -1
-    for k, (_, weight) in enumerate(lines):
-        if weight:
-            if quiet >= WINDOW or start < 0:
-                stretches.append((0, k, k))
-                start = k
-            total, first, _ = stretches[-1]
-            stretches[-1] = (total + weight, first, k + 1)
-            quiet = 0
-        else:
-            quiet += 1
-    if not framed and stretches:
-        stretches = [max(stretches, key=lambda s: (s[0], -s[1]))]
-    return " ".join(text for _, surge, dive in stretches for text, _ in lines[surge:dive] if text)
+    if framed:  # the tags decide
+        return " ".join(text for text, _, within in lines if text and within)
+    texts = [text for text, _, _ in lines if text]
+    weights = [plain for text, plain, _ in lines if text]
+    sums = [sum(weights[k : k + WINDOW]) for k in range(len(weights) - WINDOW + 1)]
+    quiet = {k + n for k, total in enumerate(sums) if not total for n in range(WINDOW)}
+    stretches: list[tuple[int, int]] = []  # surge, dive
+    for k in range(len(texts)):
+        if k not in quiet:
+            if stretches and stretches[-1][1] == k:
+                stretches[-1] = (stretches[-1][0], k + 1)
+            else:
+                stretches.append((k, k + 1))
+    peaks = [max(sum(weights[k : min(k + WINDOW, dive)]) for k in range(surge, dive)) for surge, dive in stretches]
+    least = max(1, min(SURGE, max(peaks, default=0)))
+    return " ".join(text for (surge, dive), peak in zip(stretches, peaks, strict=True) if peak >= least for text in texts[surge:dive])
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
