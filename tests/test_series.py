@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from hashlib import sha256
 
 import numpy as np
 import pytest
@@ -146,6 +147,30 @@ def test_ledger(spark):
     assert check(lines) and not check([lines[0], (1, lines[1][1].replace("0.1", "0.2")), lines[2]])
 
 
+def test_ledger_in_batches(spark):
+    rows = spark.createDataFrame([(a, k, f"{a}{k}") for a in ("a", "b", "c") for k in range(7)], "asset string, n int, payload string").repartition(3)
+    lines, want = [], {}
+    for a in ("a", "b", "c"):
+        own, before = ledger.GENESIS, ledger.GENESIS
+        for k in range(7):
+            previous, own = own, sha256(f"{own}|{sha256(f'{a}{k}'.encode()).hexdigest()}".encode()).hexdigest()
+            want[a, k] = (previous, own)
+            record = {"n": k, "previousHash": before}
+            record["recordHash"] = before = ledger.value_hash(record)
+            lines.append((a, k, json.dumps({**record, "n": 9} if (a, k) == ("b", 4) else record)))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        chained = ledger.chained(rows, "asset", ["n"], F.col("payload"))
+        checked = ledger.verify_json_chain(spark.createDataFrame(lines, "a string, line int, value string").repartition(3), chain_col="a")
+        assert {(r.asset, r.n): (r.previous_hash, r.record_hash) for r in chained.collect()} == want
+        assert sorted(map(tuple, checked.collect())) == [("a", 7, True), ("b", 7, False), ("c", 7, True)]
+        # no task holds a whole chain
+        assert all("FlatMapGroupsInPandas" not in x._jdf.queryExecution().toString() for x in (chained, checked))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
 def test_settlement_and_orphans(spark):
     f = spark.createDataFrame([("f1", "a", START, 1.0, 0.5, 1.0, 0.4, 2.0), ("f2", "a", START + dt.timedelta(1), 1.0, 0.5, 1.0, 0.4, 2.0)], "forecast_id string, asset string, as_of date, predicted double, low50 double, high50 double, low80 double, high80 double")
     o = spark.createDataFrame([("a", START, 1.0)], "asset string, as_of date, actual double")

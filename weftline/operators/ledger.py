@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,21 +31,27 @@ def value_hash(value) -> str:
 def chained(rows: DataFrame, chain: str, order: list[str], payload: Column) -> DataFrame:
     """rows with previous_hash and record_hash, where record_hash = sha256(previous_hash | payload) along each chain.
 
-    A chain is sequential, so its payload digests are folded in one grouped task;
-    only positions and hashes pass through it. Payloads are texts made by the caller.
+    A chain is sequential: one task folds its payload digests in the order of the
+    positions, batch by batch, and holds no more than a batch and the last hash.
+    Payloads are texts made by the caller.
     """
     w = Window.partitionBy(chain).orderBy(*order)
     numbered = rows.withColumns({"position": F.row_number().over(w) - 1, "_h": F.sha2(payload, 256)})
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        hashes = [GENESIS]
-        for h in pdf["_h"]:
-            hashes.append(sha256(f"{hashes[-1]}|{h}".encode()).hexdigest())
-        return pd.DataFrame({chain: pdf[chain], "position": pdf["position"], "previous_hash": hashes[:-1], "record_hash": hashes[1:]})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = GENESIS
+        for batch in batches:
+            before, own = [], []
+            for position, h in zip(batch.column("position").to_pylist(), batch.column("_h").to_pylist(), strict=True):
+                if not position:
+                    last = GENESIS
+                before.append(last)
+                last = sha256(f"{last}|{h}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(chain), batch.column("position"), pa.array(before, pa.string()), pa.array(own, pa.string())], names=[chain, "position", "previous_hash", "record_hash"])
 
     kind = rows.schema[chain].dataType.simpleString()
-    each = numbered.select(chain, "position", "_h").groupBy(chain).applyInPandas(fold, f"{chain} {kind}, position int, previous_hash string, record_hash string")
+    each = numbered.select(chain, "position", "_h").repartition(chain).sortWithinPartitions(chain, "position").mapInArrow(fold, f"{chain} {kind}, position int, previous_hash string, record_hash string")
     return numbered.drop("_h").join(each, [chain, "position"])
 
 
@@ -60,20 +67,29 @@ def verify_json_chain(rows: DataFrame, text_col: str = "value", order_col: str =
     """chain, records, valid of ledgers of canonical JSON lines with previousHash and recordHash.
 
     recordHash is the hash of the record without it. Canonical numbers are those
-    of Python, so this check runs in grouped tasks, one for each chain.
+    of Python, so this check runs in tasks that read each chain in order, batch by
+    batch.
     """
-    keyed = rows.withColumn("chain", F.col(chain_col) if chain_col else F.lit("all"))
-
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        before, valid = GENESIS, True
-        for text in pdf.sort_values(order_col)[text_col]:
-            record = json.loads(text)
-            own = record.pop("recordHash", None)
-            valid &= record.get("previousHash") == before and own == value_hash(record)
-            before = own
-        return pd.DataFrame({"chain": [pdf["chain"].iloc[0]], "records": [len(pdf)], "valid": [bool(valid)]})
-
-    return keyed.groupBy("chain").applyInPandas(check, "chain string, records long, valid boolean")
+    keyed = rows.select((F.col(chain_col).cast("string") if chain_col else F.lit("all")).alias("chain"), F.col(order_col).alias("_order"), F.col(text_col).alias("_text"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([chain], pa.string()), pa.array([records], pa.int64()), pa.array([valid], pa.bool_())], names=["chain", "records", "valid"])
+        chain, records, valid, before = None, 0, True, GENESIS
+        for batch in batches:
+            for key, text in zip(batch.column("chain").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                if records and key != chain:
+                    yield row()
+                    records, valid, before = 0, True, GENESIS
+                chain = key
+                record = json.loads(text)
+                own = record.pop("recordHash", None)
+                valid = valid and record.get("previousHash") == before and own == value_hash(record)
+                records, before = records + 1, own
+        if records:
+            yield row()
+
+    ordered = keyed.repartition("chain").sortWithinPartitions("chain", F.asc_nulls_last("_order")).select("chain", "_text")
+    return ordered.mapInArrow(check, "chain string, records long, valid boolean")
 
 
 def canonical_hash(column: Column) -> Column:
