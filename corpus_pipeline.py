@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, langid, mixture, parity_join, quality
-from weftline.llm.common import hash_fold, materialize, table
+from weftline.llm.common import Scratch, hash_fold, table
 
 #: Least calibrated probability of the language of a kept document.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = scratch.write(stage(spark, docs, sf_dir), docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import HEAVY, Scratch, join_facts
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, spread=None) -> DataFrame:
     """One large or small star over edges (a, b) with a > b: neighbours are linked to the least neighbour."""
+    seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    least = seen.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+    met = spread(seen, least) if spread else seen.join(least, "a")
     if large:
-        seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        linked = seen.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        linked = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        others = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        linked = others.unionByName(least.select("a", F.col("m").alias("b")))
+        linked = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return linked.where("a <> b").distinct()
 
 
@@ -25,15 +24,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """node, component (its least node) for every node of a link; self links and nulls link nothing.
 
     Each round is written to the shared folder, which cuts the lineage. Rounds
-    grow with the logarithm of the longest chain of links.
+    grow with the logarithm of the longest chain of links; an error is raised if
+    max_rounds do not suffice.
     """
+    scratch = Scratch(edges.sparkSession)
     kept = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    now = materialize(kept.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    now = scratch.write(kept.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     mark = None
     for _ in range(max_rounds):
-        before, mark = mark, now.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("h")).first()
+        ends = now.select("a", F.xxhash64("a", "b").alias("h")).unionByName(now.select(F.col("b").alias("a"), F.lit(0).cast("long").alias("h")))
+        ends = ends.groupBy("a").agg(F.count("*").alias("n"), F.bit_xor("h").alias("h")).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.bit_xor("h").alias("h"))
+        before, mark = mark, ends.first()
         if before == mark or not mark.n:
             break
-        now = materialize(_star(_star(now, True), False))
+        if mark.most > HEAVY:  # large stars have a hub: neither star gives a node more links
+
+            def spread(seen: DataFrame, least: DataFrame, total: int = mark.n) -> DataFrame:
+                return join_facts(seen, scratch.write(least), "a", "n", total)
+
+            middle = scratch.write(_star(now, True, spread))
+            now = scratch.write(_star(middle, False, spread), now, middle)
+        else:
+            now = scratch.write(_star(_star(now, True), False), now)
+    else:
+        raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
+    scratch.keep(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

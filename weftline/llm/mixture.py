@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -113,7 +113,7 @@ def mix(
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(doc_col), F.length(text_col)).alias("_order"),
     )
-    rows = materialize(rows)
+    rows = Scratch(rows.sparkSession).write(rows)
     found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")

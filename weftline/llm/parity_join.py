@@ -16,8 +16,12 @@ apart. Postings meet in an equi-join; the distance of whole sketches drops most
 chance meetings, and the shingles of the rest are compared.
 
 Copies (equal sequences of words) are one class and are joined once. Within a
-posting the classes first meet the least one only; after components are known,
-all pairs of classes of different components that are left in a posting follow.
+posting the classes first meet the least one only. Classes that are then still in
+different components meet in blocks of bounded size: a first pass over sketches
+names, for each class of a block, the others that it may link with, and a second
+pass brings the texts of the named classes to the block, once each, verifies and
+passes on a spanning forest of the links. So what leaves a block grows with its
+classes and not with their pairs.
 """
 
 from __future__ import annotations
@@ -27,15 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, mix64
+from weftline.llm.common import Scratch, free_name, grouped, heavy, join_facts, mix64, widened
 from weftline.llm.graph import connected_components
 
 SHINGLE = 5
 #: Sizes below this link only with equal sets, and are posted under the whole set.
 LEAST = 4
+#: Of the postings that a class has in common with others, as many of the least as travel with it.
+CARRIED = 16
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -141,158 +147,267 @@ def may_link(n_a: int, sketch_a: bytes, n_b: int, sketch_b: bytes) -> bool:
 _LISTS = pa.list_(pa.struct([("spare", pa.int32()), ("keys", pa.list_(pa.int64()))]))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # classes of this task; their copies are not posted again
-    for batch in batches:
-        cids, sizes, sketches, lists = [], [], [], []
-        for text in batch.column("text").cast(pa.binary()):
-            words = normal_words(text.as_py())
-            found = shingles(words)
-            cid = int.from_bytes(hashlib.md5(b" ".join(words)).digest()[:8], "little", signed=True) if words else None
-            fresh = bool(words) and cid not in seen
-            seen.add(cid)
-            cids.append(cid)
-            sizes.append(len(found))
-            sketches.append(sketch(found) if fresh else None)
-            lists.append([{"spare": spare, "keys": keys.view(np.int64)} for spare, keys in postings(found)] if fresh else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row_key"), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(lists, _LISTS)],
-            names=["doc_id", "row_key", "cid", "n", "sketch", "lists"],
-        )
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that sizes and sketches allow."""
-    for batch in batches:
-        d = batch.to_pydict()
-        held = [may_link(*x) for x in zip(d["n_a"], d["sketch_a"], d["n_b"], d["sketch_b"], strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
+def _features(class_bits: int):
+    """doc_id, row_key, class (cid of class_bits bits, cid2 of 64 more), n; sketch and lists where a task first sees a class."""
 
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # classes of this task; their copies are not posted again
+        for batch in batches:
+            cids, others, sizes, sketches, lists = [], [], [], [], []
+            for text in batch.column("text").cast(pa.binary()):
+                words = normal_words(text.as_py())
+                found = shingles(words)
+                mark = hashlib.md5(b" ".join(words)).digest() if words else None
+                fresh = bool(words) and mark not in seen
+                if fresh:
+                    seen.add(mark)
+                cids.append(int.from_bytes(mark[:8], "little", signed=True) >> (64 - class_bits) if words else None)
+                others.append(int.from_bytes(mark[8:], "little", signed=True) if words else None)
+                sizes.append(len(found))
+                sketches.append(sketch(found) if fresh else None)
+                lists.append([{"spare": spare, "keys": keys.view(np.int64)} for spare, keys in postings(found)] if fresh else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(cids, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(lists, _LISTS)],
+                names=["doc_id", "row_key", "cid", "cid2", "n", "sketch", "lists"],
+            )
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose shingles reach the similarity."""
-    held: dict[int, np.ndarray] = {}
+    return features
 
-    def of(cid: int, text: pa.Scalar) -> np.ndarray:
-        if cid not in held:
-            if len(held) >= 256:
-                held.clear()
-            held[cid] = shingles(normal_words(text.as_py()))
-        return held[cid]
 
+#: Rows of candidates: a block (key, i, j), a class of it and those that it may link with.
+_NAMED = "key long, i int, j int, cid long, others array<long>"
+
+
+def _batch(named: list[tuple]) -> pa.RecordBatch:
+    types = [("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("cid", pa.int64()), ("others", pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*named, strict=True), types, strict=True)], names=[n for n, _ in types])
+
+
+def _star_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of stars (key: centre, i: part of its rays, cid: ray) that sizes and sketches allow."""
     for batch in batches:
-        good = []
-        for a, b, text_a, text_b in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b")), strict=True):
-            x, y = of(a.as_py(), text_a), of(b.as_py(), text_b)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * both >= 80 * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def _compare(block: pa.Table) -> pa.Table:
-    """Pairs of different components in one block of a crowded posting that sizes and sketches allow; each pair only under the least posting that both sets have."""
-    key, i, j = (block[c][0].as_py() for c in ("key", "i", "j"))
-    place = np.array(block["b"])
-    cids, parts, sizes = (np.array(block[c]) for c in ("cid", "part", "n"))
-    sketches, keys = block["sketch"].to_pylist(), block["keys"].to_pylist()
-    width = min(map(len, sketches))
-    words = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in sketches])
-    words = np.pad(words, ((0, 0), (0, -width % 8))).view(np.uint64)
-    left, right = np.flatnonzero(place == i), np.flatnonzero(place == j)
-    out_a, out_b = [], []
-    for p, row in enumerate(left.tolist()):
-        others = right[p + 1 :] if i == j else right
-        small, large = np.minimum(sizes[others], sizes[row]), np.maximum(sizes[others], sizes[row])
-        others = others[(parts[others] != parts[row]) & (5 * small >= 4 * large)]
-        apart = np.bitwise_count(words[others] ^ words[row]).sum(axis=1, dtype=np.int64)
-        for other in others[9 * apart <= sizes[others] + sizes[row]].tolist():
-            if min(set(keys[row]).intersection(keys[other])) == key:
-                out_a.append(int(min(cids[row], cids[other])))
-                out_b.append(int(max(cids[row], cids[other])))
-    return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-
-def _crowded(members: DataFrame, classes: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) left in postings of many sets: blocks of a posting are compared with each other, each in a task of its own."""
-    own = members.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # at most a set's postings
-    blocks = F.ceil(F.col("sets") / block).cast("int")
-    held = members.join(own, "cid").join(classes, "cid").withColumns({"b": F.pmod(F.hash("cid"), blocks), "x": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    dealt = held.select("key", "cid", "part", "n", "sketch", "keys", "b", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"))
-    return dealt.groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long")
-
-
-def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link: first by sketches, then by texts."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    near = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(_near, "a long, b long"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    chosen = rows.join(wanted, "cid").groupBy("cid").agg(F.min("row_key").alias("row_key"))
-    held = texts.join(chosen, "row_key").groupBy("cid").agg(F.first("text").alias("text"))
-    side = lambda x: held.select(F.col("cid").alias(x), F.col("text").alias(f"text_{x}"))
-    both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("text_a").cast("binary"), F.col("text_b").cast("binary"))
-    return materialize(both.mapInArrow(_verified, "a long, b long"))
+        d = batch.to_pydict()
+        held = [may_link(*x) for x in zip(d["n_a"], d["sketch_a"], d["n_b"], d["sketch_b"], strict=True)]
+        yield batch.select(["a", "i", "b"]).filter(pa.array(held, pa.bool_()))
+
+
+def _pairs(key: int, same: bool, left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Candidates of a small block, one pair after another: places in left and right."""
+    for p, (cid_a, part_a, n_a, sketch_a, keys_a) in enumerate(left):
+        for q in range(p + 1 if same else 0, len(right)):
+            cid_b, part_b, n_b, sketch_b, keys_b = right[q]
+            if part_a != part_b and cid_a != cid_b and may_link(n_a, sketch_a, n_b, sketch_b) and not any(k < key for k in keys_a if k in keys_b):
+                yield p, q
+
+
+def _many_pairs(key: int, same: bool, left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, int]]:
+    """The same by arrays, for large blocks."""
+    width = min(len(x[3]) for x in (*left, *right))
+
+    def arrays(side: list[tuple]) -> tuple[np.ndarray, ...]:
+        cid, part, n = (np.array([x[c] for x in side]) for c in range(3))
+        words = np.stack([np.bitwise_xor.reduce(np.frombuffer(x[3], np.uint8).reshape(-1, width), axis=0) for x in side])
+        keys = np.full((len(side), CARRIED), key, dtype=np.int64)  # not below key: counts as none
+        for k, x in enumerate(side):
+            keys[k, : len(x[4])] = x[4]
+        return cid, part, n, np.pad(words, ((0, 0), (0, -width % 8))).view(np.uint64), keys
+
+    cid_a, part_a, n_a, words_a, keys_a = arrays(left)
+    cid_b, part_b, n_b, words_b, keys_b = (cid_a, part_a, n_a, words_a, keys_a) if same else arrays(right)
+    for p in range(len(left)):
+        rest = np.arange(p + 1 if same else 0, len(right))
+        small, large = np.minimum(n_b[rest], n_a[p]), np.maximum(n_b[rest], n_a[p])
+        rest = rest[(part_b[rest] != part_a[p]) & (cid_b[rest] != cid_a[p]) & (5 * small >= 4 * large)]
+        apart = np.bitwise_count(words_b[rest] ^ words_a[p]).sum(axis=1, dtype=np.int64)
+        rest = rest[9 * apart <= n_b[rest] + n_a[p]]
+        earlier = keys_a[p][keys_a[p] < key]
+        if len(earlier) and len(rest):
+            rest = rest[~np.isin(keys_b[rest], earlier).any(axis=1)]
+        for q in rest.tolist():
+            yield p, q
+
+
+def _near(few: int):
+    """Candidates of blocks: for each class that has any, those after it in the block that sizes and sketches allow.
+
+    A pair that also meets under a lesser posting which both classes carry is left to that one.
+    """
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named: list[tuple] = []
+        for (key, i, j), held in grouped(batches, 3):
+            left = [x[1:] for x in held if x[0] == i]
+            right = left if i == j else [x[1:] for x in held if x[0] == j]
+            found: dict[int, list[int]] = {}
+            for p, q in (_pairs if len(held) <= few else _many_pairs)(key, i == j, left, right) if left and right else ():
+                a, b = left[p][0], right[q][0]
+                found.setdefault(b, [])
+                found.setdefault(a, []).append(b)
+            named += [(key, i, j, cid, others) for cid, others in found.items()]
+            if len(named) >= 10_000:
+                yield _batch(named)
+                named = []
+        if named:
+            yield _batch(named)
+
+    return near
 
-def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", few: int = 32, block: int = 512) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, cid (class of copies), component_id, row_key (of id and text).
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links within each block."""
+    out_a, out_b = [], []
+    for _, held in grouped(batches, 3):
+        texts = {cid: text for cid, _, text in held}
+        sets: dict[int, np.ndarray] = {}
+        root: dict[int, int] = {}
+
+        def of(cid: int, sets=sets, texts=texts) -> np.ndarray:
+            if cid not in sets:
+                sets[cid] = shingles(normal_words(texts[cid]))
+            return sets[cid]
+
+        def find(v: int, root=root) -> int:
+            while (up := root.setdefault(v, v)) != v:
+                root[v] = v = root[up]
+            return v
+
+        for a, others, _ in held:
+            for b in others:
+                if (p := find(a)) == (q := find(b)):
+                    continue
+                x, y = of(a), of(b)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= 80 * (len(x) + len(y) - both):
+                    root[p] = q
+                    out_a.append(a)
+                    out_b.append(b)
+        if len(out_a) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            out_a, out_b = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+
+def _by_block(df: DataFrame) -> DataFrame:
+    return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _links(named: DataFrame, owners: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """Spanning forests (a, b) of the links among candidates; texts come to a block once for each class named there."""
+    wanted = owners.join(named.select("cid").distinct(), "cid", "left_semi").select("cid", "row_key", "copies")
+    scratch = Scratch(named.sparkSession)
+    wanted = scratch.write(wanted)
+    held = scratch.write(join_facts(texts.select("row_key", "text"), wanted, "row_key", "copies", total).groupBy("cid").agg(F.first("text").alias("text")))
+    met = named.join(held, "cid").select("key", "i", "j", "cid", "others", F.col("text").cast("binary"))
+    links = Scratch(named.sparkSession).write(_by_block(met).mapInArrow(_verified, "a long, b long"))
+    scratch.keep()
+    return links
+
+
+def _crowds(members: DataFrame, classes: DataFrame, few: int, block: int, most: int) -> DataFrame:
+    """Candidates (_NAMED) among the open members (key, cid, part, sets, mass) of postings, dealt into blocks."""
+    carried = members.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list("key")), 1, CARRIED).alias("keys"))  # at most a set's postings
+    blocks = F.ceil(F.greatest(F.col("sets") / block, F.col("mass") / most)).cast("int")
+    held = members.join(carried.join(classes, "cid"), "cid").withColumns({"at": F.pmod(F.xxhash64("cid", "key"), blocks).cast("int"), "x": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    dealt = held.select("key", F.least("at", "x").alias("i"), F.greatest("at", "x").alias("j"), "at", "cid", "part", "n", "sketch", "keys")
+    return _by_block(dealt).mapInArrow(_near(few), _NAMED)
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of an id and a text; rows that agree in both are repeated rows."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.concat(F.lit("|"), text), F.lit(""))))
+
+
+def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", few: int = 16, block: int = 512, class_bits: int = 64) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, row_key (of id and text).
 
     component_id is the smallest doc_id that links reach. Null texts and texts
     without words have no shingles, no class, and their own doc_id as component.
     Repeated rows are copies. Null doc_ids are passed over when the smallest is
     sought; a component of null ids only has a null id. Rows that share a doc_id
-    but not a text are documents of their own. An empty table gives no rows.
-    Classes are known by 64 bits of MD5: two different texts are taken for one
-    with a probability of 2**-64. Postings with more than ``few`` open sets are
-    compared in blocks of ``block`` sets inside tasks, the others as pairs.
+    but not a text are documents of their own. An empty table gives no rows;
+    other columns of docs are not read, whatever their names. Texts of any length
+    are taken whole; a long one has more postings, which Spark shuffles.
+
+    Classes of copies are told apart by 128 bits of MD5: ``class_bits`` of them
+    name a class, and classes that share a name are renamed. Blocks have at most
+    ``block`` classes on each side and fewer where sets are large; up to ``few``
+    classes are compared one by one, more by arrays.
     """
-    texts = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    rows = materialize(texts.mapInArrow(_features, "doc_id long, row_key long, cid long, n long, sketch binary, lists array<struct<spare:int,keys:array<bigint>>>"))
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    rows = scratch.write(widened(texts).mapInArrow(_features(class_bits), "doc_id long, row_key string, cid long, cid2 long, n long, sketch binary, lists array<struct<spare:int,keys:array<bigint>>>"))
+    while True:
+        owners = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies"), F.min("row_key").alias("row_key"), F.min("cid2").alias("low"), F.max("cid2").alias("high"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"))
+        owners = scratch.write(owners)
+        clash = owners.where("low <> high").select("cid", "low")  # about n * n / 2**65 classes at 64 bits
+        if clash.isEmpty():
+            break
+        renamed = F.when(F.col("cid2") != F.col("low"), F.xxhash64("cid", "cid2")).otherwise(F.col("cid"))
+        rows = scratch.write(rows.join(clash, "cid", "left").withColumn("cid", renamed).select(rows.columns), rows, owners)
+    total = rows.count()
     first = rows.where("lists is not null")
-    classes = first.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = owners.select("cid", "n", "sketch")
+
+    # postings that several sets share, without the most frequent ones of each set
     by_key = Window.partitionBy("key")
     by_set = Window.partitionBy("cid", "list").orderBy(F.desc("sets"), "key")
+    facts = {"least": F.min("cid"), "most": F.max("cid")}
     posted = first.select("cid", F.posexplode("lists").alias("list", "l")).select("cid", "list", "l.spare", F.explode("l.keys").alias("key"))
-    shared = materialize(
-        posted.withColumns({"least": F.min("cid").over(by_key), "most": F.max("cid").over(by_key), "sets": F.count("*").over(by_key)})
-        .where("least <> most")
-        .select("key", "cid", "list", "spare", "sets")
-        .distinct()
-        .withColumn("rank", F.row_number().over(by_set))
-        .where("rank > spare")
-        .select("key", "cid")
-        .distinct()
-        .withColumn("least", F.min("cid").over(by_key))
-    )
-    stars = materialize(shared.where("least <> cid").select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct())
-    links = _links(stars, classes, rows, texts)
+    crowded = F.broadcast(scratch.write(heavy(posted, "key", *[f.alias(c) for c, f in facts.items()]).withColumnRenamed("n", "sets")))  # SHARE rows at most
+    sets = posted.join(F.broadcast(crowded.select("key")), "key", "left_anti").withColumns({**{c: f.over(by_key) for c, f in facts.items()}, "sets": F.count("*").over(by_key)})
+    sets = sets.unionByName(posted.join(crowded, "key").select(sets.columns))
+    shared = sets.where("least <> most").select("key", "cid", "list", "spare", "sets").distinct().withColumn("rank", F.row_number().over(by_set)).where("rank > spare").select("key", "cid").distinct()
+    shared = scratch.write(shared)
+    n_shared = shared.count()
+
+    # the least class of a posting with the others, in parts of bounded size
+    centres = scratch.write(shared.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("sets")))
+    stars = scratch.write(join_facts(shared, centres, "key", "sets", n_shared).where("a <> cid").select("a", F.col("cid").alias("b")).distinct(), centres)
+    rays = scratch.write(stars.groupBy("a").agg(F.count("*").alias("rays")))
+    n_stars = stars.count()
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    centre = scratch.write(rays.join(side("a"), "a"), rays)
+    dealt = F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("rays") / block)).cast("int").alias("i")
+    near = join_facts(stars.join(side("b"), "b"), centre, "a", "rays", n_stars).select("a", dealt, "b", "n_a", "sketch_a", "n_b", "sketch_b")
+    near = scratch.write(near.mapInArrow(_star_near, "a long, i int, b long"), stars, centre)
+    none = F.array().cast("array<long>")
+    block_of = [F.col("a").alias("key"), "i", F.lit(0).alias("j")]
+    named = near.select(*block_of, F.col("b").alias("cid"), F.array("a").alias("others")).unionByName(near.select(*block_of, F.col("a").alias("cid"), none.alias("others")).distinct())
+    links = _links(named, owners, texts, total)
     found = connected_components(links)
 
     # what different components still share
     of = found.select(F.col("node").alias("cid"), "component")
-    placed = shared.join(of, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("part"))
-    open_ = placed.withColumns({"lo": F.min("part").over(by_key), "hi": F.max("part").over(by_key), "sets": F.count("*").over(by_key)}).where("lo <> hi").select("key", "cid", "part", "sets")
-    open_ = materialize(open_)
-    x, y = (open_.where(F.col("sets") <= few).select("key", F.col("cid").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
-    rest = x.join(y, "key").where("a < b and part_a <> part_b").select("a", "b")
-    rest = materialize(rest.unionByName(_crowded(open_.where(F.col("sets") > few), classes, block)).distinct().join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = _links(rest, classes, rows, texts)
+    placed = scratch.write(shared.join(of, "cid", "left").join(classes.select("cid", "n"), "cid").select("key", "cid", "n", F.coalesce("component", "cid").alias("part")), shared, near)
+    spread = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("sets"), F.sum("n").alias("mass"))
+    spread = scratch.write(spread.where("lo <> hi").select("key", "sets", "mass"))
+    open_ = scratch.write(join_facts(placed, spread, "key", "sets", n_shared).select("key", "cid", "part", "sets", "mass"), placed, spread)
+    named = scratch.write(_crowds(open_, classes, few, block, 1 << 21), open_)
+    if not named.isEmpty():
+        more = _links(named, owners, texts, total)
         if not more.isEmpty():
             found = connected_components(links.unionByName(more))
 
-    owners = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least_doc"))
-    owners = owners.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("cid", "least_doc", F.coalesce("component", "cid").alias("part"))
-    least = owners.groupBy("part").agg(F.min("least_doc").alias("component_id"))
-    named = owners.join(least, "part").select("cid", "component_id")
-    empty = rows.where("cid is null").select("doc_id", F.col("n").alias("n_shingles"), "cid", F.col("doc_id").alias("component_id"), "row_key")
-    return rows.where("cid is not null").join(named, "cid").select("doc_id", F.col("n").alias("n_shingles"), "cid", "component_id", "row_key").unionByName(empty)
+    parts = owners.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("cid", "least_doc", "copies", F.coalesce("component", "cid").alias("part"))
+    least = parts.groupBy("part").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("classes"))
+    parts, least = scratch.write(parts), scratch.write(least)
+    named = scratch.write(join_facts(parts, least, "part", "classes", parts.count()).select("cid", "copies", "component_id"))
+    slim = scratch.write(rows.select("doc_id", F.col("n").alias("n_shingles"), "cid", "row_key"))
+    scratch.keep(named, slim)
+    shown = ["doc_id", "n_shingles", "component_id", "row_key"]
+    grouped_rows = join_facts(slim.where("cid is not null"), named, "cid", "copies", total).select(shown)
+    return grouped_rows.unionByName(slim.where("cid is null").withColumn("component_id", F.col("doc_id")).select(shown))
 
 
 def near_duplicates_removed(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id; one of its repeated rows stays.
 
-    A component of null ids only keeps all its texts. The texts are shuffled once.
+    Two rows are repeated rows if id and text agree. A component of null ids only
+    keeps all its texts. Columns of docs may have any names. The texts are
+    shuffled once. An empty table stays empty.
     """
-    key = F.xxhash64(F.col(doc_col), F.col(text_col).cast("string"))
-    kept = jaccard_components(docs, doc_col, text_col).where("doc_id <=> component_id").select(F.col("row_key").alias("_row_key")).distinct()
-    return docs.withColumn("_row_key", key).join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    key = free_name(docs, "_row_key")
+    kept = jaccard_components(docs, doc_col, text_col).where("doc_id <=> component_id").select(F.col("row_key").alias(key)).distinct()
+    keyed = docs.withColumn(key, row_key(F.col(doc_col).cast("long"), F.col(text_col).cast("string")))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

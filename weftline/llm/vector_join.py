@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import Scratch
 from weftline.llm.graph import connected_components
 
 
@@ -115,7 +115,7 @@ def near_vectors(vectors: DataFrame, vec_col: str = "vec_id", embedding_col: str
     e = F.col("embedding")
     sound = F.coalesce((F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(vec_col).alias("vec_id"), F.col(embedding_col).cast("array<double>").alias("embedding")).withColumn("cid", F.when(sound, F.xxhash64("embedding")))
-    classes = materialize(rows.where("cid is not null").groupBy("cid").agg(F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("dim", F.size("embedding")))
+    classes = Scratch(vectors.sparkSession).write(rows.where("cid is not null").groupBy("cid").agg(F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("dim", F.size("embedding")))
     pivots = {}
     for r in classes.groupBy("dim").count().collect():
         k = min(max_pivots, max(1, round(r["count"] ** 0.5 / 8)))
@@ -125,7 +125,7 @@ def near_vectors(vectors: DataFrame, vec_col: str = "vec_id", embedding_col: str
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(pivots)
     schema = "cid long, embedding array<double>, n long, dim int"
-    placed = materialize(classes.select("cid", "embedding", "n", "dim").mapInArrow(_assigner(shared, (2.0 - 2.0 * cosine) ** 0.5), f"{schema}, cell int, own boolean"))
+    placed = Scratch(spark).write(classes.select("cid", "embedding", "n", "dim").mapInArrow(_assigner(shared, (2.0 - 2.0 * cosine) ** 0.5), f"{schema}, cell int, own boolean"))
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count_if("own") / block).cast("int").alias("cores"), F.ceil(F.count("*") / block).cast("int").alias("others"))
     dealt = placed.join(F.broadcast(sizes), ["dim", "cell"])  # as many rows as pivots
     mine = lambda k, c: F.pmod(F.xxhash64(F.lit(k), "cid"), F.greatest(F.lit(1), F.col(c))).cast("int")
@@ -133,7 +133,7 @@ def near_vectors(vectors: DataFrame, vec_col: str = "vec_id", embedding_col: str
     held = ["dim", "cell", "cid", "embedding", "n", "own"]
     cores = dealt.where("own").select(*held, mine(seed, "cores").alias("i"), all_of("others").alias("j"), F.lit(True).alias("core"))
     others = dealt.where("cores > 0").select(*held, all_of("cores").alias("i"), mine(seed + 1, "others").alias("j"), F.lit(False).alias("core"))
-    found = materialize(cores.unionByName(others).groupBy("dim", "cell", "i", "j").applyInArrow(_joiner(cosine), "a long, b long, n long"))
+    found = Scratch(spark).write(cores.unionByName(others).groupBy("dim", "cell", "i", "j").applyInArrow(_joiner(cosine), "a long, b long, n long"))
 
     linked = connected_components(found.where("b is not null"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "cid")
