@@ -1,5 +1,7 @@
+import random
+
 from tests.llm.helpers import rows
-from weftline.llm.html_text import extract_text, main_text
+from weftline.llm.html_text import WINDOW, extract_text, main_text, stretches
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p><article>x</article>";</script></head><body class="has-sidebar">
 <header>Site head</header><nav><ul><li><a href="/">Home</a></ul></nav><div class="ad box">Buy!</div><div id="cookie-notice">We use cookies<form>Mail <input></form></div>
@@ -39,3 +41,32 @@ def test_table(spark):
     want = main_text(PAGE)
     assert got == [(1, want, len(want)), (1, want, len(want)), (2, "", 0)]
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_names_of_text_elements():
+    page = "<article><div class='post-header'><h1 class='menu-title'>T</h1></div><p class='notice-period'>Three months.</p><p class='advert'>Buy</p><p hidden>gone</p><p style='color:red; display: none'>gone</p><p title='hidden'>Seen.</p></article>"
+    assert main_text(page) == "T Three months. Seen."
+
+
+def test_dense_text_outside_a_teaser():
+    prose = "<div><p>" + "</p><p>".join(["A long paragraph of the story that goes on and on."] * 4) + "</p></div>"
+    teaser, full = "<article><p>Read it.</p></article>", "<article>" + prose + "</article>"
+    assert main_text(f"<body>{teaser}{prose}</body>").startswith("Read it. A long") and main_text(f"<body>{teaser}{prose}</body>").count("story") == 4
+    assert main_text(f"<body>{full}<div><p>Next story, out tomorrow.</p></div></body>").count("tomorrow") == 0
+    assert main_text(f"<body>{prose}<ul><li><a>l</a><li><a>l</a><li><a>l</a></ul><div>(c) us</div></body>").endswith("goes on and on.")
+
+
+def test_stretches_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(400):
+        weights = [rng.choice([0, 0, 0, 1, 5, 12]) for _ in range(rng.randrange(0, 14))]
+        least = rng.choice([1, 6, 10, 20])
+        n = len(weights)
+        quiet = [any(0 <= s and s + WINDOW <= n and sum(weights[s : s + WINDOW]) == 0 for s in range(k - WINDOW + 1, k + 1)) for k in range(n)]
+        want = set()
+        for a in range(n):
+            for b in range(a + 1, n + 1):
+                whole = not any(quiet[a:b]) and (a == 0 or quiet[a - 1]) and (b == n or quiet[b])
+                if whole and max(sum(weights[max(a, s) : min(b, s + WINDOW)]) for s in range(a - WINDOW + 1, b)) >= least:
+                    want.add((a, b))
+        assert set(stretches(weights, least)) == want

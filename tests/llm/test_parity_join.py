@@ -88,3 +88,30 @@ def test_components_of_chains(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 103: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_classes_that_share_a_name(spark):
+    docs = [(k, " ".join(words(30, k // 2))) for k in range(24)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(parity_join.jaccard_components(df, class_bits=2), "doc_id", "n_shingles", "component_id") == brute(docs)
+
+
+def test_candidates_of_a_large_group_grow_with_its_rows(spark):
+    base = " ".join(words(120, 1, 5000))
+    docs = [(k, varied(base, 3, k)) for k in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = []
+    keep = parity_join._links
+    try:
+        parity_join._links = lambda named, *rest: (seen.append(named.count()), keep(named, *rest))[1]
+        got = rows(parity_join.jaccard_components(df), "doc_id", "n_shingles", "component_id")
+    finally:
+        parity_join._links = keep
+    assert got == brute(docs)
+    assert sum(seen) < 30 * len(docs)  # 180,000 pairs
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2)], "doc_id long, text string, _row_key string, copies int")
+    got = parity_join.near_duplicates_removed(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f", "x", 1)]

@@ -40,3 +40,18 @@ def test_stages(spark, tmp_path):
     assert kept["mixture"] == kept["benchmark"]
     whole = {r.doc_id: r.taken for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {r.doc_id: r.taken for r in docs.collect()}
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    planted(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    more = spark.createDataFrame([(900, None, None, None, None), (901, "", "en", "s1", 0), (None, None, None, None, None)], docs.schema)
+    odd = docs.unionByName(more).unionByName(docs.where("doc_id = 7")).selectExpr("*", "7.0 as score", "'kept' as predicted", "1 as lang_pred", "2 as _text", "3 as _spans", "4 as _row_key")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, str(tmp_path))
+        assert got.columns == odd.columns, name
+        found = got.collect()
+        assert {(r.score, r.predicted, r.lang_pred, r._text, r._spans, r._row_key) for r in found} == {(7.0, "kept", 1, 2, 3, 4)}
+        assert sum(r.doc_id == 7 for r in found) == (1 if name == "near_duplicates" else 2)
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, str(tmp_path)).count() == odd.count()

@@ -21,3 +21,10 @@ def test_equals_brute_force(spark):
     assert got == sorted(((k, *brute(u)) for k, u in enumerate(urls)), key=repr)
     assert judge_urls(df.limit(0), rules).count() == 0
     assert judge_urls(df, rules.limit(0)).where("verdict <> 'allow' or rule is not null").count() == 0
+
+
+def test_long_hosts(spark):
+    hosts = [".".join(["a"] * 30_000) + ".org", "." * 5000 + "example.org", "x" * 100_000]
+    df = spark.createDataFrame([(k, f"http://{h}/es/1") for k, h in enumerate(hosts)], "page_id long, url string")
+    got = rows(judge_urls(df, spark.createDataFrame(RULES, "host string, path string, verdict string")), "page_id", "rule", "verdict")
+    assert got == [(0, "org/", "allow"), (1, "example.org/es/", "block"), (2, None, "allow")]

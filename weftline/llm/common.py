@@ -16,7 +16,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: A key is heavy if it holds more than one row in SHARE and more than HEAVY rows; so at most SHARE keys are heavy.
 SHARE = 10_000
-HEAVY = 1000
+HEAVY = 256
 _BUCKETS = 1 << 16
 
 

@@ -1,12 +1,17 @@
 """HTML main text by line-block distribution.
 
 Markup is stripped into lines, one for each block; lines of menus, headers,
-footers, sidebars, notices, adverts, forms, scripts and comments weigh nothing.
-In a page with an article or main element the tags decide: all other lines
-inside are kept. Elsewhere text lengths outside links are summed over a sliding
-window of lines; where the sums surge from nothing and where they dive back
-bounds a stretch, and all lines of every stretch whose sums reach a small least
-value are kept. Runs of links only that are shorter than the window stay.
+footers, sidebars, notices, adverts, forms, scripts and comments weigh nothing
+and hold no text. Line lengths are summed over a sliding window of three lines,
+within runs of lines that are alike inside or outside an article element. Where
+the sums surge to the least weight that counts and where they dive below it
+bounds a stretch; the text between, short lines and all, is kept.
+
+Tags only weigh lines: outside links a line counts with its length, inside an
+article or main element it reaches the least weight on its own. The least weight
+of a page with such an element is four times its densest window, so what stands
+outside stays only where it is far denser (as where an article element holds but
+a teaser); on other pages it is small.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import free_name
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?>"[^"]*"|'[^']*'|[^'">])*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>""",
     re.DOTALL,
@@ -38,23 +45,38 @@ _CERTAIN = _WORDS - frozenset("sidebar sidebars menu menus nav navbar navigation
 _UNLESS = frozenset("has with no not without".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCES = frozenset("article main section div table ul ol dl body td th li aside nav".split())
+#: Elements of running text: these are dropped for a class or id only if all its words say so.
+_PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt li".split())
+#: Inside an article, these words name parts of it.
+_OWN = frozenset("header masthead banner topbar".split())
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.IGNORECASE)
+_UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 WINDOW = 3
-#: Least sum of a window, in characters outside links, at which a stretch counts, unless no stretch of the page has as much.
+#: Least sum of a window, in characters outside links, at which a stretch of a page without article counts, unless no stretch has as much.
 SURGE = 10
+#: How many times denser than the densest window of the articles what stands outside must be.
+DENSER = 4
 
 
-def _hinted(name: str, attributes: str) -> int:
-    """Whether role, class or id say that an element is no main text: 2 if certainly, 1 unless an article is inside, else 0."""
+def _hinted(name: str, attributes: str, inside: bool = False) -> int:
+    """Whether role, class, id or style say that an element is no main text: 2 if certainly, 1 unless an article is inside, else 0."""
     if not attributes.strip():
         return 0
+    if _HIDDEN.search(_QUOTED.sub('""', attributes)):
+        return 2
     found = 0
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
+        if key == "style" and _UNSEEN.search(value):
+            return 2
         if key == "role" and value in _ROLES:
             found = max(found, 1)
         if key in ("class", "id"):
             for word in value.split():
-                bits = {word} if name in ("article", "main") else set(re.split(r"[^a-z0-9]+", word))
+                bits = {word} if name in ("article", "main") else set(re.split(r"[^a-z0-9]+", word)) - {""}
+                if name in _PLAIN and not bits <= _WORDS or inside and bits & _OWN and not bits & (_WORDS - _OWN):
+                    continue
                 if bits & _WORDS and not bits & _UNLESS:
                     found = max(found, 2 if bits & _CERTAIN else 1)
     return found
@@ -133,7 +155,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             dropped = -1
         if dropped < 0:
             hard = name in _DROPPED and not (name == "header" and inside)
-            hint = 2 if hard else 0 if name in ("html", "body") else _hinted(name, rest)
+            hint = 2 if hard else 0 if name in ("html", "body") else _hinted(name, rest, inside > 0)
             if hint:
                 dropped, soft = len(stack), hint == 1
         stack.append(name)
@@ -143,33 +165,62 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def window_sums(weights: list[int]) -> list[int]:
+    """Sums over WINDOW lines that begin WINDOW - 1 lines before the first; beyond the ends lines weigh nothing."""
+    total, out = 0, []
+    for k, weight in enumerate([*weights, *[0] * (WINDOW - 1)]):
+        total += weight - (weights[k - WINDOW] if k >= WINDOW else 0)
+        out.append(total)
+    return out
+
+
+def stretches(weights: list[int], least: int) -> list[tuple[int, int]]:
+    """Surge and dive points of a run of lines: what no quiet window covers, where some window reaches ``least``.
+
+    A window is quiet if its lines weigh nothing.
+    """
+    sums = window_sums(weights)
+    quiet = {k for end in range(WINDOW - 1, len(weights)) if not sums[end] for k in range(end - WINDOW + 1, end + 1)}
+    out: list[tuple[int, int]] = []
+    first = None
+    for k in range(len(weights) + 1):
+        loud = k < len(weights) and k not in quiet
+        if loud and first is None:
+            first = k
+        elif not loud and first is not None:
+            if max(window_sums(weights[first:k])) >= least:
+                out.append((first, k))
+            first = None
+    return out
+
+
 def main_text(page: str | None) -> str:
     """Main text of a page: its blocks joined by one space; empty for a null page."""
-    lines = lines_of(page or "")
-    framed = any(text and within for text, _, within in lines)
-    if framed:  # the tags decide
-        return " ".join(text for text, _, within in lines if text and within)
-    texts = [text for text, _, _ in lines if text]
-    weights = [plain for text, plain, _ in lines if text]
-    sums = [sum(weights[k : k + WINDOW]) for k in range(len(weights) - WINDOW + 1)]
-    quiet = {k + n for k, total in enumerate(sums) if not total for n in range(WINDOW)}
-    stretches: list[tuple[int, int]] = []  # surge, dive
-    for k in range(len(texts)):
-        if k not in quiet:
-            if stretches and stretches[-1][1] == k:
-                stretches[-1] = (stretches[-1][0], k + 1)
-            else:
-                stretches.append((k, k + 1))
-    peaks = [max(sum(weights[k : min(k + WINDOW, dive)]) for k in range(surge, dive)) for surge, dive in stretches]
-    least = max(1, min(SURGE, max(peaks, default=0)))
-    return " ".join(text for (surge, dive), peak in zip(stretches, peaks, strict=True) if peak >= least for text in texts[surge:dive])
+    lines = [line for line in lines_of(page or "") if line[0]]
+    runs: list[list[tuple[str, int, bool]]] = []
+    for line in lines:
+        if runs and runs[-1][-1][2] == line[2]:
+            runs[-1].append(line)
+        else:
+            runs.append([line])
+    densest = lambda wanted: max((max(window_sums([plain for _, plain, _ in run])) for run in runs if run[0][2] == wanted), default=0)
+    framed = any(within for _, _, within in lines)
+    least = max(1, DENSER * densest(True)) if framed else max(1, min(SURGE, densest(False)))
+    kept: list[str] = []
+    for run in runs:
+        weights = [least if within else plain for _, plain, within in run]
+        for surge, dive in stretches(weights, least):
+            kept += [text for text, _, _ in run[surge:dive]]
+    return " ".join(kept)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """pages with text_col, the main text of html_col, and n_chars, its code points; they replace columns of these names.
 
     Null and empty pages and pages of markup only have an empty text. Repeated
-    rows get equal texts; an empty table gives no rows.
+    rows get equal texts; an empty table gives no rows; a very long page is read
+    whole, in time that grows with its length. Other columns stay, whatever
+    their names.
     """
 
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -177,4 +228,5 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
             yield pa.array([main_text(x) for x in batch.to_pylist()], pa.string())
 
     got = F.arrow_udf(apply, "string")(F.col(html_col).cast("string"))
-    return pages.withColumn("_text", got).drop(*{text_col, "n_chars"} - {html_col}).withColumnRenamed("_text", text_col).withColumn("n_chars", F.length(text_col).cast("long"))
+    name = free_name(pages, "_text")
+    return pages.withColumn(name, got).drop(*{text_col, "n_chars"} - {html_col}).withColumnRenamed(name, text_col).withColumn("n_chars", F.length(text_col).cast("long"))

@@ -3,7 +3,8 @@
 The size of the mix and the targets of sources come from their weights; a
 target never exceeds ``repeat`` times its source. Blocks of ``block`` words are
 allocated to sources by the highest quotients target / (2k + 1), and each
-source's blocks to its shards by their sizes in the same way. A shard is a
+source's blocks to its shards by their sizes in the same way (through areas of a
+bounded number of shards where a source has very many). A shard is a
 bounded number of documents in a seeded order, read as one stream of words: its
 quota is taken as whole passes over the stream and a seeded choice of blocks.
 """
@@ -89,7 +90,7 @@ def mix(
     repeat: int = 2,
     block: int = 32,
     shard_words: int = 1_000_000,
-    max_shards: int = 4096,
+    area: int = 4096,
     max_sources: int = 100_000,
     seed: int = 17,
     text_col: str = "text",
@@ -103,7 +104,7 @@ def mix(
     at most repeat * size. passes: whole passes; spans: the ranges of words
     [start, end) taken once more. Documents without words are taken 0 times.
     Reruns over the same rows agree; repeated rows share one place in the seeded
-    order and are each counted. Over max_sources distinct sources is an error,
+    order and are each counted. Texts of any length are counted whole. Over max_sources distinct sources is an error,
     as weights are given source by source and the table of sources is held on
     the driver. An empty table gives no rows.
     """
@@ -121,7 +122,7 @@ def mix(
     sizes = [int(r["size"]) for r in found]
     goal = targets([float(x) for x in sizes], [weights[i % len(weights)] for i in range(len(found))], size_factor * sum(sizes), repeat)
     quota = sainte_lague(goal, round(sum(goal) / block), [-(-repeat * x // block) for x in sizes])
-    shards = [min(max_shards, max(1, -(-x // shard_words))) for x in sizes]
+    shards = [max(1, -(-x // shard_words)) for x in sizes]
     plan = docs.sparkSession.createDataFrame(
         pd.DataFrame(
             {
@@ -145,15 +146,21 @@ def mix(
         passes = np.where(size > 0, want // np.maximum(size, 1), 0)
         rest = np.where(passes >= repeat, 0, want - passes * size)
         blocks = -(-size // block)
-        a, c = _strides(g["shard"].to_numpy() + g["source_no"].iloc[0] * max_shards, blocks, seed)
+        a, c = _strides(g["shard"].to_numpy() + g["source_no"].iloc[0] * area, blocks, seed)
         return pd.DataFrame({"source_no": g["source_no"], "shard": g["shard"], "passes": passes, "blocks": blocks, "chosen": np.minimum(blocks, (rest + block // 2) // block), "a": a, "c": c})
 
-    quotas = (
-        placed.groupBy("source_no", "shard", "quota")
-        .agg(F.sum("size").alias("shard_size"))
-        .groupBy("source_no")
-        .applyInPandas(divide, "source_no long, shard long, passes long, blocks long, chosen long, a long, c long")
-    )
+    def share(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("area")
+        got = sainte_lague([float(x) for x in g["size"]], int(g["quota"].iloc[0]), [int(x) for x in g["most"]])
+        return pd.DataFrame({"source_no": g["source_no"], "area": g["area"], "quota": np.array(got, dtype=np.int64)})
+
+    sized = placed.groupBy("source_no", "shard", "quota").agg(F.sum("size").alias("shard_size")).withColumn("area", F.floor(F.col("shard") / area))
+    if max(shards, default=1) > area:  # a source's quota goes to areas of shards first, so that no group is unbounded
+        most = F.sum(F.ceil(repeat * F.col("shard_size") / block)).alias("most")
+        areas = sized.groupBy("source_no", "area", "quota").agg(F.sum("shard_size").alias("size"), most)
+        areas = areas.groupBy("source_no").applyInPandas(share, "source_no long, area long, quota long")
+        sized = sized.drop("quota").join(areas, ["source_no", "area"])
+    quotas = sized.groupBy("source_no", "area").applyInPandas(divide, "source_no long, shard long, passes long, blocks long, chosen long, a long, c long")
     stream = Window.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = placed.withColumn("stop", F.sum("size").over(stream)).withColumn("start", F.col("stop") - F.col("size"))
     joined = numbered.join(quotas, ["source_no", "shard"])

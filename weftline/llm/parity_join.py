@@ -193,31 +193,31 @@ def _star_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs(key: int, same: bool, left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, int]]:
     """Candidates of a small block, one pair after another: places in left and right."""
-    for p, (cid_a, part_a, n_a, sketch_a, keys_a) in enumerate(left):
+    for p, (cid_a, part_a, hub_a, n_a, sketch_a, keys_a) in enumerate(left):
         for q in range(p + 1 if same else 0, len(right)):
-            cid_b, part_b, n_b, sketch_b, keys_b = right[q]
-            if part_a != part_b and cid_a != cid_b and may_link(n_a, sketch_a, n_b, sketch_b) and not any(k < key for k in keys_a if k in keys_b):
+            cid_b, part_b, hub_b, n_b, sketch_b, keys_b = right[q]
+            if part_a != part_b and not (hub_a or hub_b) and may_link(n_a, sketch_a, n_b, sketch_b) and not any(k < key for k in keys_a if k in keys_b):
                 yield p, q
 
 
 def _many_pairs(key: int, same: bool, left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, int]]:
     """The same by arrays, for large blocks."""
-    width = min(len(x[3]) for x in (*left, *right))
+    width = min(len(x[4]) for x in (*left, *right))
 
     def arrays(side: list[tuple]) -> tuple[np.ndarray, ...]:
-        cid, part, n = (np.array([x[c] for x in side]) for c in range(3))
-        words = np.stack([np.bitwise_xor.reduce(np.frombuffer(x[3], np.uint8).reshape(-1, width), axis=0) for x in side])
+        part, hub, n = (np.array([x[c] for x in side]) for c in (1, 2, 3))
+        words = np.stack([np.bitwise_xor.reduce(np.frombuffer(x[4], np.uint8).reshape(-1, width), axis=0) for x in side])
         keys = np.full((len(side), CARRIED), key, dtype=np.int64)  # not below key: counts as none
         for k, x in enumerate(side):
-            keys[k, : len(x[4])] = x[4]
-        return cid, part, n, np.pad(words, ((0, 0), (0, -width % 8))).view(np.uint64), keys
+            keys[k, : len(x[5])] = x[5]
+        return part, hub, n, np.pad(words, ((0, 0), (0, -width % 8))).view(np.uint64), keys
 
-    cid_a, part_a, n_a, words_a, keys_a = arrays(left)
-    cid_b, part_b, n_b, words_b, keys_b = (cid_a, part_a, n_a, words_a, keys_a) if same else arrays(right)
-    for p in range(len(left)):
+    part_a, hub_a, n_a, words_a, keys_a = arrays(left)
+    part_b, hub_b, n_b, words_b, keys_b = (part_a, hub_a, n_a, words_a, keys_a) if same else arrays(right)
+    for p in np.flatnonzero(~hub_a).tolist():
         rest = np.arange(p + 1 if same else 0, len(right))
         small, large = np.minimum(n_b[rest], n_a[p]), np.maximum(n_b[rest], n_a[p])
-        rest = rest[(part_b[rest] != part_a[p]) & (cid_b[rest] != cid_a[p]) & (5 * small >= 4 * large)]
+        rest = rest[(part_b[rest] != part_a[p]) & ~hub_b[rest] & (5 * small >= 4 * large)]
         apart = np.bitwise_count(words_b[rest] ^ words_a[p]).sum(axis=1, dtype=np.int64)
         rest = rest[9 * apart <= n_b[rest] + n_a[p]]
         earlier = keys_a[p][keys_a[p] < key]
@@ -230,7 +230,7 @@ def _many_pairs(key: int, same: bool, left: list[tuple], right: list[tuple]) ->
 def _near(few: int):
     """Candidates of blocks: for each class that has any, those after it in the block that sizes and sketches allow.
 
-    A pair that also meets under a lesser posting which both classes carry is left to that one.
+    The hub of a posting has met all its classes before. A pair that also meets under a lesser posting which both classes carry is left to that one.
     """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +295,7 @@ def _links(named: DataFrame, owners: DataFrame, texts: DataFrame, total: int) ->
     """Spanning forests (a, b) of the links among candidates; texts come to a block once for each class named there."""
     wanted = owners.join(named.select("cid").distinct(), "cid", "left_semi").select("cid", "row_key", "copies")
     scratch = Scratch(named.sparkSession)
-    wanted = scratch.write(wanted)
+    wanted = scratch.write(wanted).hint("merge")  # it grows with the rows: never broadcast
     held = scratch.write(join_facts(texts.select("row_key", "text"), wanted, "row_key", "copies", total).groupBy("cid").agg(F.first("text").alias("text")))
     met = named.join(held, "cid").select("key", "i", "j", "cid", "others", F.col("text").cast("binary"))
     links = Scratch(named.sparkSession).write(_by_block(met).mapInArrow(_verified, "a long, b long"))
@@ -304,11 +304,11 @@ def _links(named: DataFrame, owners: DataFrame, texts: DataFrame, total: int) ->
 
 
 def _crowds(members: DataFrame, classes: DataFrame, few: int, block: int, most: int) -> DataFrame:
-    """Candidates (_NAMED) among the open members (key, cid, part, sets, mass) of postings, dealt into blocks."""
+    """Candidates (_NAMED) among the open members (key, a, cid, part, sets, mass) of postings, dealt into blocks."""
     carried = members.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list("key")), 1, CARRIED).alias("keys"))  # at most a set's postings
     blocks = F.ceil(F.greatest(F.col("sets") / block, F.col("mass") / most)).cast("int")
     held = members.join(carried.join(classes, "cid"), "cid").withColumns({"at": F.pmod(F.xxhash64("cid", "key"), blocks).cast("int"), "x": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    dealt = held.select("key", F.least("at", "x").alias("i"), F.greatest("at", "x").alias("j"), "at", "cid", "part", "n", "sketch", "keys")
+    dealt = held.select("key", F.least("at", "x").alias("i"), F.greatest("at", "x").alias("j"), "at", "cid", "part", (F.col("a") == F.col("cid")).alias("hub"), "n", "sketch", "keys")
     return _by_block(dealt).mapInArrow(_near(few), _NAMED)
 
 
@@ -363,7 +363,7 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
 
     # the least class of a posting with the others, in parts of bounded size
     centres = scratch.write(shared.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("sets")))
-    stars = scratch.write(join_facts(shared, centres, "key", "sets", n_shared).where("a <> cid").select("a", F.col("cid").alias("b")).distinct(), centres)
+    stars = scratch.write(join_facts(shared, centres, "key", "sets", n_shared).where("a <> cid").select("a", F.col("cid").alias("b")).distinct())
     rays = scratch.write(stars.groupBy("a").agg(F.count("*").alias("rays")))
     n_stars = stars.count()
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
@@ -381,8 +381,8 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     of = found.select(F.col("node").alias("cid"), "component")
     placed = scratch.write(shared.join(of, "cid", "left").join(classes.select("cid", "n"), "cid").select("key", "cid", "n", F.coalesce("component", "cid").alias("part")), shared, near)
     spread = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("sets"), F.sum("n").alias("mass"))
-    spread = scratch.write(spread.where("lo <> hi").select("key", "sets", "mass"))
-    open_ = scratch.write(join_facts(placed, spread, "key", "sets", n_shared).select("key", "cid", "part", "sets", "mass"), placed, spread)
+    spread = scratch.write(spread.where("lo <> hi").join(centres.select("key", "a"), "key").select("key", "a", "sets", "mass"), centres)
+    open_ = scratch.write(join_facts(placed, spread, "key", "sets", n_shared).select("key", "a", "cid", "part", "sets", "mass"), placed, spread)
     named = scratch.write(_crowds(open_, classes, few, block, 1 << 21), open_)
     if not named.isEmpty():
         more = _links(named, owners, texts, total)

@@ -32,6 +32,10 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     rules: host, path, verdict; rows with a null are ignored, of repeated rules
     the blocking one counts. A rule fits its host and all subdomains if the path
     starts with the rule's; the longest expression wins, then the longer host.
+    Of a host only the suffixes with as many labels as some rule's host are made,
+    and of a path the prefixes as long as some rule's path, so long urls cost in
+    proportion to their length. Repeated urls are judged once; an empty table
+    gives no rows, other columns stay.
     A url without a fitting rule gets a null rule and the default verdict. Null
     urls and urls without ``://`` have an empty host and path and fit no rule.
     """
@@ -46,12 +50,15 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
         .withColumn("digest", F.sha2(F.concat_ws("\n", "r_host", "r_path"), 256))
         .withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     )
-    lengths = known.agg(F.coalesce(F.array_sort(F.collect_set(F.length("r_path"))), F.array().cast("array<int>")).alias("lengths"))
-    labels = F.split("host", r"\.")
+    labels = lambda host: F.length(host) - F.length(F.translate(host, ".", "")) + 1
+    none = F.array().cast("array<int>")
+    lengths = known.agg(F.coalesce(F.array_sort(F.collect_set(F.length("r_path"))), none).alias("lengths"), F.coalesce(F.array_sort(F.collect_set(labels("r_host"))), none).alias("depths"))
     places = split.select("host", "path").where("host <> ''").distinct()
     expressions = (
-        places.crossJoin(F.broadcast(lengths))  # one row: the distinct lengths of rule paths
-        .select("host", "path", "lengths", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("suffix"))
+        places.crossJoin(F.broadcast(lengths))  # one row: the distinct lengths of rule paths and numbers of labels of rule hosts
+        .withColumn("labels", labels("host"))
+        .select("host", "path", "lengths", F.explode(F.filter("depths", lambda k: k <= F.col("labels"))).alias("depth"))
+        .select("host", "path", "lengths", F.expr("substring_index(host, '.', -depth)").alias("suffix"))
         .select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
         .withColumn("x_digest", F.sha2(F.concat_ws("\n", "suffix", F.expr("substring(path, 1, n)")), 256))
         .withColumn("short", F.substring("x_digest", 1, PREFIX_HEX))

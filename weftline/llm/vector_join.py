@@ -102,7 +102,7 @@ def _joiner(cosine: float, step: int = 512):
     return join
 
 
-def near_vectors(vectors: DataFrame, vec_col: str = "vec_id", embedding_col: str = "embedding", cosine: float = 0.95, max_pivots: int = 1024, block: int = 2048, seed: int = 5) -> DataFrame:
+def near_vectors(vectors: DataFrame, vec_col: str = "vec_id", embedding_col: str = "embedding", cosine: float = 0.95, max_pivots: int = 1024, block: int | None = None, block_numbers: int = 1 << 19, seed: int = 5) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     n_links: other rows linked directly, copies included. component_id: the
@@ -110,32 +110,43 @@ def near_vectors(vectors: DataFrame, vec_col: str = "vec_id", embedding_col: str
     component_id. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing, nor do vectors of different lengths. Repeated
     rows are copies and link. An empty table gives no rows. Classes of equal
-    vectors are known by 64 bits.
+    vectors are known by 64 bits. Other columns are not read. A block holds
+    ``block`` vectors a side, by default block_numbers / length, so that long
+    vectors need no more memory; a cell is about one block while max_pivots last.
     """
+    kind = vectors.select(embedding_col).schema[0].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats are sent as they are, cosines are of doubles
     e = F.col("embedding")
     sound = F.coalesce((F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(vec_col).alias("vec_id"), F.col(embedding_col).cast("array<double>").alias("embedding")).withColumn("cid", F.when(sound, F.xxhash64("embedding")))
-    classes = Scratch(vectors.sparkSession).write(rows.where("cid is not null").groupBy("cid").agg(F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("dim", F.size("embedding")))
+    rows = vectors.select(F.col(vec_col).alias("vec_id"), F.col(embedding_col).cast(kind).alias("embedding")).withColumn("cid", F.when(sound, F.xxhash64("embedding")))
+    scratch = Scratch(vectors.sparkSession)
+    classes = scratch.write(rows.where("cid is not null").groupBy("cid").agg(F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("dim", F.size("embedding")))
     pivots = {}
+    sizes_of = {}
     for r in classes.groupBy("dim").count().collect():
-        k = min(max_pivots, max(1, round(r["count"] ** 0.5 / 8)))
+        sizes_of[r["dim"]] = block or max(16, block_numbers // r["dim"])
+        k = min(max_pivots, max(1, -(-r["count"] // sizes_of[r["dim"]])))
         chosen = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(seed), "cid"), "cid").limit(k).select("embedding").toArrow()
         p = _matrix(chosen["embedding"])
         pivots[r["dim"]] = p, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (p @ p.T)))
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(pivots)
-    schema = "cid long, embedding array<double>, n long, dim int"
-    placed = Scratch(spark).write(classes.select("cid", "embedding", "n", "dim").mapInArrow(_assigner(shared, (2.0 - 2.0 * cosine) ** 0.5), f"{schema}, cell int, own boolean"))
-    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count_if("own") / block).cast("int").alias("cores"), F.ceil(F.count("*") / block).cast("int").alias("others"))
+    schema = f"cid long, embedding {kind}, n long, dim int"
+    placed = scratch.write(classes.select("cid", "embedding", "n", "dim").mapInArrow(_assigner(shared, (2.0 - 2.0 * cosine) ** 0.5), f"{schema}, cell int, own boolean"))
+    limit = F.lit(1)
+    for dim, size in sizes_of.items():
+        limit = F.when(F.col("dim") == dim, size).otherwise(limit)
+    sizes = placed.groupBy("dim", "cell").agg(F.count_if("own").alias("cores"), F.count("*").alias("others")).withColumns({c: F.ceil(F.col(c) / limit).cast("int") for c in ("cores", "others")})
     dealt = placed.join(F.broadcast(sizes), ["dim", "cell"])  # as many rows as pivots
     mine = lambda k, c: F.pmod(F.xxhash64(F.lit(k), "cid"), F.greatest(F.lit(1), F.col(c))).cast("int")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     held = ["dim", "cell", "cid", "embedding", "n", "own"]
     cores = dealt.where("own").select(*held, mine(seed, "cores").alias("i"), all_of("others").alias("j"), F.lit(True).alias("core"))
     others = dealt.where("cores > 0").select(*held, all_of("cores").alias("i"), mine(seed + 1, "others").alias("j"), F.lit(False).alias("core"))
-    found = Scratch(spark).write(cores.unionByName(others).groupBy("dim", "cell", "i", "j").applyInArrow(_joiner(cosine), "a long, b long, n long"))
+    found = scratch.write(cores.unionByName(others).groupBy("dim", "cell", "i", "j").applyInArrow(_joiner(cosine), "a long, b long, n long"))
 
     linked = connected_components(found.where("b is not null"))
+    scratch.keep(found, classes)
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "cid")
     parts = classes.select("cid", "n", "least").join(linked.withColumnRenamed("node", "cid"), "cid", "left").join(counts, "cid", "left")
     parts = parts.select("cid", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least", F.coalesce("component", "cid").alias("part"))
