@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = [
     "bars_daily", "bars_hourly", "candles_valid", "ind_rsi14", "ind_change", "ind_green_run", "score_replay", "basket_score", "alerts", "checklist", "five_day_card", "feat_ranks252", "feat_q10_756",
     "labels_forward", "asof_inclusive", "asof_strict", "asof_tolerance", "breadth", "excess_return", "split_fraction", "split_summary", "confusion_storm", "direction_grid", "bin_temperature", "spearman_by_asset",
-    "probability_metrics", "top_quintile_lift", "quality_audit", "redundant_pairs", "weighted_quantile", "trailing_intervals", "interval_coverage", "settlement_join", "hash_chain", "chain_breaks", "news_categories", "session_status",
+    "probability_metrics", "top_quintile_lift", "quality_audit", "quality_audit_daily", "market_briefing", "day_icons", "walk_forward_year", "range_errors", "redundant_pairs", "weighted_quantile", "trailing_intervals", "interval_coverage", "settlement_join", "hash_chain", "chain_breaks", "news_categories", "session_status",
     "chart_payload", "stream_hourly", "stream_settle",
 ]
 

@@ -223,7 +223,7 @@ def test_news_and_views(spark):
     top = rules.top_news(items, "id", "n", "time", limit=2).collect()
     assert [(r.id, r.n, r.place) for r in top] == [("x", 2, 0), ("y", 1, 1)]
     named = items.withColumn("category", rules.news_category(F.col("title")))
-    assert [r.category for r in named.orderBy("n").collect()] == ["rates", "crypto", "energy", "other"]
+    assert [r.category for r in named.orderBy("n").collect()] == ["금리·연준", "가상자산", "원자재", rules.OTHER]
     assert rules.radar(named, "category").count() == 3
     t = spark.createDataFrame([(dt.datetime(2024, 1, 6, 3),), (dt.datetime(2024, 7, 8, 14),)], "ts timestamp")
     got = {(r.ts.month, r.city): r.status for r in rules.session_status(t, "ts").collect()}
@@ -237,4 +237,71 @@ def test_score_bounds(spark):
     rows = score.with_score(indicators.with_indicators(candles(spark, 100 * np.exp(np.cumsum(rng.normal(0, 0.03, 120))))))
     assert rows.count() == 91
     assert rows.where("temperature < 0 or temperature > 100 or rain < 0 or rain > 100 or weather is null or wind is null").isEmpty()
-    assert score.alerts(rows).select("asset", "date").distinct().count() == 91
+    assert score.alerts(rows).select("date").distinct().count() == 91
+
+
+def test_news_sees_tickers_and_whole_words(spark):
+    items = spark.createDataFrame([(0, "He said so", None), (1, "AI leads", []), (2, None, ["BTC-USD"]), (3, None, None), (4, "Crypto and Fed", ["X"]), (5, "S&P rises", None)], "n int, title string, tickers array<string>")
+    got = [r.c for r in items.select("n", rules.news_category(F.col("title"), F.col("tickers")).alias("c")).orderBy("n").collect()]
+    assert got == [rules.OTHER, "기술·AI", "가상자산", rules.OTHER, "가상자산", "증시"]
+
+
+def test_day_icon_bounds(spark):
+    cases = [(-2.4, 0.0, 0), (-2.39, 0.0, 1), (-0.1, 4.5, 0), (0.0, 9.0, 4), (-1.1, 0.0, 1), (-0.01, 3.0, 1), (-1.09, 2.9, 5), (-0.25, 0.0, 4), (0.25, 0.0, 3), (0.249, 0.0, 4), (1.2, 0.0, 2), (1.19, 0.0, 3)]
+    df = spark.createDataFrame([(float(c), float(w), k) for c, w, k in cases] + [(None, 1.0, -1)], "c double, w double, k int")
+    for r in df.select("*", rules.day_icon(F.col("c"), F.col("w")).alias("i")).collect():
+        assert r.i == (scalar.WEATHER[r.k] if r.k >= 0 else None), r
+
+
+def test_alert_bounds(spark):
+    rows = [("a", 1, 70, "보통", 71, 35, "live"), ("b", 1, 69, "강함", 72, 34, "mock"), ("c", 1, 0, "돌풍", 0, 50, "live"), ("a", 2, 0, "보통", 0, 50, "live"), ("b", 2, 69, "잔잔함", 71, 35, None)]
+    df = spark.createDataFrame(rows, "asset string, date int, rain int, wind string, ultraviolet int, temperature int, status string")
+    got = sorted(tuple(r) for r in score.alerts(df, status="status").collect())
+    assert got == sorted([("a", 1, "rain", "주의보"), ("b", 1, "mock", "안내"), ("b", 1, "wind", "주의보"), ("b", 1, "ultraviolet", "주의보"), ("b", 1, "cold", "한숨"), ("c", 1, "wind", "경보"), ("전체", 2, "calm", "안내")])
+    assert score.alerts(df.limit(0)).count() == 0
+
+
+def test_checklist_bounds(spark):
+    base = {"direction": "long", "entry": "100", "stop": "98", "target": "103", "leverage": "1", "size": "1000", "temperature": 10, "rain": 59, "ultraviolet": 69, "wind": "보통", "weather": "흐림"}
+    cases = [
+        ({}, True, "calm", []),
+        ({"target": "102.9"}, True, "calm", ["reward below 1.5 risks"]),
+        ({"leverage": "5"}, True, "calm", ["leverage from 5"]),
+        ({"leverage": "10"}, True, "caution", ["leverage from 5", "leverage from 10"]),
+        ({"stop": "30", "leverage": "1", "target": "400"}, True, "calm", []),
+        ({"stop": "67.5", "leverage": "2", "target": "400"}, True, "calm", []),
+        ({"stop": "67", "leverage": "2", "target": "400"}, True, "calm", ["stop near liquidation"]),
+        ({"rain": 60, "ultraviolet": 70}, True, "caution", ["rain", "ultraviolet"]),
+        ({"rain": 60, "ultraviolet": 70, "wind": "강함", "weather": "태풍경보", "leverage": "5"}, True, "danger", ["leverage from 5", "storm", "rain", "ultraviolet", "wind"]),
+        ({"stop": "101"}, False, "danger", ["stop on the wrong side"]),
+        ({"direction": "short", "stop": "102", "target": "97"}, True, "calm", []),
+        ({"direction": "short"}, False, "danger", ["stop on the wrong side", "target on the wrong side"]),
+        ({"entry": "-1", "rain": 99}, False, "danger", ["no entry"]),
+        ({"entry": "x", "stop": None, "target": "Infinity"}, False, "danger", ["no entry", "no stop", "no target"]),
+    ]
+    df = spark.createDataFrame([tuple({**base, **c}.values()) + (k,) for k, (c, *_) in enumerate(cases)], ", ".join(f"{n} {'int' if n in ('temperature', 'rain', 'ultraviolet') else 'string'}" for n in base) + ", k int")
+    got = {r.k: r for r in score.checklist(df).collect()}
+    for k, (_, valid, tone, warnings) in enumerate(cases):
+        assert (got[k].valid, got[k].tone, got[k].warnings) == (valid, tone, warnings), k
+    assert (got[0].reward_risk, got[0].expected_profit, got[0].expected_loss, got[3].leveraged_loss) == (1.5, 30.0, 20.0, 200.0)
+    assert got[12].reward_risk is None and got[12].expected_loss is None
+    assert score.checklist(df.withColumn("size", F.lit(None).cast("string"))).where("expected_profit is not null or leveraged_loss is not null").isEmpty()
+
+
+def test_briefing_bounds(spark):
+    df = spark.createDataFrame([(0.35, 25.0, 1.0, 56.0), (0.36, 18.0, 1.1, 55.0), (-0.35, 17.9, -1.0, 40.0), (-0.36, 24.9, -1.1, 39.0), (None, None, None, None)], "e double, f double, c double, t double")
+    got = [tuple(r) for r in df.select(*score.briefing(*(F.col(c) for c in "efct")).values()).collect()]
+    n, p, c = "neutral", "positive", "caution"
+    assert got == [(n, c, n, p), (p, n, p, n), (n, p, n, n), (c, n, c, c), (n, n, n, n)]
+
+
+def test_audit_bounds(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(400)]
+    bars = spark.createDataFrame([("a", d, 100.0 if k != 50 else 125.0, 0.0 if k < 4 else 1.0) for k, d in enumerate(days)], "asset string, date date, close double, volume double")
+    got = audit.audit(bars, None, F.lit("2021-02-04").cast("date"), regimes=(("covid", "2020-02-01", "2020-12-31", 150), ("recent", "2024-01-01", "2026-12-31", 250))).first()
+    assert (got.rows, got.expected, got.coverage, got.jumps, got.gate) == (400, 400, 100.0, 1, "pass") and got.issues == "info:jumps,info:regimes recent"
+    late = audit.audit(bars, None, F.lit("2021-02-06").cast("date"), minimum_years=2, regimes=(), locked=True).first()
+    assert late.issues == "error:history,error:stale,info:jumps,info:locked" and late.gate == "fail"
+    gone = bars.where((F.col("date") < "2020-03-01") | (F.col("date") > "2020-03-20"))
+    assert audit.audit(gone, bars, F.lit("2021-02-07").cast("date"), regimes=()).first().issues == "error:coverage,error:volume,error:gap,info:jumps"
+    assert audit.audit(gone, bars, F.lit("2021-02-07").cast("date"), regimes=(), volume_expected=False).first().issues == "error:coverage,error:gap,info:jumps"

@@ -10,36 +10,77 @@ from pyspark.sql import functions as F
 from weftline.functions.scalar import half_up
 
 
-def audit(bars: DataFrame, calendar: DataFrame, as_of: Column, minimum_years: float = 1.0, jump: float = 20.0, key: str = "asset", time: str = "date") -> DataFrame:
-    """One row per series: rows, expected rows (calendar dates within its range), coverage (at most 100), years, zero volumes, unchanged closes, jumps, longest gap, staleness, issues and gate."""
+#: Date ranges of market regimes and the rows that cover them.
+REGIMES = (
+    ("dotcom", "2000-01-01", "2003-12-31", 250),
+    ("gfc", "2007-07-01", "2009-06-30", 200),
+    ("euro", "2011-05-01", "2011-12-31", 100),
+    ("covid", "2020-02-01", "2020-12-31", 150),
+    ("inflation", "2022-01-01", "2022-12-31", 180),
+    ("recent", "2024-01-01", "2026-12-31", 250),
+)
+
+
+def audit(
+    bars: DataFrame, calendar: DataFrame | None, as_of: Column, minimum_years: float = 1.0, volume_expected: bool = True, locked: bool = False,
+    regimes: tuple = REGIMES, key: str = "asset", time: str = "date",
+) -> DataFrame:
+    """One row per series: rows, expected rows, coverage (at most 100), years, zero volumes, unchanged closes (of all changes), jumps, longest gap, staleness, issues (severity:code) and gate.
+
+    Expected rows are the dates of ``calendar`` within the series' range; without
+    a calendar the series trades every day, which also narrows the bounds of gaps
+    and staleness. Errors: rows below 200 (330) a year of minimum_years, coverage
+    below 97, over 1% zero volumes where volume is expected, gaps over 10 (2)
+    days, older than 4 (1) days. Moves of 25% and more, regimes that are not
+    covered and locked series are information. The gate is fail with an error,
+    review with a warning, else pass.
+    """
+    daily = calendar is None
     w = Window.partitionBy(key).orderBy(time)
     before = F.lag("close").over(w)
-    rows = bars.select(key, time, "volume", (F.col("close") == before).alias("same"), (F.abs(F.try_divide("close", before) - 1.0) * 100.0 > jump).alias("jump"), F.datediff(time, F.lag(time).over(w)).alias("gap"))
+    move = half_up(F.abs(F.try_divide("close", before) - 1.0) * 100.0, 9)
+    rows = bars.select(key, time, "volume", (F.col("close") == before).alias("same"), (move >= 25.0).alias("jump"), F.datediff(time, F.lag(time).over(w)).alias("gap"))
+    day = F.col(time)
     got = rows.groupBy(key).agg(
         F.count("*").alias("rows"),
         F.min(time).alias("first_date"),
         F.max(time).alias("last_date"),
         half_up(F.avg(F.when(F.col("volume") <= 0, 100.0).otherwise(0.0)), 6).alias("zero_volume"),
-        half_up(F.avg(F.when(F.coalesce("same", F.lit(False)), 100.0).otherwise(0.0)), 6).alias("unchanged"),
+        half_up(F.count_if("same") * 100.0 / F.greatest(F.lit(1), F.count("*") - 1), 6).alias("unchanged"),
         F.count_if("jump").alias("jumps"),
         F.coalesce(F.max("gap"), F.lit(0)).cast("int").alias("max_gap"),
+        *(F.count_if((day >= F.lit(a).cast("date")) & (day <= F.lit(b).cast("date"))).alias(f"_in_{name}") for name, a, b, _ in regimes),
     )
-    days = calendar.select(F.col(time).alias("_d")).distinct()
-    ends = days.groupBy(F.lit(1).alias("_one")).agg(F.sort_array(F.collect_list("_d")).alias("_days"))  # a calendar has few thousand days
-    inside = F.filter("_days", lambda d: (d >= F.col("first_date")) & (d <= F.col("last_date")))
-    expected = got.select(key, "first_date", "last_date").crossJoin(F.broadcast(ends)).select(key, F.size(inside).cast("long").alias("expected"))
-    out = got.join(expected, key).withColumns(
+    if daily:
+        expected = got.select(key, (F.datediff("last_date", "first_date") + 1).cast("long").alias("expected"))
+    else:
+        days = calendar.select(F.col(time).alias("_d")).distinct()
+        ends = days.groupBy(F.lit(1).alias("_one")).agg(F.sort_array(F.collect_list("_d")).alias("_days"))  # a calendar has few thousand days
+        inside = F.filter("_days", lambda d: (d >= F.col("first_date")) & (d <= F.col("last_date")))
+        expected = got.select(key, "first_date", "last_date").crossJoin(F.broadcast(ends)).select(key, F.size(inside).cast("long").alias("expected"))
+    out = got.join(expected, key, "left").withColumns(
         {
-            "coverage": half_up(F.least(F.lit(100.0), F.coalesce(F.try_divide(F.col("rows") * 100.0, F.col("expected")), F.lit(0.0))), 6),
+            "coverage": half_up(F.least(F.lit(100.0), F.try_divide(F.col("rows") * 100.0, F.col("expected"))), 6),
             "years": half_up(F.datediff("last_date", "first_date") / 365.25, 6),
             "stale_days": F.datediff(as_of, F.col("last_date")),
         }
     )
     issue = lambda when, name: F.when(when, F.lit(name))
+    uncovered = F.array_compact(F.array(*(issue(F.col(f"_in_{name}") < least, name) for name, _, _, least in regimes)))
     issues = F.array_compact(
-        F.array(issue(F.col("coverage") < 95, "coverage"), issue(F.col("years") < minimum_years, "history"), issue(F.col("zero_volume") > 5, "zero volume"), issue(F.col("unchanged") > 5, "unchanged"), issue(F.col("max_gap") > 10, "gap"), issue(F.col("stale_days") > 7, "stale"))
+        F.array(
+            issue(F.col("rows") < minimum_years * (330 if daily else 200), "error:history"),
+            issue(F.col("coverage") < 97, "error:coverage"),
+            issue(F.lit(volume_expected) & (F.col("zero_volume") > 1), "error:volume"),
+            issue(F.col("max_gap") > (2 if daily else 10), "error:gap"),
+            issue(F.col("stale_days") > (1 if daily else 4), "error:stale"),
+            issue(F.col("jumps") > 0, "info:jumps"),
+            F.when(F.size(uncovered) > 0, F.concat(F.lit("info:regimes "), F.array_join(uncovered, " "))),
+            issue(F.lit(locked), "info:locked"),
+        )
     )
-    return out.withColumn("issues", F.array_join(issues, ",")).withColumn("gate", F.when(F.size(issues) == 0, "pass").otherwise("fail"))
+    has = lambda severity: F.exists(issues, lambda x: x.startswith(severity))
+    return out.withColumns({"issues": F.array_join(issues, ","), "gate": F.when(has("error"), "fail").when(has("warning"), "review").otherwise("pass")}).drop(*(f"_in_{name}" for name, *_ in regimes))
 
 
 def regime_counts(bars: DataFrame, regimes: list[tuple[str, str, str]], key: str = "asset", time: str = "date") -> DataFrame:

@@ -101,15 +101,15 @@ def top_share_lift(rows: DataFrame, score: str, value: str, key: str, order: str
 
 
 def range_errors(rows: DataFrame, predicted: str, actual: str, key: str) -> DataFrame:
-    """Per key n, mae, rmse, calibration (mean actual over mean predicted), r2 (null without variance) and the lift of predictions from their 80% quantile up, ties included."""
+    """Per key n, mae, rmse, calibration (mean predicted over mean actual), r2 (null without variance) and the lift of predictions from their 80% quantile up, ties included."""
     held = rows.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
     error = F.col(predicted) - F.col(actual)
-    limit = F.percentile(predicted, 0.8).over(Window.partitionBy(key))
-    got = held.withColumn("_top", half_up(F.col(predicted), 6) >= half_up(limit, 6)).groupBy(key).agg(
+    limits = held.groupBy(key).agg(half_up(F.percentile(predicted, 0.8), 6).alias("_limit"))
+    got = held.join(limits, key).withColumn("_top", half_up(F.col(predicted), 6) >= F.col("_limit")).groupBy(key).agg(
         F.count("*").alias("n"),
         half_up(F.avg(F.abs(error)), 6).alias("mae"),
         half_up(F.sqrt(F.avg(error * error)), 6).alias("rmse"),
-        half_up(ratio(F.avg(actual), F.avg(predicted)), 6).alias("calibration"),
+        half_up(ratio(F.avg(predicted), F.avg(actual)), 6).alias("calibration"),
         half_up(1.0 - F.try_divide(F.sum(error * error), F.when(F.var_pop(actual) > 0, F.var_pop(actual) * F.count("*"))), 6).alias("r2"),
         half_up(ratio(F.avg(F.when(F.col("_top"), F.col(actual))), F.avg(actual)), 6).alias("top_lift"),
     )

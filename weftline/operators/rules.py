@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scalar import half_up
+from weftline.functions.scalar import WEATHER, half_up
 
-#: News categories in the order in which they are tried; the last is everything else.
+#: News categories and their patterns in the order in which they are tried; OTHER is everything else. Words end at ASCII characters, whatever the Java release.
 NEWS_RULES = (
-    ("crypto", r"bitcoin|btc|ethereum|crypto"),
-    ("rates", r"fed|rate|inflation|treasury|bond"),
-    ("energy", r"oil|gas|energy|opec"),
-    ("technology", r"ai|chip|software|tech|nvidia"),
-    ("markets", r"stock|market|index|shares|earnings"),
+    ("가상자산", r"bitcoin|crypto|ethereum|blockchain|btc|eth-usd|btc-usd"),
+    ("금리·연준", r"fed|federal reserve|interest rate|treasury|bond|yield|inflation|cpi|powell"),
+    ("기술·AI", r"artificial intelligence|(?<![a-z0-9_])ai(?![a-z0-9_])|nvidia|semiconductor|chip|technology|nasdaq"),
+    ("원자재", r"oil|gold|crude|commodity|opec|natural gas"),
+    ("증시", r"s&p|dow|stock|equity|wall street|market"),
 )
-OTHER = "other"
-CITIES = (("Seoul", "Asia/Seoul", 540, 930), ("London", "Europe/London", 480, 990), ("New York", "America/New_York", 570, 960))
+OTHER = "글로벌"
+#: City, time zone, minutes of the day at which its market opens and closes.
+CITIES = (("Seoul", "Asia/Seoul", 540, 930), ("Tokyo", "Asia/Tokyo", 540, 930), ("London", "Europe/London", 480, 990), ("New York", "America/New_York", 570, 960))
 
 
-def news_category(text: Column, rules: tuple = NEWS_RULES) -> Column:
-    """The first rule whose pattern the lower-cased text holds."""
+def news_category(title: Column, tickers: Column | None = None, rules: tuple = NEWS_RULES) -> Column:
+    """The first rule whose pattern the lower-cased title and related tickers (an array) hold; OTHER without any, or without both."""
+    parts = [F.coalesce(title, F.lit("")), F.array_join(F.coalesce(tickers, F.array().cast("array<string>")), " ")] if tickers is not None else [F.coalesce(title, F.lit(""))]
+    text = F.lower(F.concat_ws(" ", *parts))
     out = F.lit(OTHER)
     for name, pattern in reversed(rules):
-        out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
-    return F.coalesce(out, F.lit(OTHER))
+        out = F.when(text.rlike(pattern), name).otherwise(out)
+    return out
 
 
 def dedupe_latest(items: DataFrame, key: str, order: str) -> DataFrame:
@@ -40,7 +43,7 @@ def top_news(items: DataFrame, key: str, order: str, time: str, limit: int = 16)
 
 
 def radar(items: DataFrame, category: str, limit: int = 4) -> DataFrame:
-    """The most frequent categories but ``other``, ties by name."""
+    """The most frequent categories but OTHER, ties by name."""
     return items.where(F.col(category) != OTHER).groupBy(category).agg(F.count("*").alias("items")).orderBy(F.desc("items"), category).limit(limit)
 
 
@@ -62,8 +65,17 @@ def five_day_card(bars: DataFrame, key: str = "asset", time: str = "date") -> Da
 
 
 def day_icon(change: Column, width: Column) -> Column:
-    """Icon of a day: storm from a fall of 2 or a range of 4, rain from a fall of 0.7, sun from a rise of 0.7, else cloud."""
-    return F.when((change <= -2.0) | (width >= 4.0), "storm").when(change <= -0.7, "rain").when(change >= 0.7, "sun").otherwise("cloud")
+    """Weather class of a day by its change and its range, both in percent; null where either is."""
+    fall = change < 0
+    found = (
+        F.when((change <= -2.4) | (fall & (width >= 4.5)), WEATHER[0])
+        .when((change <= -1.1) | (fall & (width >= 3.0)), WEATHER[1])
+        .when(change < -0.25, WEATHER[5])
+        .when(change < 0.25, WEATHER[4])
+        .when(change < 1.2, WEATHER[3])
+        .otherwise(WEATHER[2])
+    )
+    return F.when(change.isNotNull() & width.isNotNull(), found)
 
 
 def session_status(instants: DataFrame, utc: str, cities: tuple = CITIES) -> DataFrame:

@@ -88,64 +88,102 @@ def basket(scores: DataFrame, key: str, weights: dict[str, float] | None = None,
     return out.withColumn("weather", weather_class(F.col("temperature"), F.col("rain"), F.col("wind"))).drop("t", "r", "u")
 
 
-def alerts(scores: DataFrame, key: str = "asset") -> DataFrame:
-    """One row for each alert of a scored symbol: rain from 70, strong wind and gusts, ultraviolet from 72, temperature below 35; a symbol without any gets ``calm``."""
-    row = lambda when, kind, level: F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level")))
+#: Levels of alerts from mild to severe, and the symbol of an alert for all.
+LEVELS = ("안내", "한숨", "주의보", "경보")
+EVERY = "전체"
+
+
+def alerts(scores: DataFrame, key: str = "asset", run: str = "date", status: str | None = None) -> DataFrame:
+    """key, run, kind, level: one row for each alert of a scored symbol in a run of scores (a date).
+
+    Sample data (``status`` says mock), rain from 70, strong wind and gusts,
+    ultraviolet from 72, temperature below 35. A run in which no symbol raises
+    anything has one row ``calm`` for all symbols; without scores there is none.
+    """
+    row = lambda when, kind, level: F.when(when, F.struct(F.lit(kind).alias("kind"), level.alias("level")))
+    info, sigh, watch, warning = map(F.lit, LEVELS)
     found = F.array_compact(
         F.array(
-            row(F.col("rain") >= 70, "rain", "warning"),
-            row(F.col("wind") == WIND[3], "wind", "warning"),
-            row(F.col("wind") == WIND[2], "wind", "watch"),
-            row(F.col("ultraviolet") >= 72, "ultraviolet", "watch"),
-            row(F.col("temperature") < 35, "cold", "watch"),
+            row(F.col(status) == "mock" if status else F.lit(False), "mock", info),
+            row(F.col("rain") >= 70, "rain", watch),
+            row(F.col("wind").isin(WIND[2], WIND[3]), "wind", F.when(F.col("wind") == WIND[3], warning).otherwise(watch)),
+            row(F.col("ultraviolet") >= 72, "ultraviolet", watch),
+            row(F.col("temperature") < 35, "cold", sigh),
         )
     )
-    calm = F.array(F.struct(F.lit("calm").alias("kind"), F.lit("info").alias("level")))
-    return scores.select(key, "date", F.explode(F.when(F.size(found) > 0, found).otherwise(calm)).alias("a")).select(key, "date", "a.kind", "a.level")
+    rows = scores.select(key, run, found.alias("a"))
+    calm = rows.groupBy(run).agg(F.sum(F.size("a")).alias("n")).where("n = 0").select(F.lit(EVERY).alias(key), run, F.lit("calm").alias("kind"), info.alias("level"))
+    return rows.select(key, run, F.inline("a")).unionByName(calm)
 
 
 def briefing(equity: Column, fear: Column, crypto: Column, temperature: Column) -> dict[str, Column]:
-    """Tones of a market briefing: equities from a mean change of +-0.35, fear from 25 and 18, crypto +-1, overall 56 and 40."""
-    tone = lambda x, low, high: F.when(x.isNull(), "unknown").when(x >= high, "good").when(x <= low, "bad").otherwise("mixed")
-    return {"equity_tone": tone(equity, -0.35, 0.35), "fear_tone": F.when(fear.isNull(), "unknown").when(fear >= 25, "bad").when(fear >= 18, "mixed").otherwise("good"), "crypto_tone": tone(crypto, -1.0, 1.0), "overall_tone": tone(temperature, 40.0, 56.0)}
+    """Tones of a market briefing: equities by a mean change beyond 0.35 either way, crypto beyond 1, fear from 25 and below 18, overall from 56 and below 40; neutral without a value."""
+    tone = lambda good, bad: F.when(good, "positive").when(bad, "caution").otherwise("neutral")
+    return {
+        "equity_tone": tone(equity > 0.35, equity < -0.35),
+        "fear_tone": tone(fear < 18, fear >= 25),
+        "crypto_tone": tone(crypto > 1, crypto < -1),
+        "overall_tone": tone(temperature >= 56, temperature < 40),
+    }
 
 
 def checklist(inputs: DataFrame) -> DataFrame:
-    """Judges planned trades (direction, entry, stop, target, leverage, size as texts; temperature, rain, weather).
+    """Judges planned trades (direction, entry, stop, target, leverage, size as texts; temperature, rain, ultraviolet, wind, weather).
 
-    reward_risk, risk_percent, loss and profit of the plan, and warnings; tone is
-    ``danger`` from five warnings, ``caution`` from two, else ``ready``.
+    A number that is missing, not finite or not positive is none; leverage is
+    then 1. Without entry, stop or target nothing is calculated, the plan is not
+    valid and its tone is ``danger``, as it is with a stop or target on the wrong
+    side or from five warnings; ``caution`` from two, else ``calm``. Amounts need
+    a size and are rounded to 2 digits.
     """
-    number = lambda c: F.when(F.col(c).try_cast("double") > 0, F.col(c).try_cast("double"))
+
+    def number(c: str) -> Column:
+        x = F.col(c).try_cast("double")
+        return F.when((x > 0) & ~F.isnan(x) & (x < float("inf")), x)
+
     rows = inputs.withColumns({f"_{c}": number(c) for c in ("entry", "stop", "target", "leverage", "size")})
-    sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
-    rows = rows.withColumns({"_risk": (F.col("_entry") - F.col("_stop")) * sign, "_reward": (F.col("_target") - F.col("_entry")) * sign, "_lev": F.coalesce("_leverage", F.lit(1.0))})
+    long = F.col("direction") == "long"
+    planned = F.col("_entry").isNotNull() & F.col("_stop").isNotNull() & F.col("_target").isNotNull()
     rows = rows.withColumns(
         {
-            "reward_risk": F.when(F.col("_risk") > 0, half_up(F.try_divide("_reward", "_risk"), 6)),
-            "risk_percent": half_up(F.try_divide("_risk", "_entry") * 100.0, 6),
-            "loss": half_up(F.try_divide("_risk", "_entry") * F.col("_size") * F.col("_lev"), 4),
-            "profit": half_up(F.try_divide("_reward", "_entry") * F.col("_size") * F.col("_lev"), 4),
+            "_planned": planned,
+            "_stop_good": F.when(long, F.col("_stop") < F.col("_entry")).otherwise(F.col("_stop") > F.col("_entry")),
+            "_target_good": F.when(long, F.col("_target") > F.col("_entry")).otherwise(F.col("_target") < F.col("_entry")),
+            "_risk": F.abs(F.col("_entry") - F.col("_stop")),
+            "_reward": F.abs(F.col("_target") - F.col("_entry")),
+            "_lev": F.coalesce("_leverage", F.lit(1.0)),
         }
     )
+    rows = rows.withColumns({"_ratio": half_up(F.try_divide("_reward", "_risk"), 9), "_loss": F.try_divide("_risk", "_entry"), "_profit": F.try_divide("_reward", "_entry")})
+    rows = rows.withColumn("_apart", half_up(F.col("_loss") * 100.0, 9))
     warn = lambda when, name: F.when(when, F.lit(name))
-    long = F.col("direction") == "long"
-    found = F.array_compact(
-        F.array(
-            warn(F.col("_entry").isNull(), "no entry"),
-            warn(F.col("_stop").isNull(), "no stop"),
-            warn(F.col("_target").isNull(), "no target"),
-            warn(F.col("_risk") <= 0, "stop on the wrong side"),
-            warn(F.col("_reward") <= 0, "target on the wrong side"),
-            warn(F.col("reward_risk") < 1.5, "reward below 1.5 risks"),
-            warn(F.col("_lev") >= 10, "leverage from 10"),
-            warn((F.col("_lev") >= 5) & (F.col("_lev") < 10), "leverage from 5"),
-            warn(F.col("risk_percent") > 65.0 / F.col("_lev"), "stop beyond 65% of the margin"),
-            warn(long & (F.col("temperature") < 45), "long in the cold"),
-            warn(~long & (F.col("temperature") >= 66), "short in the heat"),
-            warn(F.col("rain") >= 62, "rain"),
-            warn(F.col("weather") == WEATHER[0], "storm"),
+    missing = [warn(F.col(f"_{c}").isNull(), f"no {c}") for c in ("entry", "stop", "target")]
+    judged = [
+        warn(~F.col("_stop_good"), "stop on the wrong side"),
+        warn(~F.col("_target_good"), "target on the wrong side"),
+        warn(F.col("_ratio") < 1.5, "reward below 1.5 risks"),
+        warn(F.col("_lev") >= 5, "leverage from 5"),
+        warn(F.col("_lev") >= 10, "leverage from 10"),
+        warn((F.col("_lev") > 1) & (F.col("_apart") > 100.0 / F.col("_lev") * 0.65), "stop near liquidation"),
+        warn(F.col("weather") == WEATHER[0], "storm"),
+        warn(F.col("rain") >= 60, "rain"),
+        warn(F.col("ultraviolet") >= 70, "ultraviolet"),
+        warn(F.col("wind").isin(WIND[2], WIND[3]), "wind"),
+    ]
+    good = F.col("_planned") & F.col("_stop_good") & F.col("_target_good")
+    amount = lambda x: F.when(F.col("_planned") & F.col("_size").isNotNull(), half_up(x, 2))
+    return (
+        rows.withColumns(
+            {
+                "valid": F.coalesce(good, F.lit(False)),
+                "reward_risk": F.when(F.col("_planned"), half_up(F.col("_ratio"), 2)),
+                "expected_profit": amount(F.col("_size") * F.col("_profit")),
+                "expected_loss": amount(F.col("_size") * F.col("_loss")),
+                "leveraged_profit": amount(F.col("_size") * F.col("_profit") * F.col("_lev")),
+                "leveraged_loss": amount(F.col("_size") * F.col("_loss") * F.col("_lev")),
+                "warnings": F.when(F.col("_planned"), F.array_compact(F.array(*judged))).otherwise(F.array_compact(F.array(*missing))),
+            }
         )
+        .withColumn("tone", F.when(~F.col("valid") | (F.size("warnings") >= 5), "danger").when(F.size("warnings") >= 2, "caution").otherwise("calm"))
+        .drop("_entry", "_stop", "_target", "_leverage", "_size", "_planned", "_stop_good", "_target_good", "_risk", "_reward", "_lev", "_ratio", "_loss", "_profit", "_apart")
     )
-    tone = F.when(F.size("warnings") >= 5, "danger").when(F.size("warnings") >= 2, "caution").otherwise("ready")
-    return rows.withColumn("warnings", found).withColumn("tone", tone).drop("_entry", "_stop", "_target", "_leverage", "_size", "_risk", "_reward", "_lev")

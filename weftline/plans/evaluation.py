@@ -132,7 +132,7 @@ def spearman_by_asset(spark, sf_dir):
             "q": "SELECT *, atr14 - next_true_range AS e, quantile_cont(atr14, 0.8) OVER (PARTITION BY asset) AS l FROM panel",
         },
     )
-    + f"SELECT asset, count(*) AS n, {h('avg(abs(e))', 6)} AS mae, {h('sqrt(avg(e * e))', 6)} AS rmse, {h('avg(next_true_range) / avg(atr14)', 6)} AS calibration, {h('1.0 - sum(e * e) / (var_pop(next_true_range) * count(*))', 6)} AS r2, {h('(avg(next_true_range) FILTER (' + h('atr14', 6) + ' >= ' + h('l', 6) + ')) / avg(next_true_range)', 6)} AS top_lift FROM q GROUP BY asset",
+    + f"SELECT asset, count(*) AS n, {h('avg(abs(e))', 6)} AS mae, {h('sqrt(avg(e * e))', 6)} AS rmse, {h('avg(atr14) / avg(next_true_range)', 6)} AS calibration, {h('1.0 - sum(e * e) / (var_pop(next_true_range) * count(*))', 6)} AS r2, {h('(avg(next_true_range) FILTER (' + h('atr14', 6) + ' >= ' + h('l', 6) + ')) / avg(next_true_range)', 6)} AS top_lift FROM q GROUP BY asset",
 )
 def range_errors(spark, sf_dir):
     return metrics.range_errors(panel_rows(spark, sf_dir), "atr14", "next_true_range", "asset")
@@ -192,25 +192,45 @@ def top_decile(spark, sf_dir):
     return metrics.top_decile(panel_rows(spark, sf_dir), "atr_rank252", "tail1", "asset")
 
 
+_RANK = "rank() OVER (PARTITION BY asset, year ORDER BY {0}) + (count(*) OVER (PARTITION BY asset, year, {0}) - 1) / 2.0"
+
+
+def _rank_correlation(x: str, y: str) -> str:
+    vx, vy = (f"(count(*) * sum({c} * {c}) - sum({c}) * sum({c}))" for c in (x, y))
+    return h(f"CASE WHEN {vx} > 0 AND {vy} > 0 THEN (count(*) * sum({x} * {y}) - sum({x}) * sum({y})) / sqrt(CAST({vx} AS DOUBLE) * {vy}) END", 6)
+
+
 @query(
     "walk_forward_year",
     chain(
         "obs",
         more={
-            "y": "SELECT asset, year(date) AS year, rain, next_true_range, fwd_drawdown3 FROM obs",
-            "t": "SELECT c.asset AS asset, c.year AS year, quantile_cont(p.next_true_range, 0.8) AS cut, count(*) AS prior FROM (SELECT DISTINCT asset, year FROM y) c JOIN y p ON p.asset = c.asset AND p.year < c.year GROUP BY ALL",
+            "y": f"SELECT asset, year(date) AS year, temperature, rain, weather, {h('fwd_return1', 9)} AS r1, {h('next_true_range', 9)} AS tr FROM obs",
+            "t": f"SELECT c.asset AS asset, c.year AS year, {h('quantile_cont(p.tr, 0.8)', 6)} AS cut, count(*) AS prior FROM (SELECT DISTINCT asset, year FROM y) c JOIN y p ON p.asset = c.asset AND p.year < c.year GROUP BY ALL",
+            "k": f"SELECT *, {_RANK.format('temperature')} AS kt, {_RANK.format('rain')} AS kr, {_RANK.format('r1')} AS k1, {_RANK.format('tr')} AS kx, weather = '태풍경보' AS s FROM y",
+            "g": f"SELECT asset, year, prior, count(*) AS rows, cut AS threshold, {_rank_correlation('kt', 'k1')} AS temperature_return_spearman, {_rank_correlation('kr', 'kx')} AS rain_range_spearman, count_if(s) AS alerts, count_if({h('tr', 6)} >= cut) AS events, count_if(s AND {h('tr', 6)} >= cut) AS hits FROM k JOIN t USING (asset, year) WHERE prior >= 750 GROUP BY asset, year, prior, cut HAVING count(*) >= 50",
         },
     )
-    + f"SELECT asset, year, prior, count(*) AS rows, {h('cut', 6)} AS threshold, CAST(count_if({h('next_true_range', 6)} >= {h('cut', 6)}) AS BIGINT) AS events FROM y JOIN t USING (asset, year) WHERE prior >= 500 GROUP BY asset, year, prior, cut HAVING count(*) >= 50",
+    + f"SELECT asset, year, prior, rows, threshold, temperature_return_spearman, rain_range_spearman, CASE WHEN alerts > 0 THEN {h('hits / CAST(alerts AS DOUBLE)', 6)} END AS storm_precision, CASE WHEN events > 0 THEN {h('hits / CAST(events AS DOUBLE)', 6)} END AS storm_recall, CASE WHEN alerts > 0 AND events > 0 THEN {h('(hits / CAST(alerts AS DOUBLE)) / (events / CAST(rows AS DOUBLE))', 6)} END AS storm_lift FROM g",
 )
 def walk_forward_year(spark, sf_dir):
-    rows = observations(spark, sf_dir).select("asset", F.year("date").alias("year"), "next_true_range")
-    years = rows.select("asset", "year").distinct()
-    prior = rows.select("asset", F.col("year").alias("_old"), F.col("next_true_range").alias("_r"))
-    cuts = years.join(prior, "asset").where("_old < year").groupBy("asset", "year").agg(F.percentile("_r", 0.8).alias("cut"), F.count("*").alias("prior")).where("prior >= 500")
-    hit = half_up(F.col("next_true_range"), 6) >= half_up(F.col("cut"), 6)
-    out = rows.join(cuts, ["asset", "year"]).groupBy("asset", "year", "prior", half_up(F.col("cut"), 6).alias("threshold")).agg(F.count("*").alias("rows"), F.count_if(hit).alias("events"))
-    return out.where("rows >= 50")
+    """Years of at least 50 rows with 750 before them: the range threshold of the rows before, rank correlations, and storms against ranges from the threshold on."""
+    rows = observations(spark, sf_dir).select("asset", F.year("date").alias("year"), "temperature", "rain", "weather", half_up(F.col("fwd_return1"), 9).alias("r1"), half_up(F.col("next_true_range"), 9).alias("tr"))
+    years = rows.groupBy("asset", "year").agg(F.count("*").alias("rows"))
+    prior = rows.select("asset", F.col("year").alias("_old"), F.col("tr").alias("_r"))
+    cuts = years.join(prior, "asset").where("_old < year").groupBy("asset", "year", "rows").agg(half_up(F.percentile("_r", 0.8), 6).alias("threshold"), F.count("*").alias("prior")).where("prior >= 750 and rows >= 50")
+    storm, event = F.col("weather") == WEATHER[0], half_up(F.col("tr"), 6) >= F.col("threshold")
+    keys = ["asset", "year"]
+    judged = rows.join(cuts, keys).groupBy(*keys, "prior", "rows", "threshold").agg(F.count_if(storm).alias("alerts"), F.count_if(event).alias("events"), F.count_if(storm & event).alias("hits"))
+    for x, y, name in (("temperature", "r1", "temperature_return_spearman"), ("rain", "tr", "rain_range_spearman")):
+        judged = judged.join(metrics.spearman(rows, x, y, keys).select(*keys, F.col("spearman").alias(name)), keys)
+    precision = F.try_divide(F.col("hits").cast("double"), F.col("alerts"))
+    return judged.select(
+        *keys, "prior", "rows", "threshold", "temperature_return_spearman", "rain_range_spearman",
+        half_up(precision, 6).alias("storm_precision"),
+        half_up(F.try_divide(F.col("hits").cast("double"), F.col("events")), 6).alias("storm_recall"),
+        half_up(F.try_divide(precision, F.when(F.col("events") > 0, F.col("events") / F.col("rows"))), 6).alias("storm_lift"),
+    )
 
 
 @query("yearly_stability", chain("obs") + f"SELECT asset, year(date) AS year, count(*) AS rows, {h('avg(fwd_return1)', 6)} AS return1, {h('avg(CAST((temperature >= 50) = (fwd_return1 > 0) AS INT))', 6)} AS accuracy FROM obs GROUP BY ALL")
@@ -226,26 +246,46 @@ def grouping_sets_metrics(spark, sf_dir):
     return rows.groupingSets([[], [asset], [year], [asset, year]], asset, year).agg(F.count("*").alias("rows"), half_up(F.avg("next_true_range"), 6).alias("mean_range")).select("asset", "year", "rows", "mean_range")
 
 
-@query(
-    "quality_audit",
-    chain(
-        "bars",
-        "market",
-        more={
-            "r": "SELECT *, lag(close) OVER w AS b, date - lag(date) OVER w AS gap FROM bars WINDOW w AS (PARTITION BY asset ORDER BY date)",
-            "g": f"SELECT asset, count(*) AS rows, min(date) AS first_date, max(date) AS last_date, {h('avg(CASE WHEN volume <= 0 THEN 100e0 ELSE 0e0 END)', 6)} AS zero_volume, {h('avg(CASE WHEN coalesce(close = b, false) THEN 100e0 ELSE 0e0 END)', 6)} AS unchanged, CAST(count_if(abs(close / b - 1.0) * 100.0 > 20) AS BIGINT) AS jumps, CAST(coalesce(max(gap), 0) AS INT) AS max_gap FROM r GROUP BY asset",
-            "e": "SELECT g.asset AS asset, count(DISTINCT m.date) AS expected FROM g LEFT JOIN market m ON m.date BETWEEN first_date AND last_date GROUP BY g.asset",
-            "c": f"SELECT *, {h('least(100e0, rows * 100.0 / expected)', 6)} AS coverage, {h('(last_date - first_date) / 365.25e0', 6)} AS years, CAST(DATE '1999-01-01' - last_date AS INT) AS stale_days FROM g JOIN e USING (asset)",
-            "i": "SELECT *, list_filter([CASE WHEN coverage < 95 THEN 'coverage' END, CASE WHEN years < 1 THEN 'history' END, CASE WHEN zero_volume > 5 THEN 'zero volume' END, CASE WHEN unchanged > 5 THEN 'unchanged' END, CASE WHEN max_gap > 10 THEN 'gap' END, CASE WHEN stale_days > 7 THEN 'stale' END], lambda x: x IS NOT NULL) AS l FROM c",
-        },
+#: Regimes within the years of the tables.
+_PERIODS = (("first", "1995-01-01", "1996-12-31", 250), ("second", "1996-07-01", "1997-06-30", 200), ("later", "2020-01-01", "2020-12-31", 150))
+_UNCOVERED = ", ".join(f"CASE WHEN count_if(date BETWEEN DATE '{a}' AND DATE '{b}') < {n} THEN '{name}' END" for name, a, b, n in _PERIODS)
+
+
+def _audit_sql(daily: bool) -> str:
+    year, gap, stale = (330, 2, 1) if daily else (200, 10, 4)
+    expected = "SELECT asset, CAST(last_date - first_date + 1 AS BIGINT) AS expected FROM g" if daily else "SELECT g.asset AS asset, count(DISTINCT m.date) AS expected FROM g LEFT JOIN market m ON m.date BETWEEN first_date AND last_date GROUP BY g.asset"
+    return (
+        chain(
+            "bars",
+            "market",
+            more={
+                "r": "SELECT *, lag(close) OVER w AS b, date - lag(date) OVER w AS gap FROM bars WINDOW w AS (PARTITION BY asset ORDER BY date)",
+                "g": f"SELECT asset, count(*) AS rows, min(date) AS first_date, max(date) AS last_date, {h('avg(CASE WHEN volume <= 0 THEN 100e0 ELSE 0e0 END)', 6)} AS zero_volume, {h('count_if(close = b) * 100e0 / greatest(1, count(*) - 1)', 6)} AS unchanged, CAST(count_if({h('abs(close / b - 1.0) * 100.0', 9)} >= 25) AS BIGINT) AS jumps, CAST(coalesce(max(gap), 0) AS INT) AS max_gap, array_to_string(list_filter([{_UNCOVERED}], lambda x: x IS NOT NULL), ' ') AS u FROM r GROUP BY asset",
+                "e": expected,
+                "c": f"SELECT *, {h('least(100e0, rows * 100.0 / expected)', 6)} AS coverage, {h('(last_date - first_date) / 365.25e0', 6)} AS years, CAST(DATE '2001-11-05' - last_date AS INT) AS stale_days FROM g JOIN e USING (asset)",
+                "i": f"SELECT *, list_filter([CASE WHEN rows < 3 * {year} THEN 'error:history' END, CASE WHEN coverage < 97 THEN 'error:coverage' END, CASE WHEN zero_volume > 1 THEN 'error:volume' END, CASE WHEN max_gap > {gap} THEN 'error:gap' END, CASE WHEN stale_days > {stale} THEN 'error:stale' END, CASE WHEN jumps > 0 THEN 'info:jumps' END, CASE WHEN u <> '' THEN 'info:regimes ' || u END], lambda x: x IS NOT NULL) AS l FROM c",
+            },
+        )
+        + "SELECT asset, rows, expected, coverage, years, zero_volume, unchanged, jumps, max_gap, stale_days, array_to_string(l, ',') AS issues, CASE WHEN len(list_filter(l, lambda x: starts_with(x, 'error'))) > 0 THEN 'fail' ELSE 'pass' END AS gate FROM i"
     )
-    + "SELECT asset, rows, expected, coverage, years, zero_volume, unchanged, jumps, max_gap, stale_days, array_to_string(l, ',') AS issues, CASE WHEN len(l) = 0 THEN 'pass' ELSE 'fail' END AS gate FROM i",
-)
-def quality_audit(spark, sf_dir):
-    out = audit.audit(source.daily_bars(spark, sf_dir), source.market_bars(spark, sf_dir), F.lit("1999-01-01").cast("date"))
+
+
+def _audited(spark, sf_dir, calendar):
+    out = audit.audit(source.daily_bars(spark, sf_dir), calendar, F.lit("2001-11-05").cast("date"), minimum_years=3, regimes=_PERIODS)
     return out.select("asset", "rows", "expected", "coverage", "years", "zero_volume", "unchanged", "jumps", "max_gap", "stale_days", "issues", "gate")
 
 
+@query("quality_audit", _audit_sql(False))
+def quality_audit(spark, sf_dir):
+    return _audited(spark, sf_dir, source.market_bars(spark, sf_dir))
+
+
+@query("quality_audit_daily", _audit_sql(True))
+def quality_audit_daily(spark, sf_dir):
+    """The same for series that trade every day."""
+    return _audited(spark, sf_dir, None)
+
+
 REGIMES = [("early", "1992-01-01", "1993-12-31"), ("middle", "1993-07-01", "1996-06-30"), ("late", "1996-01-01", "1998-12-31")]
 
 

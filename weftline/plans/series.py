@@ -143,8 +143,8 @@ def basket_score(spark, sf_dir):
     chain(
         "score",
         more={
-            "a": "SELECT asset, date, unnest(list_filter([CASE WHEN rain >= 70 THEN 'rain/warning' END, CASE WHEN wind = '돌풍' THEN 'wind/warning' END, CASE WHEN wind = '강함' THEN 'wind/watch' END, CASE WHEN ultraviolet >= 72 THEN 'ultraviolet/watch' END, CASE WHEN temperature < 35 THEN 'cold/watch' END], lambda x: x IS NOT NULL)) AS a FROM score",
-            "b": "SELECT asset, date, a FROM a UNION ALL SELECT asset, date, 'calm/info' FROM score ANTI JOIN a USING (asset, date)",
+            "a": "SELECT asset, date, unnest(list_filter([CASE WHEN rain >= 70 THEN 'rain/주의보' END, CASE WHEN wind = '돌풍' THEN 'wind/경보' WHEN wind = '강함' THEN 'wind/주의보' END, CASE WHEN ultraviolet >= 72 THEN 'ultraviolet/주의보' END, CASE WHEN temperature < 35 THEN 'cold/한숨' END], lambda x: x IS NOT NULL)) AS a FROM score",
+            "b": "SELECT asset, date, a FROM a UNION ALL SELECT DISTINCT '전체', date, 'calm/안내' FROM score WHERE date NOT IN (SELECT date FROM a)",
         },
     )
     + "SELECT asset, date, split_part(a, '/', 1) AS kind, split_part(a, '/', 2) AS level FROM b",
@@ -153,27 +153,44 @@ def alerts(spark, sf_dir):
     return score.alerts(score_rows(spark, sf_dir))
 
 
+@query(
+    "market_briefing",
+    chain(
+        "score",
+        more={
+            "d": f"SELECT date, max(CASE WHEN asset = 'AF' THEN change1 END) AS sp, max(CASE WHEN asset = 'NO' THEN change1 END) AS nq, max(CASE WHEN asset = 'RF' THEN close END) AS vix, max(CASE WHEN asset = 'NF' THEN change1 END) AS btc, {h('avg(temperature)')} AS temperature FROM score GROUP BY date",
+            "e": f"SELECT *, {h('(sp + nq) / 2.0', 9)} AS eq FROM d",
+        },
+    )
+    + "SELECT date, CASE WHEN eq > 0.35 THEN 'positive' WHEN eq < -0.35 THEN 'caution' ELSE 'neutral' END AS equity_tone, CASE WHEN vix >= 25 THEN 'caution' WHEN vix < 18 THEN 'positive' ELSE 'neutral' END AS fear_tone, CASE WHEN btc > 1 THEN 'positive' WHEN btc < -1 THEN 'caution' ELSE 'neutral' END AS crypto_tone, CASE WHEN temperature >= 56 THEN 'positive' WHEN temperature < 40 THEN 'caution' ELSE 'neutral' END AS overall_tone FROM e",
+)
+def market_briefing(spark, sf_dir):
+    of = lambda asset, c: F.max(F.when(F.col("asset") == asset, F.col(c)))
+    days = score_rows(spark, sf_dir).groupBy("date").agg(of("AF", "change1").alias("sp"), of("NO", "change1").alias("nq"), of("RF", "close").alias("vix"), of("NF", "change1").alias("btc"), half_up(F.avg("temperature")).alias("temperature"))
+    tones = score.briefing(half_up((F.col("sp") + F.col("nq")) / 2.0, 9), F.col("vix"), F.col("btc"), F.col("temperature"))
+    return days.select("date", *(c.alias(n) for n, c in tones.items()))
+
+
 @query(
     "checklist",
     chain(
         "score",
         more={
-            "i": "SELECT asset, date, CASE WHEN change5 >= 0 THEN 'long' ELSE 'short' END AS direction, close AS e, low * 0.98e0 AS s, high * 1.03e0 AS t, CASE WHEN atr14 > 40 THEN 12e0 ELSE 3e0 END AS l, temperature, rain, weather FROM score",
-            "j": "SELECT *, CASE WHEN direction = 'long' THEN 1e0 ELSE -1e0 END AS g FROM i",
-            "k": "SELECT *, (e - s) * g AS risk, (t - e) * g AS reward FROM j",
-            "l": f"SELECT *, CASE WHEN risk > 0 THEN {h('reward / risk', 6)} END AS reward_risk, {h('risk / e * 100.0', 6)} AS risk_percent FROM k",
-            "w": "SELECT *, list_filter([CASE WHEN risk <= 0 THEN 'stop on the wrong side' END, CASE WHEN reward <= 0 THEN 'target on the wrong side' END, CASE WHEN reward_risk < 1.5 THEN 'reward below 1.5 risks' END, CASE WHEN l >= 10 THEN 'leverage from 10' END, CASE WHEN l >= 5 AND l < 10 THEN 'leverage from 5' END, CASE WHEN risk_percent > 65.0 / l THEN 'stop beyond 65% of the margin' END, CASE WHEN direction = 'long' AND temperature < 45 THEN 'long in the cold' END, CASE WHEN direction <> 'long' AND temperature >= 66 THEN 'short in the heat' END, CASE WHEN rain >= 62 THEN 'rain' END, CASE WHEN weather = '태풍경보' THEN 'storm' END], lambda x: x IS NOT NULL) AS ws FROM l",
+            "i": "SELECT asset, date, CASE WHEN change5 >= 0 THEN 'long' ELSE 'short' END AS direction, close AS e, CASE WHEN volume <> 3 THEN low * 0.98e0 END AS s, high * 1.03e0 AS t, CASE WHEN atr14 > 40 THEN 12e0 WHEN atr14 > 20 THEN 1e0 ELSE 6e0 END AS l, rain, ultraviolet, wind, weather FROM score",
+            "k": f"SELECT *, CASE WHEN direction = 'long' THEN s < e ELSE s > e END AS sg, CASE WHEN direction = 'long' THEN t > e ELSE t < e END AS tg, CASE WHEN abs(e - s) <> 0 THEN {h('abs(t - e) / abs(e - s)', 9)} END AS ratio, {h('abs(e - s) / e * 100.0', 9)} AS apart FROM i",
+            "w": "SELECT *, CASE WHEN s IS NULL THEN ['no stop'] ELSE list_filter([CASE WHEN NOT sg THEN 'stop on the wrong side' END, CASE WHEN NOT tg THEN 'target on the wrong side' END, CASE WHEN ratio < 1.5 THEN 'reward below 1.5 risks' END, CASE WHEN l >= 5 THEN 'leverage from 5' END, CASE WHEN l >= 10 THEN 'leverage from 10' END, CASE WHEN l > 1 AND apart > 100.0 / l * 0.65 THEN 'stop near liquidation' END, CASE WHEN weather = '태풍경보' THEN 'storm' END, CASE WHEN rain >= 60 THEN 'rain' END, CASE WHEN ultraviolet >= 70 THEN 'ultraviolet' END, CASE WHEN wind IN ('강함', '돌풍') THEN 'wind' END], lambda x: x IS NOT NULL) END AS ws FROM k",
         },
     )
-    + "SELECT asset, date, direction, reward_risk, risk_percent, array_to_string(ws, ';') AS warnings, CASE WHEN len(ws) >= 5 THEN 'danger' WHEN len(ws) >= 2 THEN 'caution' ELSE 'ready' END AS tone FROM w",
+    + f"SELECT asset, date, direction, s IS NOT NULL AND sg AND tg AS valid, CASE WHEN s IS NOT NULL THEN {h('ratio', 2)} END AS reward_risk, CASE WHEN s IS NOT NULL THEN {h('1000e0 * (abs(e - s) / e)', 2)} END AS expected_loss, array_to_string(ws, ';') AS warnings, CASE WHEN s IS NULL OR NOT sg OR NOT tg OR len(ws) >= 5 THEN 'danger' WHEN len(ws) >= 2 THEN 'caution' ELSE 'calm' END AS tone FROM w",
 )
 def checklist(spark, sf_dir):
+    """Every scored bar as a plan in the direction of its week; some plans lack a stop."""
     text = lambda c: c.cast("string")
     rows = score_rows(spark, sf_dir).select(
-        "asset", "date", F.when(F.col("change5") >= 0, "long").otherwise("short").alias("direction"), text(F.col("close")).alias("entry"), text(F.col("low") * 0.98).alias("stop"), text(F.col("high") * 1.03).alias("target"),
-        F.when(F.col("atr14") > 40, "12").otherwise("3").alias("leverage"), F.lit("1000").alias("size"), "temperature", "rain", "weather",
+        "asset", "date", F.when(F.col("change5") >= 0, "long").otherwise("short").alias("direction"), text(F.col("close")).alias("entry"), text(F.when(F.col("volume") != 3, F.col("low") * 0.98)).alias("stop"), text(F.col("high") * 1.03).alias("target"),
+        F.when(F.col("atr14") > 40, "12").when(F.col("atr14") > 20, "broken").otherwise("6").alias("leverage"), F.lit("1000").alias("size"), "rain", "ultraviolet", "wind", "weather",
     )
-    return score.checklist(rows).select("asset", "date", "direction", "reward_risk", "risk_percent", F.array_join("warnings", ";").alias("warnings"), "tone")
+    return score.checklist(rows).select("asset", "date", "direction", "valid", "reward_risk", "expected_loss", F.array_join("warnings", ";").alias("warnings"), "tone")
 
 
 @query(
@@ -198,7 +215,10 @@ def sparkline(spark, sf_dir):
     return rules.sparkline(source.hourly_bars(spark, sf_dir), time="hour")
 
 
-@query("day_icons", chain("ind") + "SELECT asset, date, CASE WHEN change1 <= -2 OR w >= 4 THEN 'storm' WHEN change1 <= -0.7 THEN 'rain' WHEN change1 >= 0.7 THEN 'sun' ELSE 'cloud' END AS icon FROM (SELECT *, floor((high - low) / low * 100.0 * 1e6 + 0.5) / 1e6 AS w FROM ind)")
+@query(
+    "day_icons",
+    chain("ind") + "SELECT asset, date, CASE WHEN change1 IS NULL OR w IS NULL THEN NULL WHEN change1 <= -2.4 OR (change1 < 0 AND w >= 4.5) THEN '태풍경보' WHEN change1 <= -1.1 OR (change1 < 0 AND w >= 3) THEN '소나기' WHEN change1 < -0.25 THEN '흐림' WHEN change1 < 0.25 THEN '구름 조금' WHEN change1 < 1.2 THEN '맑음' ELSE '쾌청' END AS icon FROM (SELECT *, floor((high - low) / low * 100.0 * 1e6 + 0.5) / 1e6 AS w FROM ind)",
+)
 def day_icons(spark, sf_dir):
     rows = indicator_rows(spark, sf_dir).withColumn("_w", half_up(F.try_divide(F.col("high") - F.col("low"), F.col("low")) * 100.0, 6))
     return rows.select("asset", "date", rules.day_icon(F.col("change1"), F.col("_w")).alias("icon"))

@@ -28,14 +28,21 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-#: The corpus stands in for news: category patterns for its invented prose.
-CATEGORIES = (("crypto", r"ciónco|eauouon"), ("rates", r"schbe|keitver"), ("energy", r"ing the|tion of"), ("technology", r"ai|edth"), ("markets", r"on"))
-_CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in CATEGORIES) + " ELSE 'other' END"
+#: The corpus stands in for news: the text for the title, the source for a ticker.
+_TEXT = "lower(coalesce(text, '') || ' ' || coalesce(source, ''))"
+_PATTERNS = (
+    ("가상자산", "bitcoin|crypto|ethereum|blockchain|btc|eth-usd|btc-usd"),
+    ("금리·연준", "fed|federal reserve|interest rate|treasury|bond|yield|inflation|cpi|powell"),
+    ("기술·AI", r"artificial intelligence|\bai\b|nvidia|semiconductor|chip|technology|nasdaq"),
+    ("원자재", "oil|gold|crude|commodity|opec|natural gas"),
+    ("증시", "s&p|dow|stock|equity|wall street|market"),
+)
+_CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches({_TEXT}, '{p}') THEN '{n}'" for n, p in _PATTERNS) + " ELSE '글로벌' END"
 
 
 def _news(spark, sf_dir):
     docs = source.read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return docs.withColumn("category", rules.news_category(F.col("text"), CATEGORIES))
+    return docs.withColumn("category", rules.news_category(F.col("text"), F.array_compact(F.array("source"))))
 
 
 @query("news_categories", f"SELECT doc_id, {_CATEGORY} AS category FROM documents")
@@ -43,7 +50,7 @@ def news_categories(spark, sf_dir):
     return _news(spark, sf_dir).select("doc_id", "category")
 
 
-@query("news_radar", f"SELECT category, count(*) AS items FROM (SELECT {_CATEGORY} AS category FROM documents) WHERE category <> 'other' GROUP BY category ORDER BY items DESC, category LIMIT 4")
+@query("news_radar", f"SELECT category, count(*) AS items FROM (SELECT {_CATEGORY} AS category FROM documents) WHERE category <> '글로벌' GROUP BY category ORDER BY items DESC, category LIMIT 4")
 def news_radar(spark, sf_dir):
     return rules.radar(_news(spark, sf_dir), "category")
 
@@ -65,7 +72,7 @@ def news_top16(spark, sf_dir):
 
 _STATUS = "CASE WHEN dayofweek({0}) IN (0, 6) THEN 'weekend' WHEN hour({0}) * 60 + minute({0}) < {1} THEN 'before' WHEN hour({0}) * 60 + minute({0}) < {2} THEN 'open' ELSE 'after' END"
 #: January has no summer time, so fixed offsets tell local clocks.
-_OFFSETS = {"Seoul": 9, "London": 0, "New York": -5}
+_OFFSETS = {"Seoul": 9, "Tokyo": 9, "London": 0, "New York": -5}
 
 
 @query("session_status", " UNION ALL ".join(f"SELECT event_id, '{c}' AS city, {_STATUS.format(f'(ts + INTERVAL ({_OFFSETS[c]}) HOUR)', a, b)} AS status FROM events" for c, _, a, b in rules.CITIES))
