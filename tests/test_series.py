@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import scalar
-from weftline.operators import audit, bootstrap, indicators, joins, ledger, metrics, models, rules, score
+from weftline.operators import audit, bootstrap, comparison, indicators, joins, ledger, metrics, models, rules, score
 from weftline.sources import bars as source
 from weftline.sources import payloads, sinks
 
@@ -305,3 +305,32 @@ def test_audit_bounds(spark):
     gone = bars.where((F.col("date") < "2020-03-01") | (F.col("date") > "2020-03-20"))
     assert audit.audit(gone, bars, F.lit("2021-02-07").cast("date"), regimes=()).first().issues == "error:coverage,error:volume,error:gap,info:jumps"
     assert audit.audit(gone, bars, F.lit("2021-02-07").cast("date"), regimes=(), volume_expected=False).first().issues == "error:coverage,error:gap,info:jumps"
+
+
+def test_comparison_by_hand(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0, 2.0), ("a", 3.0, 2.0, 5.0), ("b", 2.0, 2.0, 2.0), ("b", None, 1.0, 1.0)], "k string, y double, p double, b double")
+    got = {r.k: r for r in comparison.compare(df, "p", "b", "y", "k").collect()}
+    assert (got["a"].rows, got["a"].candidate_mae, got["a"].baseline_mae, got["a"].mae_improvement) == (2, 0.5, 1.5, 66.666667)
+    assert (got["a"].candidate_r2, got["a"].baseline_r2, got["a"].skill) == (0.5, -1.5, 0.8)
+    assert (got["b"].rows, got["b"].candidate_r2, got["b"].mae_improvement, got["b"].skill) == (1, None, None, None)
+    assert comparison.compare(df.limit(0), "p", "b", "y").count() == 0
+
+
+def test_storms_without_alerts(spark):
+    df = spark.createDataFrame([(False, False), (False, True)], "s boolean, e boolean")
+    got = comparison.storm_report(df, F.col("s"), F.col("e")).first()
+    assert (got.tp, got.fn, got.tn, got.precision, got.precision_low, got.lift, got.recall, got.base_rate) == (0, 1, 1, None, None, None, 0.0, 0.5)
+
+
+def test_schemes(spark):
+    rows = [("a", k, 1.0, 1.0 + k % 5, "x") for k in range(80)] + [("b", k, 0.0, 0.2, "y") for k in range(90)]
+    df = spark.createDataFrame(rows, "asset string, date int, p double, y double, cluster string")
+    got = comparison.interval_schemes(df, "p", "y", "cluster")
+    assert got.count() == 4 * 170 and set(got.columns) == {*df.columns, "scheme", "bound0", "bound1", "bound2", "bound3"}
+    early = got.where("asset = 'a' and date = 59").select("scheme", "bound0", "bound3").collect()
+    at = {r.scheme: (r.bound0, r.bound3) for r in early}
+    assert at["rolling252"] == at["shrunk252"] == at["global"] != at["cluster"]
+    late = {r.scheme: r.bound3 for r in got.where("asset = 'a' and date = 79").collect()}
+    assert late["rolling252"] == late["cluster"] == 5.0 < late["shrunk252"] < late["global"] == 20.0
+    chosen = comparison.scheme_metrics(got, "y")
+    assert chosen.count() == 4 and chosen.where("chosen").count() == 1
