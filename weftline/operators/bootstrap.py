@@ -1,7 +1,9 @@
 """Seeded resampling: i.i.d. and block bootstraps, random baselines.
 
-Samples are spread over tasks: a group's values are one bounded array (a series
-of one asset), every task draws some of the samples.
+Samples are spread over tasks: a group's values are one array (a series of one
+asset), which goes with each chunk of CHUNK samples to a row of its own; a task
+draws one sample after another, so it holds no more than a few arrays of that
+length. Sample statistics are put together by Spark.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK = np.uint64(0xFFFFFFFF)
+#: Samples drawn from one row.
+CHUNK = 25
+#: Multiplier and increment of the generator.
+MULTIPLY, ADD = 1664525, 1013904223
 
 
 def text_seed(text: str, base: int) -> int:
@@ -30,7 +36,7 @@ def uniform(seed: int, n: int) -> np.ndarray:
     a, c = np.ones(size, dtype=np.uint64), np.zeros(size, dtype=np.uint64)
     mul, add = 1, 0
     for k in range(size):
-        mul, add = mul * 1664525 & 0xFFFFFFFF, (add * 1664525 + 1013904223) & 0xFFFFFFFF
+        mul, add = mul * MULTIPLY & 0xFFFFFFFF, (add * MULTIPLY + ADD) & 0xFFFFFFFF
         a[k], c[k] = mul, add
     out, state = [], np.uint64(seed & 0xFFFFFFFF)
     for _ in range(0, n, size):
@@ -40,26 +46,48 @@ def uniform(seed: int, n: int) -> np.ndarray:
     return (np.concatenate(out)[:n] if out else np.empty(0)) / 2.0**32
 
 
+def jump(seed: int, steps: int) -> int:
+    """State of the generator after some steps, by repeated squaring."""
+    mul, add, by_mul, by_add = 1, 0, MULTIPLY, ADD
+    while steps:
+        if steps & 1:
+            mul, add = mul * by_mul & 0xFFFFFFFF, (add * by_mul + by_add) & 0xFFFFFFFF
+        by_mul, by_add = by_mul * by_mul & 0xFFFFFFFF, (by_add * by_mul + by_add) & 0xFFFFFFFF
+        steps >>= 1
+    return (mul * (seed & 0xFFFFFFFF) + add) & 0xFFFFFFFF
+
+
+def _series(rows: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+    """key, v: the columns of each series as structs in order."""
+    held = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), *(F.col(c).alias(f"v{k}") for k, c in enumerate(columns)))))
+    return rows.groupBy(key).agg(F.transform(held, lambda x: F.struct(*(x[f"v{k}"].cast("double").alias(f"v{k}") for k in range(len(columns))))).alias("v"))
+
+
+def _chunks(series: DataFrame, samples: int) -> DataFrame:
+    """series with first, the first sample of each chunk, dealt over tasks."""
+    return series.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(CHUNK)))).repartition(*series.columns[:1], "first")
+
+
 def mean_interval(rows: DataFrame, value: str, key: str, order: str, samples: int = 500, seed: int = 20260619, share: float = 0.95) -> DataFrame:
-    """key, n, mean, low, high: percentile interval of the mean of resampled values, drawn in the order of ``order``."""
-    groups = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
+    """key, n, mean, low, high: percentile interval of the mean of resampled values, drawn in the order of ``order``; no interval below two values."""
+    series = _series(rows.where(F.col(value).isNotNull()), key, order, value)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for name, values in zip(batch[key], batch["values"], strict=True):
-                v = np.asarray(values, dtype=float)
+            for name, held, first in zip(batch[key], batch["v"], batch["first"], strict=True):
+                v = np.array([x["v0"] for x in held], dtype=float)
                 n = len(v)
-                if n < 2:
-                    out.append((name, n, float(v.mean()), None, None))
-                    continue
-                u = uniform(text_seed(str(name), seed), samples * n).reshape(samples, n)
-                means = v[(u * n).astype(np.int64)].mean(axis=1)
-                low, high = np.quantile(means, [(1 - share) / 2, (1 + share) / 2])
-                out.append((name, n, float(v.mean()), float(low), float(high)))
-            yield pd.DataFrame(out, columns=[key, "n", "mean", "low", "high"])
+                state = jump(text_seed(str(name), seed), first * n)
+                for _ in range(first, min(first + CHUNK, samples)):
+                    out.append((name, float(v[(uniform(state, n) * n).astype(np.int64)].mean())))
+                    state = jump(state, n)
+            yield pd.DataFrame(out, columns=[key, "drawn"])
 
-    return groups.mapInPandas(draw, f"{key} string, n long, mean double, low double, high double")
+    drawn = _chunks(series.where(F.size("v") > 1), samples).mapInPandas(draw, f"{key} string, drawn double")
+    ends = drawn.groupBy(key).agg(F.percentile("drawn", (1 - share) / 2).alias("low"), F.percentile("drawn", (1 + share) / 2).alias("high"))
+    means = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).cast("string").alias(key)).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return means.join(ends, key, "left")
 
 
 def block_delta(rows: DataFrame, better: str, worse: str, key: str, order: str, samples: int = 300, block: int = 20, seed: int = 7) -> DataFrame:
@@ -68,35 +96,36 @@ def block_delta(rows: DataFrame, better: str, worse: str, key: str, order: str,
     Each series draws its own blocks for every sample; the sums of a sample are
     added over series by Spark.
     """
-    series = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(better).alias("b"), F.col(worse).alias("w")))).alias("v"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, v in zip(batch[key], batch["v"], strict=True):
-                b, w = np.array([x["b"] for x in v], dtype=float), np.array([x["w"] for x in v], dtype=float)
+            for name, held, first in zip(batch[key], batch["v"], batch["first"], strict=True):
+                b, w = np.array([x["v0"] for x in held], dtype=float), np.array([x["v1"] for x in held], dtype=float)
                 n = len(b)
-                rng = np.random.default_rng([seed, text_seed(str(name), seed)])
-                starts = rng.integers(0, n, (samples, -(-n // block)))
-                at = ((starts[:, :, None] + np.arange(block)) % n).reshape(samples, -1)[:, :n]
-                yield pd.DataFrame({"sample": np.arange(samples), "b": b[at].mean(axis=1), "w": w[at].mean(axis=1)})
-
-    drawn = series.mapInPandas(draw, "sample long, b double, w double")
+                starts = np.random.default_rng([seed, text_seed(str(name), seed)]).integers(0, n, (samples, -(-n // block)))
+                out = []
+                for k in range(first, min(first + CHUNK, samples)):
+                    at = ((starts[k][:, None] + np.arange(block)) % n).ravel()[:n]
+                    out.append((k, float(b[at].mean()), float(w[at].mean())))
+                yield pd.DataFrame(out, columns=["sample", "b", "w"])
+
+    drawn = _chunks(_series(rows, key, order, better, worse), samples).mapInPandas(draw, "sample long, b double, w double")
     each = drawn.groupBy("sample").agg((1.0 - F.try_divide(F.avg("b"), F.avg("w"))).alias("d"))
     return each.agg(F.count("*").alias("samples"), F.avg("d").alias("improvement"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
 
 
 def random_direction(rows: DataFrame, value: str, key: str, order: str, runs: int = 200, seed: int = 20260619) -> DataFrame:
     """key, accuracy, coverage and mean value of fair coin directions, averaged over seeded runs."""
-    groups = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for name, values in zip(batch[key], batch["values"], strict=True):
-                v = np.asarray(values, dtype=float)
-                bull = np.array([uniform(seed + r * 7919, len(v)) >= 0.5 for r in range(runs)])
-                on = bull.sum(axis=1)
-                out.append((name, float((bull == (v > 0)).mean()), float(bull.mean()), float((np.where(bull, v, 0).sum(axis=1) / np.maximum(on, 1)).mean())))
+            for name, held, first in zip(batch[key], batch["v"], batch["first"], strict=True):
+                v = np.array([x["v0"] for x in held], dtype=float)
+                for r in range(first, min(first + CHUNK, runs)):
+                    bull = uniform(seed + r * 7919, len(v)) >= 0.5
+                    out.append((name, float((bull == (v > 0)).mean()), float(bull.mean()), float(v[bull].sum() / max(1, bull.sum()))))
             yield pd.DataFrame(out, columns=[key, "accuracy", "coverage", "mean_value"])
 
-    return groups.mapInPandas(draw, f"{key} string, accuracy double, coverage double, mean_value double")
+    drawn = _chunks(_series(rows.where(F.col(value).isNotNull()), key, order, value), runs).mapInPandas(draw, f"{key} string, accuracy double, coverage double, mean_value double")
+    return drawn.groupBy(key).agg(*(F.avg(c).alias(c) for c in ("accuracy", "coverage", "mean_value")))

@@ -490,14 +490,14 @@ def grade_monotone(spark, sf_dir):
 
 
 _FORECASTS = {
-    "f": "SELECT asset || ':' || CAST(date AS VARCHAR) AS forecast_id, asset, date AS as_of, atr14 AS predicted, floor(atr14 * 0.7e0 * 1e6 + 0.5) / 1e6 AS low50, floor(atr14 * 1.2e0 * 1e6 + 0.5) / 1e6 AS high50, floor(atr14 * 0.5e0 * 1e6 + 0.5) / 1e6 AS low80, floor(atr14 * 1.6e0 * 1e6 + 0.5) / 1e6 AS high80 FROM ind WHERE atr14 IS NOT NULL AND year(date) >= 1998",
+    "f": "SELECT asset || ':' || CAST(date AS VARCHAR) AS forecast_id, asset, date AS as_of, atr14 AS predicted, floor(atr14 * 0.7e0 * 1e6 + 0.5) / 1e6 AS low50, floor(atr14 * 1.2e0 * 1e6 + 0.5) / 1e6 AS high50, floor(atr14 * 0.5e0 * 1e6 + 0.5) / 1e6 AS low80, floor(atr14 * 1.6e0 * 1e6 + 0.5) / 1e6 AS high80 FROM ind WHERE atr14 IS NOT NULL",
     "s": f"SELECT forecast_id, f.asset AS asset, as_of, predicted, next_true_range AS actual, {h('abs(predicted - next_true_range)', 6)} AS error, next_true_range BETWEEN low50 AND high50 AS covered50, next_true_range BETWEEN low80 AND high80 AS covered80 FROM f JOIN lab ON f.asset = lab.asset AND f.as_of = lab.date WHERE next_true_range IS NOT NULL",
 }
 
 
 def forecasts(spark, sf_dir):
     bound = lambda k, name: half_up(F.col("atr14") * k, 6).alias(name)
-    rows = indicator_rows(spark, sf_dir).where("atr14 is not null and year(date) >= 1998")
+    rows = indicator_rows(spark, sf_dir).where("atr14 is not null")
     return rows.select(F.concat("asset", F.lit(":"), F.col("date").cast("string")).alias("forecast_id"), "asset", F.col("date").alias("as_of"), F.col("atr14").alias("predicted"), bound(0.7, "low50"), bound(1.2, "high50"), bound(0.5, "low80"), bound(1.6, "high80"))
 
 
