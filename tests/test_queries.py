@@ -15,7 +15,7 @@ CHECKED = [
     "bars_daily", "bars_hourly", "candles_valid", "ind_rsi14", "ind_change", "ind_green_run", "score_replay", "basket_score", "alerts", "checklist", "five_day_card", "feat_ranks252", "feat_q10_756",
     "labels_forward", "asof_inclusive", "asof_strict", "asof_tolerance", "breadth", "excess_return", "split_fraction", "split_summary", "confusion_storm", "direction_grid", "bin_temperature", "spearman_by_asset",
     "probability_metrics", "top_quintile_lift", "quality_audit", "quality_audit_daily", "market_briefing", "day_icons", "walk_forward_year", "range_errors", "redundant_pairs", "weighted_quantile", "trailing_intervals", "interval_coverage", "settlement_join", "hash_chain", "chain_breaks", "news_categories", "session_status",
-    "comparison_by_asset", "comparison_macro", "equal_weather", "rows_for_keys", "adjusted_history", "news_payload", "symbol_search", "orphan_settlements", "dedupe_either", "stale_rows", "number_texts", "storm_report", "interval_schemes", "panel_gates",
+    "comparison_by_asset", "comparison_macro", "equal_weather", "rows_for_keys", "adjusted_history", "news_payload", "symbol_search", "orphan_settlements", "dedupe_either", "stale_rows", "number_texts", "storm_report", "interval_schemes", "panel_gates", "vix_against_market", "last_settlements", "distinct_sets", "bounds_for_keys",
     "chart_payload", "stream_hourly", "stream_settle",
 ]
 

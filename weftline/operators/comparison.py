@@ -115,3 +115,14 @@ def equal_groups(rows: DataFrame, group: str, value: str, key: str = "asset", le
 def within_keys(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     """rows whose columns stand in keys, each once however often the keys repeat."""
     return rows.join(keys.select(*columns).distinct(), list(columns), "left_semi")
+
+
+def with_other_score(rows: DataFrame, outcome_of: str, score_of: str, scores: list[str], key: str = "asset", time: str = "date") -> DataFrame:
+    """Rows of one series with the scores of another on the same date; dates that either lacks are left out."""
+    other = rows.where(F.col(key) == score_of).select(time, *scores)
+    return rows.where(F.col(key) == outcome_of).drop(*scores).join(other, time)
+
+
+def subset_bounds(bounds: DataFrame, subset: DataFrame, *keys: str) -> DataFrame:
+    """Bounds of the rows of a subset, which must have one for each of its keys: a missing one is null."""
+    return subset.select(*keys).distinct().join(bounds, list(keys), "left")

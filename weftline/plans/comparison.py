@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from weftline.functions import scalar
 from weftline.functions.scalar import half_up, weather_grade
 from weftline.operators import audit, comparison, joins, ledger, models, rules
-from weftline.plans.evaluation import _GRADES, _INTERVALS, _graded
+from weftline.plans.evaluation import _FORECASTS, _GRADES, _INTERVALS, _graded, settlements
 from weftline.plans.reference_sql import chain
 from weftline.plans.reference_sql import half_up as h
-from weftline.plans.series import indicator_rows, observations, panel_rows
+from weftline.plans.series import indicator_rows, observations, panel_rows, score_rows
 from weftline.sources import bars as source
 from weftline.sources import payloads
 
@@ -243,3 +243,29 @@ def stale_rows(spark, sf_dir):
 def number_texts(spark, sf_dir):
     x = F.floor("c_acctbal") + 0.25
     return source.read(spark, sf_dir, "customer").select("c_custkey", scalar.price_text(x.cast("double")).alias("price"))
+
+
+@query("vix_against_market", chain("obs") + "SELECT s.date AS date, v.temperature AS temperature, v.rain AS rain, v.weather AS weather, s.fwd_return1 AS fwd_return1, s.next_true_range AS next_true_range FROM obs s JOIN obs v USING (date) WHERE s.asset = 'AF' AND v.asset = 'RF'")
+def vix_against_market(spark, sf_dir):
+    """The score of the risk proxy against the outcomes of the market."""
+    rows = observations(spark, sf_dir).select("asset", "date", "temperature", "rain", "weather", "fwd_return1", "next_true_range")
+    return comparison.with_other_score(rows, "AF", "RF", ["temperature", "rain", "weather"]).drop("asset")
+
+
+@query("last_settlements", chain("ind", "lab", more=_FORECASTS) + "SELECT forecast_id, as_of, error FROM s ORDER BY as_of DESC, forecast_id LIMIT 30")
+def last_settlements(spark, sf_dir):
+    """The last 30 settlements, of equal dates the first by id."""
+    return settlements(spark, sf_dir).orderBy(F.desc("as_of"), "forecast_id").limit(30).select("forecast_id", "as_of", "error")
+
+
+@query("distinct_sets", chain("score") + "SELECT asset, count(DISTINCT date) AS dates, array_to_string(list_sort(list_distinct(list(weather))), ',') AS classes FROM score GROUP BY asset")
+def distinct_sets(spark, sf_dir):
+    return score_rows(spark, sf_dir).groupBy("asset").agg(F.count_distinct("date").alias("dates"), F.array_join(F.sort_array(F.collect_set("weather")), ",").alias("classes"))
+
+
+@query("bounds_for_keys", chain("ind") + f"SELECT k.asset AS asset, k.date AS date, {h('atr14 * 1.6e0', 6)} AS high FROM (SELECT DISTINCT l_returnflag || l_linestatus AS asset, CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_quantity >= 49) k LEFT JOIN ind ON ind.asset = k.asset AND ind.date = k.date")
+def bounds_for_keys(spark, sf_dir):
+    """Bounds of the days with a large trade."""
+    bounds = indicator_rows(spark, sf_dir).select("asset", "date", half_up(F.col("atr14") * 1.6, 6).alias("high"))
+    large = source.read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.concat("l_returnflag", "l_linestatus").alias("asset"), F.to_date("l_shipdate").alias("date"))
+    return comparison.subset_bounds(bounds, large, "asset", "date")

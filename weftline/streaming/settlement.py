@@ -19,7 +19,7 @@ def hourly_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def forecasts_and_outcomes(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Stream-stream join: an event of a user is a forecast, the user's next view within the hour its outcome.
+    """Stream-stream join: a user's click is a forecast, each of the user's purchases within the hour an outcome.
 
     Both sides have watermarks and the join a time bound, so state is dropped.
     """
