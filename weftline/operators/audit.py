@@ -128,3 +128,29 @@ def truncation_change(features: Callable[[DataFrame], DataFrame], bars: DataFram
     """Rows up to a date whose features differ once later bars are cut off."""
     past = F.col(time) <= F.lit(after).cast("date")
     return features(bars).where(past).select(key, time, *columns).exceptAll(features(bars.where(past)).select(key, time, *columns))
+
+
+def series_checks(rows: DataFrame, key: str = "asset", time: str = "date", close: str = "close", change: str = "fwd_return1", finite: tuple[str, ...] = ("fwd_return5", "next_true_range"), score: str = "temperature") -> DataFrame:
+    """Per series: rows, whether dates rise strictly, the outcome is the change to the next row, and values are finite and scores within 0 and 100."""
+    w = Window.partitionBy(key).orderBy(time)
+    before, after = F.lag(time).over(w), F.lead(close).over(w)
+    later = before.isNull() | (F.col(time) > before)
+    aligned = after.isNull() | (F.abs(F.col(change) - (after / F.col(close) - 1.0) * 100.0) < 1e-5)
+    good = F.col(score).between(0, 100)
+    for c in finite:
+        good = good & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    held = rows.select(key, later.alias("_l"), aligned.alias("_a"), good.alias("_g"))
+    every = lambda c: F.bool_and(F.coalesce(F.col(c), F.lit(False)))
+    return held.groupBy(key).agg(F.count("*").alias("rows"), every("_l").alias("chronological"), every("_a").alias("aligned"), every("_g").alias("finite"))
+
+
+def split_protocol(rows: DataFrame, purged: int = 10, embargoed: int = 10, key: str = "asset", time: str = "date") -> DataFrame:
+    """Per series of rows with bucket: whether both borders have their purged and embargoed rows and train, validation and sealed test follow each other; a missing part fails."""
+    of = lambda b: F.when(F.col("bucket") == b, F.col(time))
+    got = rows.groupBy(key).agg(
+        (F.count_if(F.col("bucket") == "purged") == purged).alias("purged"),
+        (F.count_if(F.col("bucket") == "embargoed") == embargoed).alias("embargoed"),
+        F.coalesce(F.max(of("train")) < F.min(of("validation")), F.lit(False)).alias("train_first"),
+        F.coalesce(F.max(of("validation")) < F.min(of("sealed-test")), F.lit(False)).alias("test_last"),
+    )
+    return got.withColumn("passed", F.col("purged") & F.col("embargoed") & F.col("train_first") & F.col("test_last"))

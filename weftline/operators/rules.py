@@ -122,3 +122,89 @@ def sparkline(bars: DataFrame, points: int = 48, key: str = "asset", time: str =
     w = Window.partitionBy(key)
     low, high = F.min("close").over(w), F.max("close").over(w)
     return rows.select(key, time, half_up(F.try_divide(F.col("close") - low, F.when(high > low, high - low).otherwise(1.0)), 6).alias("y"))
+
+
+def situation_texts(sp: Column, nasdaq: Column, vix: Column, dollar: Column) -> dict[str, Column]:
+    """Texts of the US market (mean change of both indices), the dollar's change and the volatility level; nulls are being checked."""
+    mean = (sp + nasdaq) / 2.0
+    # Texts and bounds
+    return {
+        "us_text": F.when(mean.isNull(), "미국 증시 확인 중").when(mean > 0.35, "미국 증시 강세").when(mean < -0.35, "미국 증시 약세").otherwise("미국 증시 혼조"),
+        "dollar_text": F.when(dollar.isNull(), "달러 흐름 확인 중").when(dollar > 0.25, "달러 강세").when(dollar < -0.25, "달러 약세").otherwise("달러 보합"),
+        "volatility_text": F.when(vix.isNull(), "변동성 확인 중").when(vix >= 25, "변동성 경계").when(vix >= 18, "변동성 주의").otherwise("변동성 안정"),
+    }
+
+
+#: Tone and market of symbols by exact name, ending or part, the first that fits; the US for others.
+MARKETS = (
+    ("kr", "한국 시장", ("^KS11",), (".KS", ".KQ"), ()),
+    ("jp", "일본 시장", ("^N225",), (".T",), ()),
+    ("gb", "영국 시장", ("^FTSE",), (".L",), ()),
+    ("hk", "홍콩 시장", ("^HSI",), (".HK",), ()),
+    ("eu", "유럽 시장", (), (".DE",), ("STOXX", "GDAXI")),
+)
+US_MARKET, COIN_MARKET = ("us", "미국 시장"), "24시간 코인 시장"
+COINS = ("BTC", "ETH", "SOL")
+
+
+def station(symbol: Column, kind: Column) -> Column:
+    """Struct of tone and market of a symbol; coins by their first letters, other coins are crypto; a null symbol of no coin is null."""
+    s = F.upper(symbol)
+    tone, market = F.lit(US_MARKET[0]), F.lit(US_MARKET[1])
+    for name, text, exact, endings, parts in reversed(MARKETS):
+        fits = s.isin(*exact) if exact else F.lit(False)
+        for e in endings:
+            fits = fits | s.endswith(e)
+        for p in parts:
+            fits = fits | s.contains(p)
+        tone, market = F.when(fits, name).otherwise(tone), F.when(fits, text).otherwise(market)
+    coin = F.lit("crypto")
+    for c in reversed(COINS):
+        coin = F.when(s.startswith(c), c.lower()).otherwise(coin)
+    is_coin = F.coalesce(kind == "crypto", F.lit(False))
+    found = F.struct(F.when(is_coin, coin).otherwise(tone).alias("tone"), F.when(is_coin, F.lit(COIN_MARKET)).otherwise(market).alias("market"))
+    return F.when(is_coin | s.isNotNull(), found)
+
+
+def time_bucket(day: Column, train_end: str, validation_start: str, validation_end: str, test_start: str) -> Column:
+    """train, validation or sealed-test; a date in none of them, or null, is an error."""
+    d = F.coalesce(day.cast("string"), F.lit("null"))
+    return (
+        F.when(day <= F.lit(train_end).cast("date"), "train")
+        .when((day >= F.lit(validation_start).cast("date")) & (day <= F.lit(validation_end).cast("date")), "validation")
+        .when(day >= F.lit(test_start).cast("date"), "sealed-test")
+        .otherwise(F.raise_error(F.concat(F.lit("outside of the split: "), d)))
+    )
+
+
+def symbol_kind(quote_type: Column) -> Column:
+    return F.when(quote_type == "INDEX", "index").otherwise("stock")
+
+
+def symbol_description(exchange_name: Column, exchange: Column, type_name: Column, quote_type: Column) -> Column:
+    """Exchange and type, each the first of its two names that is not empty."""
+    first = lambda *c: F.coalesce(*(F.nullif(x, F.lit("")) for x in c))
+    return F.concat(first(exchange_name, exchange, F.lit("US Market")), F.lit(" "), first(type_name, quote_type, F.lit("Equity")), F.lit(" 관측소"))
+
+
+def aliased(rows: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
+    """rows whose key is replaced by its alias (columns key and alias), where it has one."""
+    return rows.join(aliases.select(F.col(key), "alias"), key, "left").withColumn(key, F.coalesce("alias", key)).drop("alias")
+
+
+def quotes(data: DataFrame, scores: DataFrame, key: str = "asset") -> DataFrame:
+    """Price and day change of scores with live or error as status of data; only keys that both have."""
+    return data.select(key, F.when(F.col("status") == "live", "live").otherwise("error").alias("status")).join(scores.select(key, "price", "day_change"), key)
+
+
+def pulse(bars: DataFrame, days: int = 6, key: str = "asset", time: str = "date") -> DataFrame:
+    """Changes in percent over the last days of each series with height, their share of the greatest move (of 0.5 at least), and total, the change over all of them."""
+    last = Window.partitionBy(key).orderBy(F.desc(time))
+    held = bars.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= days)
+    series = Window.partitionBy(key).orderBy(time)
+    change = F.try_divide(F.col("close") - F.lag("close").over(series), F.lag("close").over(series)) * 100.0
+    all_days = Window.partitionBy(key)
+    first, final = F.min_by("close", time).over(all_days), F.max_by("close", time).over(all_days)
+    held = held.withColumns({"change": half_up(change, 6), "total": half_up(F.try_divide(final - first, first) * 100.0, 6)}).where("change is not null")
+    most = F.greatest(F.lit(0.5), F.max(F.abs(F.col("change"))).over(all_days))
+    return held.select(key, time, "change", half_up(F.abs(F.col("change")) / most, 6).alias("height"), "total")

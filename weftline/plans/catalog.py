@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import comparison, evaluation, series, views
+from weftline.plans import calibration, comparison, evaluation, series, views
 
-MODULES = (series, evaluation, views, comparison)
+MODULES = (series, evaluation, views, comparison, calibration)
 
 
 def queries() -> dict:
