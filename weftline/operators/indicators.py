@@ -53,6 +53,14 @@ def trailing_rank(value: Column, history: Column, n: int = 252) -> Column:
     return F.when(value.isNotNull() & (F.size(history) == n), half_up(F.size(F.filter(history, lambda x: x <= value)) * 100.0 / n, 6))
 
 
+def _sorted_quantile(values: Column, q: float) -> Column:
+    """Quantile of a sorted array, interpolated between neighbours; null of an empty one."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    first, second = F.get(values, low), F.get(values, F.ceil(at).cast("int"))
+    return F.when(F.size(values) > 0, first + (second - first) * (at - low))
+
+
 #: Features whose percentile among the 252 values before is a feature too.
 RANKED = {"atr14": "atr_rank252", "realized_vol20": "vol_rank252", "volume_ratio20": "volume_rank252", "sma_gap20": "gap_rank252"}
 
@@ -85,7 +93,10 @@ def with_features(ind: DataFrame, key: str = "asset", time: str = "date", per_ye
     ranks["close_rank252"] = trailing_rank(close, F.collect_list("close").over(before))
     mean, spread = F.avg(old("return1")).over(before), F.stddev_samp(old("return1")).over(before)
     ranks["return_z252"] = F.when((F.count("return1").over(before) == 252) & (spread > 0), half_up(F.try_divide(F.col("return1") - mean, spread), 6))
-    ranks["return_q10_756"] = half_up(F.percentile(old("return1"), 0.1).over(over(-756, -1)), 8)
+    ranks["return_q10_756"] = half_up(_sorted_quantile(F.sort_array(F.collect_list(old("return1")).over(over(-756, -1))), 0.1), 8)
+    # whether a rank is there, by counts alone: what needs no rank itself is spared its lists
+    ranks |= {f"{name}_there": F.col(c).isNotNull() & (F.count(c).over(before) == 252) for c, name in RANKED.items()}
+    ranks["return_q10_756_there"] = F.count("return1").over(over(-756, -1)) > 0
     rounded = ("return1", "return5", "return20", "sma_gap5", "sma_gap20", "sma_gap50", "sma_gap200", "realized_vol20", "downside_vol20", "drawdown63")
     return one.withColumns(ranks).withColumns({c: half_up(F.col(c), 6) for c in rounded})
 
@@ -116,13 +127,17 @@ def with_events(rows: DataFrame) -> DataFrame:
 
 
 #: Features without which a panel row is left out, and bars that come before the first.
-REQUIRED = ("return1", "return5", "return20", "sma_gap20", "sma_gap200", "rsi14", "atr14", "realized_vol20", "downside_vol20", "drawdown63", "volume_ratio20", "return_z252", *RANKED.values(), "return_q10_756")
+REQUIRED = ("return1", "return5", "return20", "sma_gap20", "sma_gap200", "rsi14", "atr14", "realized_vol20", "downside_vol20", "drawdown63", "volume_ratio20", "return_z252")
 WARM_UP = 300
 
 
 def panel(rows: DataFrame) -> DataFrame:
-    """Rows after the warm-up that have all required features and five bars ahead."""
-    return rows.where(F.col("bar_no") > WARM_UP).dropna(subset=[*REQUIRED, "fwd_return5"])
+    """Rows after the warm-up that have all required features, ranks and the quantile included, and five bars ahead."""
+    flags = [f"{n}_there" for n in (*RANKED.values(), "return_q10_756")]
+    held = rows.where(F.col("bar_no") > WARM_UP).dropna(subset=[*REQUIRED, "fwd_return5"])
+    for flag in flags:
+        held = held.where(flag)
+    return held.drop(*flags)
 
 
 def max_drawdown(bars: DataFrame, key: str = "asset", time: str = "date") -> DataFrame:

@@ -323,7 +323,8 @@ _WEIGHTS = {
 
 
 def weighted_rows(spark, sf_dir):
-    rows = panel_rows(spark, sf_dir).withColumn("cluster", F.substring("asset", 1, 1)).cache()  # counted at three levels
+    columns = ("asset", "date", "atr14", "rsi14", "sma_gap20", "realized_vol20", "rain", "next_true_range", "tail1")
+    rows = panel_rows(spark, sf_dir).select(*columns, F.substring("asset", 1, 1).alias("cluster")).cache()  # counted at three levels
     return models.hierarchical_weights(rows, "cluster", "asset")
 
 
