@@ -155,3 +155,13 @@ def test_scans(spark, tmp_path):
     assert (got.id, got.y) == (0, 0.0)
     with pytest.raises(ValueError, match="not one of"):
         scans.visible(spark.range(1), "other")
+
+
+def test_patterns_of_words_and_groups(spark):
+    one = spark.createDataFrame([("a gold-rush",), ("s&p falls",), ("said",), ("an ai",), ("xbz",), (None,)], "t string")
+    with_rules = lambda *p: [r.c for r in one.select(rules.news_category(F.col("t"), rules=tuple((x, x) for x in p)).alias("c")).collect()]
+    o = rules.OTHER
+    assert with_rules("gold-rush|s&p") == ["gold-rush|s&p"] * 2 + [o] * 4
+    assert with_rules(r"\bai\b|nothing") == [o, o, o, r"\bai\b|nothing", o, o]
+    assert with_rules("x(a|b)z") == [o, o, o, o, "x(a|b)z", o]
+    assert with_rules("x[a|b]z|fall") == [o, "x[a|b]z|fall", o, o, "x[a|b]z|fall", o]
