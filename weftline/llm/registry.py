@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontaminate, html_text, langid, licenses, mixture, parity_join, quality, url_rules, vector_join
+from weftline.llm import align, chat, decontaminate, host_rules, html_text, langid, licenses, mixture, parity_join, quality, repair, url_rules, vector_join
 from weftline.llm.common import hash_fold, table
 
 #: Fixed by the contract: host, path, verdict.
@@ -82,6 +82,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = host_rules.host_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_kept")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair_report(repair.faults(rows, F.col("present")))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_language": op1_language,
@@ -94,6 +108,9 @@ def queries() -> dict:
         "op8_near_vectors": op8_near_vectors,
         "op9_main_text": op9_main_text,
         "op10_decontaminate": op10_decontaminate,
+        "op11_host_rules": op11_host_rules,
+        "op12_repair": op12_repair,
+        "op13_align": op13_align,
     }
 
 
@@ -172,6 +189,83 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN pos USING (row_no) LEFT JOIN its USING (row_no)
 """
 
+_OP11_RULES = ("short", "repeated", "symbols", "lines")
+#: Shrunk rate of a host: mean if rates vary between hosts no more than counts do, else by mean and strength of the beta prior.
+_OP11_RATE = "CASE WHEN hosts < 2 OR {0}_f = 0 OR {0}_f = n_all OR {0}_b <= 0 THEN {0}_m ELSE ({0} + {0}_m * greatest({0}_v / {0}_b - 1, 0)) / (n + greatest({0}_v / {0}_b - 1, 0)) END"
+
+OP11_SQL = (
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT row_no, i, list_slice(w, i, i + 2) AS g FROM (SELECT row_no, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT row_no, unnest(range(i, i + 3)) AS p FROM (SELECT row_no, i, count(*) OVER (PARTITION BY row_no, g) AS c FROM g) WHERE c > 1),
+m AS (
+  SELECT row_no, doc_id, source, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM d LEFT JOIN (SELECT row_no, count(DISTINCT p) AS n FROM r GROUP BY row_no) USING (row_no)),
+f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeated, 10 * n_symbols > word_chars AS symbols, 10 * n_dup_lines > 3 * n_lines AS lines FROM m),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, """
+    + ", ".join(f"CAST(count(*) FILTER ({r}) AS DOUBLE) AS {r}" for r in _OP11_RULES)
+    + " FROM f GROUP BY source),\nt AS (SELECT count(*) AS hosts, sum(n) AS n_all, sum(n * n) AS n_2, "
+    + ", ".join(f"sum({r}) AS {r}_f, sum({r} * {r} / n) AS {r}_2" for r in _OP11_RULES)
+    + " FROM h),\nu AS (SELECT *, "
+    + ", ".join(f"{r}_f / n_all AS {r}_m, {r}_f / n_all * (1 - {r}_f / n_all) AS {r}_v" for r in _OP11_RULES)
+    + " FROM t),\nb AS (SELECT *, "
+    + ", ".join(f"({r}_2 - n_all * {r}_m * {r}_m - (hosts - 1) * {r}_v) / nullif(n_all - n_2 / n_all, 0) AS {r}_b" for r in _OP11_RULES)
+    + " FROM u),\nj AS (SELECT source, greatest("
+    + ", ".join(_OP11_RATE.format(r) for r in _OP11_RULES)
+    + ") <= 0.5 AS host_kept FROM h, b)\n"
+    + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeated AS base_failed, host_kept AND NOT (short OR repeated) AS kept, host_kept
+FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source
+"""
+)
+
+#: After each row every state is reached by its cheapest edits, the ASCII-least of several. q: insertions in a state and where they lead.
+OP12_SQL = r"""
+WITH RECURSIVE z AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS k
+  FROM conversations, z),
+d AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last FROM d),
+f AS (
+  SELECT conv_id, i, turn, role, text, left(role, 1) AS first, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM p),
+q(state, n, mid, roles) AS (VALUES
+  (0, 0, 0, []), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+  (2, 0, 2, []), (2, 1, 3, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 0, 3, []), (3, 1, 2, ['user:']), (3, 2, 3, ['user:', 'assistant:'])),
+s AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM conversations
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, said FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS best FROM (
+      SELECT s.conv_id, f.i, s.cost + 2 * q.n + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS cost, s.audit || repeat('I', q.n) || e AS audit,
+        CASE WHEN e = 'D' THEN mid WHEN e = 'R' THEN CASE mid WHEN 2 THEN 3 ELSE 2 END ELSE CASE first WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS state,
+        s.said || q.roles || CASE e WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE mid WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] END AS said
+      FROM s JOIN f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = s.i + 1 JOIN q ON q.state = s.state, (VALUES ('D'), ('K'), ('R')) AS v(e)
+      WHERE e = 'D' OR fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR first = 's' AND mid = 0 OR first = 'u' AND mid <> 2 OR first = 'a' AND mid = 2)))
+  WHERE best = 1),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(first) OVER (PARTITION BY conv_id ORDER BY i) || first AS pair FROM f) GROUP BY conv_id),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS best FROM (
+    SELECT s.conv_id, gaps, blank, duplicate, truncated, illegal, s.cost + 2 * len(x.roles) AS cost, s.audit || repeat('I', len(x.roles)) AS audit, s.said || x.roles AS said
+    FROM s LEFT JOIN n ON s.conv_id IS NOT DISTINCT FROM n.conv_id JOIN (VALUES (0, []), (1, ['user:', 'assistant:']), (2, ['assistant:']), (3, [])) AS x(state, roles) ON x.state = s.state
+    WHERE s.i = coalesce(n.n, 0)))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(cost AS BIGINT) AS cost, audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256
+FROM o WHERE best = 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op8_near_vectors": OP8_SQL, "op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op11_host_rules": OP11_SQL, "op12_repair": OP12_SQL, "op4_jaccard_join": OP4_SQL, "op8_near_vectors": OP8_SQL, "op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL, "op10_decontaminate": OP10_SQL}
