@@ -36,7 +36,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Texts of other characters go to the file's own tokenizer: libraries may know other editions of Unicode.
 _RARE = re.compile("[^\x00-ɏ‐-‧]")
 #: Tokens of a side that a task holds at once, if no single text has more.
-_TOKENS = 200_000
+_TOKENS = 100_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -50,12 +50,9 @@ class ByteTokens:
     """Ids and bytes of a byte-level BPE file."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         letters = _byte_letters()
@@ -68,6 +65,16 @@ class ByteTokens:
         in_order = all(file["model"]["vocab"].get("".join(x)) == 256 + i for i, x in enumerate(merges))
         self.fast = tiktoken.Encoding("bytes", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}) if in_order else None
 
+    @functools.cached_property
+    def slow(self):
+        """The file's own tokenizer, loaded by the first text that needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        tokens = Tokenizer.from_file(self.path)
+        tokens.encode_special_tokens = True
+        return tokens
+
     def encode(self, text: str) -> list[int]:
         if self.fast is None or _RARE.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
@@ -100,7 +107,7 @@ def cut(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
     a_at = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True))
     b_at = dict(zip(b_ends, range(1, len(b_ends) + 1), strict=True))
     common = sorted(a_at.keys() & b_at.keys())
-    return [a_at[end] for end in common], [b_at[end] for end in common]
+    return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
 
 
 _NOTHING = tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -174,22 +181,22 @@ def links_of(a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts: n
 
 
 @functools.lru_cache(maxsize=4)
-def _texts(n_a: int, n_b: int) -> list[str]:
-    """Texts of ids with what follows: of A inside and at the end of a group, then of B likewise."""
-    return [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)]
+def _texts(n_a: int, n_b: int) -> np.ndarray:
+    """Texts of ids with what follows, of one width: of A inside and at the end of a group, then of B likewise."""
+    return np.array([f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)], "S")
 
 
-def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, n_a: int, n_b: int) -> str:
+def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, n_a: int, n_b: int) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: decimal ids of each group; n_a and n_b are the sizes of the vocabularies."""
     at_end_a, at_end_b = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
     at_end_a[a_cuts - 1] = n_a
     at_end_b[b_cuts - 1] = n_b
-    order = np.zeros(len(a_ids) + len(b_ids), np.int64)
+    order = np.empty(len(a_ids) + len(b_ids), np.int64)
     b_before = np.repeat(np.concatenate([[0], b_cuts])[:-1], _sizes(a_cuts))
     a_before = np.repeat(a_cuts, _sizes(b_cuts))
     order[np.arange(len(a_ids)) + b_before] = a_ids + at_end_a
     order[np.arange(len(b_ids)) + a_before] = b_ids + at_end_b + 2 * n_a
-    return "".join(map(_texts(n_a, n_b).__getitem__, order.tolist()))[:-1]
+    return _texts(n_a, n_b)[order].tobytes().translate(None, b"\0")[:-1]
 
 
 def group_digests(docs: DataFrame, folder: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text", a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
@@ -210,7 +217,7 @@ def group_digests(docs: DataFrame, folder: str = TOKENIZERS, id_col: str = "doc_
                 [
                     pa.array(ids, id_type),
                     *(pa.array([len(x[k]) for x in found], pa.int64()) for k in (0, 1, 2)),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]),
+                    pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in texts]),
                     pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for x, _ in links)]), pa.int32()), struct),
                 ],
                 ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"],
