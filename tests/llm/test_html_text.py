@@ -1,4 +1,5 @@
 import random
+import time
 
 from tests.llm.helpers import rows
 from weftline.llm.html_text import WINDOW, extract_text, main_text, stretches
@@ -16,7 +17,7 @@ def test_article():
 
 def test_without_article():
     page = "<body><div class='menu'><a>Home</a> <a>More</a></div><div><a>l1</a></div><div><a>l2</a></div><div><a>l3</a></div><h2>Head</h2><p>First long paragraph.</p><p>Second.</p><div><a>l4</a></div><div><a>l5</a></div><div><a>l6</a></div><div><p>tail</p></div><div class=footer>x</div>"
-    assert main_text(page) == "Head First long paragraph. Second."
+    assert main_text(page) == "Head First long paragraph. Second. tail"
 
 
 def test_every_stretch_without_article():
@@ -26,6 +27,19 @@ def test_every_stretch_without_article():
     assert main_text("<body><p><a>only</a></p></body>") == "" and main_text(f"<body>{links}<p>tiny</p>{links}</body>") == "tiny"
 
 
+def test_short_stretches_without_article():
+    links = "<ul><li><a>l1</a></li><li><a>l2</a></li><li><a>l3</a></li></ul>"
+    assert main_text(f"<body><p>Hi you.</p>{links}<p>A longer paragraph follows here.</p></body>") == "Hi you. A longer paragraph follows here."
+
+
+def test_long_pages_take_linear_time():
+    for page in ("<a " * 350_000, "<div>" * 100_000 + "</p>" * 100_000, "<foo>" * 100_000 + "<td>x" * 100_000, "<b>" * 50_000 + "<div>" * 50_000 + "</b>" * 50_000):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 20  # minutes, if a tag were sought to the end of the page each time
+    assert main_text("<article><p>A paragraph.</p></article> a < b <!-- <p>no") == "A paragraph."
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x") == main_text("<!-- x") == ""
     assert main_text("plain text") == "plain text"
@@ -53,7 +67,7 @@ def test_dense_text_outside_a_teaser():
     teaser, full = "<article><p>Read it.</p></article>", "<article>" + prose + "</article>"
     assert main_text(f"<body>{teaser}{prose}</body>").startswith("Read it. A long") and main_text(f"<body>{teaser}{prose}</body>").count("story") == 4
     assert main_text(f"<body>{full}<div><p>Next story, out tomorrow.</p></div></body>").count("tomorrow") == 0
-    assert main_text(f"<body>{prose}<ul><li><a>l</a><li><a>l</a><li><a>l</a></ul><div>(c) us</div></body>").endswith("goes on and on.")
+    assert main_text(f"<body>{prose}<ul><li><a>l</a><li><a>l</a><li><a>l</a></ul><div>(c) us</div></body>").endswith("goes on and on. (c) us")
 
 
 def test_stretches_equal_brute_force():

@@ -11,13 +11,14 @@ Tags only weigh lines: outside links a line counts with its length, inside an
 article or main element it reaches the least weight on its own. The least weight
 of a page with such an element is four times its densest window, so what stands
 outside stays only where it is far denser (as where an article element holds but
-a teaser); on other pages it is small.
+a teaser); on other pages any text outside links counts.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?>"[^"]*"|'[^']*'|[^'">])*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>""",
     re.DOTALL,
 )
+#: What there is to find after the last ``>``: what a page's end closes.
+_UNCLOSED = re.compile(r"<!--.*\Z|<[!?].*\Z", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"']+)""")
 _SPACE = re.compile(r"\s+")
 _RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")
@@ -53,8 +56,6 @@ _QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.IGNORECASE)
 _UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 WINDOW = 3
-#: Least sum of a window, in characters outside links, at which a stretch of a page without article counts, unless no stretch has as much.
-SURGE = 10
 #: How many times denser than the densest window of the articles what stands outside must be.
 DENSER = 4
 
@@ -86,6 +87,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """Blocks of a page in order: text, its length outside links, whether it is inside an article; blocks that are no main text are empty."""
     out: list[tuple[str, int, bool]] = []
     stack: list[str] = []
+    opened: Counter[str] = Counter()  # how often each name is on the stack
     text: list[str] = []
     plain = 0
     dropped = -1  # depth of the element that is left out
@@ -102,15 +104,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     def pop(depth: int) -> None:
         nonlocal dropped, inside, links
         for name in stack[depth:]:
+            opened[name] -= 1
             inside -= name in ("article", "main")
             links -= name == "a"
         if dropped >= depth:
             dropped = -1
         del stack[depth:]
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
-        found = _TOKEN.search(page, at)
+        found = (_TOKEN if at <= last else _UNCLOSED).search(page, at)
         chunk = page[at : found.start() if found else end]
         if chunk and dropped < 0:
             chunk = html.unescape(chunk) if "&" in chunk else chunk
@@ -120,14 +123,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not found:
             break
         at = found.end()
-        name = (found["name"] or found["name2"] or "").lower()
+        name = (found.groupdict().get("name") or found.groupdict().get("name2") or "").lower()
         if not name:
             continue
         rest = found["rest"] if found["name"] else found["rest2"]
         if found["end"] or found["end2"]:
             if name not in _INLINE:
                 flush()
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[depth] == name:
                     pop(depth)
                     break
@@ -140,7 +143,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             at = close.end() if close else end
             continue
-        if name in _CLOSES:
+        if any(opened[x] for x in _CLOSES.get(name, ())):
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth] in _CLOSES[name]:
                     pop(depth)
@@ -159,6 +162,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if hint:
                 dropped, soft = len(stack), hint == 1
         stack.append(name)
+        opened[name] += 1
         inside += name in ("article", "main")
         links += name == "a"
     flush()
@@ -205,7 +209,7 @@ def main_text(page: str | None) -> str:
             runs.append([line])
     densest = lambda wanted: max((max(window_sums([plain for _, plain, _ in run])) for run in runs if run[0][2] == wanted), default=0)
     framed = any(within for _, _, within in lines)
-    least = max(1, DENSER * densest(True)) if framed else max(1, min(SURGE, densest(False)))
+    least = max(1, DENSER * densest(True)) if framed else 1
     kept: list[str] = []
     for run in runs:
         weights = [least if within else plain for _, plain, within in run]
