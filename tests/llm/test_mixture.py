@@ -58,6 +58,21 @@ def test_mix(spark):
     assert rows(again, "doc_id", "taken") == sorted(((r.doc_id, r.taken) for r in got), key=repr)
 
 
+def test_areas_of_shards(spark):
+    """Quotas go through areas of shards, whether a source has one of them or many."""
+    df, data = docs(spark)
+    sizes = {}
+    for _, t, s in data:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    for area in (1, 3, 4096):
+        taken, goal = {}, {}
+        for r in mixture.mix(df, shard_words=2000, area=area).collect():
+            assert 0 <= r.taken <= 2 * r.size
+            taken[r.source], goal[r.source] = taken.get(r.source, 0) + r.taken, r.target
+        for s in goal:
+            assert abs(taken[s] - goal[s]) <= 32 * (2 + sizes[s] // 2000)
+
+
 def test_empty_table(spark):
     df, _ = docs(spark, 10)
     assert mixture.mix(df.limit(0)).count() == 0

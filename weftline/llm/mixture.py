@@ -3,8 +3,8 @@
 The size of the mix and the targets of sources come from their weights; a
 target never exceeds ``repeat`` times its source. Blocks of ``block`` words are
 allocated to sources by the highest quotients target / (2k + 1), and each
-source's blocks to its shards by their sizes in the same way (through areas of a
-bounded number of shards where a source has very many). A shard is a
+source's blocks to areas of at most ``area`` shards and theirs to the shards, by
+their sizes in the same way. A shard is a
 bounded number of documents in a seeded order, read as one stream of words: its
 quota is taken as whole passes over the stream and a seeded choice of blocks.
 """
@@ -155,11 +155,11 @@ def mix(
         return pd.DataFrame({"source_no": g["source_no"], "area": g["area"], "quota": np.array(got, dtype=np.int64)})
 
     sized = placed.groupBy("source_no", "shard", "quota").agg(F.sum("size").alias("shard_size")).withColumn("area", F.floor(F.col("shard") / area))
-    if max(shards, default=1) > area:  # a source's quota goes to areas of shards first, so that no group is unbounded
-        most = F.sum(F.ceil(repeat * F.col("shard_size") / block)).alias("most")
-        areas = sized.groupBy("source_no", "area", "quota").agg(F.sum("shard_size").alias("size"), most)
-        areas = areas.groupBy("source_no").applyInPandas(share, "source_no long, area long, quota long")
-        sized = sized.drop("quota").join(areas, ["source_no", "area"])
+    # a source's quota goes to areas of shards first, so that no group is unbounded
+    most = F.sum(F.ceil(repeat * F.col("shard_size") / block)).alias("most")
+    areas = sized.groupBy("source_no", "area", "quota").agg(F.sum("shard_size").alias("size"), most)
+    areas = areas.groupBy("source_no").applyInPandas(share, "source_no long, area long, quota long")
+    sized = sized.drop("quota").join(areas, ["source_no", "area"])
     quotas = sized.groupBy("source_no", "area").applyInPandas(divide, "source_no long, shard long, passes long, blocks long, chosen long, a long, c long")
     stream = Window.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = placed.withColumn("stop", F.sum("size").over(stream)).withColumn("start", F.col("stop") - F.col("size"))
