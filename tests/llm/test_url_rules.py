@@ -28,3 +28,9 @@ def test_long_hosts(spark):
     df = spark.createDataFrame([(k, f"http://{h}/es/1") for k, h in enumerate(hosts)], "page_id long, url string")
     got = rows(judge_urls(df, spark.createDataFrame(RULES, "host string, path string, verdict string")), "page_id", "rule", "verdict")
     assert got == [(0, "org/", "allow"), (1, "example.org/es/", "block"), (2, None, "allow")]
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "http://a.com/de/1", "mine"), (2, None, "too")], "page_id long, url string, r_verdict string")
+    got = rows(judge_urls(df, spark.createDataFrame(RULES, "host string, path string, verdict string")), "page_id", "verdict", "r_verdict")
+    assert got == [(1, "block", "mine"), (2, "allow", "too")]

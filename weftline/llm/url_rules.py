@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ascii_lower
+from weftline.llm.common import ascii_lower, free_name
 
 PREFIX_HEX = 8
 
@@ -40,6 +40,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     urls and urls without ``://`` have an empty host and path and fit no rule.
     """
     held = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    verdict = free_name(urls, "r_verdict")
     split = urls.select(*held, url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     known = (
         rules.select(F.lower("host").alias("r_host"), F.col("path").alias("r_path"), "verdict")
@@ -68,6 +69,6 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
         .where("x_digest = digest")
         .groupBy("host", "path")
         .agg(F.max_by(F.struct("rule", "r_verdict"), F.struct(F.length("rule"), F.length("r_host"))).alias("best"))
-        .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("r_verdict"))
+        .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias(verdict))
     )
-    return split.join(best, ["host", "path"], "left").select(*held, "host", "path", "rule", F.coalesce("r_verdict", F.lit(default)).alias("verdict"))
+    return split.join(best, ["host", "path"], "left").select(*held, "host", "path", "rule", F.coalesce(verdict, F.lit(default)).alias("verdict"))
