@@ -115,3 +115,25 @@ def test_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2)], "doc_id long, text string, _row_key string, copies int")
     got = parity_join.near_duplicates_removed(docs)
     assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f", "x", 1)]
+
+
+def test_star_blocks_are_bounded_by_size(spark):
+    """512 near copies of a long text: blocks hold no more shingles than most, and no link is lost."""
+    base = " ".join(words(3000, 1, 50_000))
+    docs = [(k, varied(base, 20, k)) for k in range(512)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in parity_join.jaccard_components(df, most=100_000).collect()}
+    assert got == dict.fromkeys(range(512), 0)
+
+
+def test_only_what_the_result_reads_is_left(spark, tmp_path):
+    text = " ".join(words(50, 1))
+    docs = spark.createDataFrame([(5, text), (2, text + " more"), (9, "other words")], "doc_id long, text string")
+    before, shared = spark.conf.get("spark.checkpoint.dir"), tmp_path / "shared"
+    spark.conf.set("spark.checkpoint.dir", str(shared))
+    try:
+        got = parity_join.jaccard_components(docs)
+        left = list(shared.glob("weftline-*"))
+        assert len(left) == 2 and rows(got, "doc_id", "component_id") == [(2, 2), (5, 2), (9, 9)]
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)

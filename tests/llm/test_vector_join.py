@@ -39,3 +39,13 @@ def test_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_null_ids_and_heavy_classes(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8).tolist()
+    data = [(k, base) for k in range(900)] + [(None, base)] + [(1000 + k, rng.normal(size=8).tolist()) for k in range(30)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").selectExpr("*", "1 as key", "2 as cid", "3 as part")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()}
+    assert len(got) == len(data)
+    assert all(got[k][1] == 0 and got[k][0] >= 900 and got[k][2] == (k == 0) for k in range(900)) and got[None][:2] == got[5][:2] and not got[None][2]

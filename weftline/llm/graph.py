@@ -20,12 +20,13 @@ def _star(edges: DataFrame, large: bool, spread=None) -> DataFrame:
     return linked.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, owner: Scratch | None = None) -> DataFrame:
     """node, component (its least node) for every node of a link; self links and nulls link nothing.
 
     Each round is written to the shared folder, which cuts the lineage. Rounds
     grow with the logarithm of the longest chain of links; an error is raised if
-    max_rounds do not suffice.
+    max_rounds do not suffice. The table that the result reads passes to owner,
+    if one is given, which then removes it.
     """
     scratch = Scratch(edges.sparkSession)
     kept = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -49,5 +50,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
     scratch.keep(now)
+    if owner:
+        owner.paths |= scratch.paths
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -291,14 +291,14 @@ def _by_block(df: DataFrame) -> DataFrame:
     return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _links(named: DataFrame, owners: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+def _links(named: DataFrame, owners: DataFrame, texts: DataFrame, total: int, owner: Scratch) -> DataFrame:
     """Spanning forests (a, b) of the links among candidates; texts come to a block once for each class named there."""
     wanted = owners.join(named.select("cid").distinct(), "cid", "left_semi").select("cid", "row_key", "copies")
     scratch = Scratch(named.sparkSession)
     wanted = scratch.write(wanted).hint("merge")  # it grows with the rows: never broadcast
     held = scratch.write(join_facts(texts.select("row_key", "text"), wanted, "row_key", "copies", total).groupBy("cid").agg(F.first("text").alias("text")))
     met = named.join(held, "cid").select("key", "i", "j", "cid", "others", F.col("text").cast("binary"))
-    links = Scratch(named.sparkSession).write(_by_block(met).mapInArrow(_verified, "a long, b long"))
+    links = owner.write(_by_block(met).mapInArrow(_verified, "a long, b long"))
     scratch.keep()
     return links
 
@@ -317,7 +317,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.concat(F.lit("|"), text), F.lit(""))))
 
 
-def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", few: int = 16, block: int = 512, class_bits: int = 64) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", few: int = 16, block: int = 512, most: int = 1 << 21, class_bits: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, row_key (of id and text).
 
     component_id is the smallest doc_id that links reach. Null texts and texts
@@ -330,7 +330,7 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
 
     Classes of copies are told apart by 128 bits of MD5: ``class_bits`` of them
     name a class, and classes that share a name are renamed. Blocks have at most
-    ``block`` classes on each side and fewer where sets are large; up to ``few``
+    ``block`` classes on each side, and fewer where these have over ``most`` shingles; up to ``few``
     classes are compared one by one, more by arrays.
     """
     spark = docs.sparkSession
@@ -363,19 +363,20 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
 
     # the least class of a posting with the others, in parts of bounded size
     centres = scratch.write(shared.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("sets")))
-    stars = scratch.write(join_facts(shared, centres, "key", "sets", n_shared).where("a <> cid").select("a", F.col("cid").alias("b")).distinct())
-    rays = scratch.write(stars.groupBy("a").agg(F.count("*").alias("rays")))
+    stars = join_facts(shared, centres, "key", "sets", n_shared).where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+    stars = scratch.write(stars.join(classes.select(F.col("cid").alias("b"), F.col("n").alias("mass")), "b").select("a", "b", "mass"))
+    rays = scratch.write(stars.groupBy("a").agg(F.count("*").alias("rays"), F.sum("mass").alias("mass")))
     n_stars = stars.count()
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     centre = scratch.write(rays.join(side("a"), "a"), rays)
-    dealt = F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("rays") / block)).cast("int").alias("i")
-    near = join_facts(stars.join(side("b"), "b"), centre, "a", "rays", n_stars).select("a", dealt, "b", "n_a", "sketch_a", "n_b", "sketch_b")
+    dealt = F.pmod(F.xxhash64("a", "b"), F.ceil(F.greatest(F.col("rays") / block, F.col("mass") / most))).cast("int").alias("i")
+    near = join_facts(stars.drop("mass").join(side("b"), "b"), centre, "a", "rays", n_stars).select("a", dealt, "b", "n_a", "sketch_a", "n_b", "sketch_b")
     near = scratch.write(near.mapInArrow(_star_near, "a long, i int, b long"), stars, centre)
     none = F.array().cast("array<long>")
     block_of = [F.col("a").alias("key"), "i", F.lit(0).alias("j")]
     named = near.select(*block_of, F.col("b").alias("cid"), F.array("a").alias("others")).unionByName(near.select(*block_of, F.col("a").alias("cid"), none.alias("others")).distinct())
-    links = _links(named, owners, texts, total)
-    found = connected_components(links)
+    links = _links(named, owners, texts, total, scratch)
+    found = connected_components(links, owner=scratch)
 
     # what different components still share
     of = found.select(F.col("node").alias("cid"), "component")
@@ -383,11 +384,11 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     spread = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("sets"), F.sum("n").alias("mass"))
     spread = scratch.write(spread.where("lo <> hi").join(centres.select("key", "a"), "key").select("key", "a", "sets", "mass"), centres)
     open_ = scratch.write(join_facts(placed, spread, "key", "sets", n_shared).select("key", "a", "cid", "part", "sets", "mass"), placed, spread)
-    named = scratch.write(_crowds(open_, classes, few, block, 1 << 21), open_)
+    named = scratch.write(_crowds(open_, classes, few, block, most), open_)
     if not named.isEmpty():
-        more = _links(named, owners, texts, total)
+        more = _links(named, owners, texts, total, scratch)
         if not more.isEmpty():
-            found = connected_components(links.unionByName(more))
+            found = connected_components(links.unionByName(more), owner=scratch)
 
     parts = owners.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("cid", "least_doc", "copies", F.coalesce("component", "cid").alias("part"))
     least = parts.groupBy("part").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("classes"))

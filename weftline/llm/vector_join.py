@@ -8,7 +8,7 @@ d(x, j)**2 - d(x, i)**2 <= 2 e d(i, j); it is copied to such cells j < i. Each
 cell then joins its own vectors with all it holds, on its own, in blocks of
 bounded size.
 
-Equal vectors are one class with a count and are joined once. Of the links found
+Equal vectors are one class with a count, known by 128 bits, and are joined once. Of the links found
 in a block only a spanning forest is passed on, as counts and components need no
 more; links are counted where they are found.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, join_facts
 from weftline.llm.graph import connected_components
 
 
@@ -109,8 +109,8 @@ def near_vectors(vectors: DataFrame, vec_col: str = "vec_id", embedding_col: str
     smallest vec_id that links reach (nulls are passed over). kept: vec_id =
     component_id. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing, nor do vectors of different lengths. Repeated
-    rows are copies and link. An empty table gives no rows. Classes of equal
-    vectors are known by 64 bits. Other columns are not read. A block holds
+    rows are copies and link. An empty table gives no rows. Other columns are not read,
+    whatever their names; null vec_ids stay. A list of any length is read whole. A block holds
     ``block`` vectors a side, by default block_numbers / length, so that long
     vectors need no more memory; a cell is about one block while max_pivots last.
     """
@@ -118,15 +118,16 @@ def near_vectors(vectors: DataFrame, vec_col: str = "vec_id", embedding_col: str
     kind = kind if kind == "array<float>" else "array<double>"  # floats are sent as they are, cosines are of doubles
     e = F.col("embedding")
     sound = F.coalesce((F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(vec_col).alias("vec_id"), F.col(embedding_col).cast(kind).alias("embedding")).withColumn("cid", F.when(sound, F.xxhash64("embedding")))
+    rows = vectors.select(F.col(vec_col).alias("vec_id"), F.col(embedding_col).cast(kind).alias("embedding")).withColumn("key", F.when(sound, F.struct(F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(1), "embedding").alias("g"))))
     scratch = Scratch(vectors.sparkSession)
-    classes = scratch.write(rows.where("cid is not null").groupBy("cid").agg(F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("dim", F.size("embedding")))
+    # a class's number is only a name: it is drawn once and written
+    classes = scratch.write(rows.where("key is not null").groupBy("key").agg(F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumns({"dim": F.size("embedding"), "cid": F.monotonically_increasing_id()}))
     pivots = {}
     sizes_of = {}
     for r in classes.groupBy("dim").count().collect():
         sizes_of[r["dim"]] = block or max(16, block_numbers // r["dim"])
         k = min(max_pivots, max(1, -(-r["count"] // sizes_of[r["dim"]])))
-        chosen = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(seed), "cid"), "cid").limit(k).select("embedding").toArrow()
+        chosen = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(seed), "key.h"), "key").limit(k).select("embedding").toArrow()
         p = _matrix(chosen["embedding"])
         pivots[r["dim"]] = p, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (p @ p.T)))
     spark = vectors.sparkSession
@@ -145,13 +146,18 @@ def near_vectors(vectors: DataFrame, vec_col: str = "vec_id", embedding_col: str
     others = dealt.where("cores > 0").select(*held, all_of("cores").alias("i"), mine(seed + 1, "others").alias("j"), F.lit(False).alias("core"))
     found = scratch.write(cores.unionByName(others).groupBy("dim", "cell", "i", "j").applyInArrow(_joiner(cosine), "a long, b long, n long"))
 
-    linked = connected_components(found.where("b is not null"))
+    linked = connected_components(found.where("b is not null"), owner=scratch)
     scratch.keep(found, classes)
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "cid")
-    parts = classes.select("cid", "n", "least").join(linked.withColumnRenamed("node", "cid"), "cid", "left").join(counts, "cid", "left")
-    parts = parts.select("cid", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least", F.coalesce("component", "cid").alias("part"))
-    least = parts.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = parts.join(least, "part").select("cid", "n_links", "component_id")
-    alone = rows.where("cid is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
-    grouped = rows.where("cid is not null").select("vec_id", "cid").join(named, "cid").select("vec_id", "n_links", "component_id")
+    parts = classes.select("key", "cid", "n", "least").join(linked.withColumnRenamed("node", "cid"), "cid", "left").join(counts, "cid", "left")
+    parts = parts.select("key", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least", F.coalesce("component", "cid").alias("part"))
+    parts = scratch.write(parts)
+    least = parts.groupBy("part").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    # a component or class that holds a large share of all rows meets its facts in a broadcast
+    least = scratch.write(least)
+    named = scratch.write(join_facts(parts, least, "part", "classes", classes.count()).select("key", "n", "n_links", "component_id"))
+    scratch.keep(named)
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    members = rows.where("key is not null").select("vec_id", "key")
+    grouped = join_facts(members, named, "key", "n", named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("vec_id", "n_links", "component_id")
     return grouped.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
