@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tests.llm.helpers import components, rows, shingle_set, words
-from weftline.llm import parity_join
+from weftline.llm import common, parity_join
 from weftline.llm.graph import connected_components
 
 
@@ -126,14 +126,9 @@ def test_star_blocks_are_bounded_by_size(spark):
     assert got == dict.fromkeys(range(512), 0)
 
 
-def test_only_what_the_result_reads_is_left(spark, tmp_path):
+def test_only_what_the_result_reads_is_left(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
     text = " ".join(words(50, 1))
     docs = spark.createDataFrame([(5, text), (2, text + " more"), (9, "other words")], "doc_id long, text string")
-    before, shared = spark.conf.get("spark.checkpoint.dir"), tmp_path / "shared"
-    spark.conf.set("spark.checkpoint.dir", str(shared))
-    try:
-        got = parity_join.jaccard_components(docs)
-        left = list(shared.glob("weftline-*"))
-        assert len(left) == 2 and rows(got, "doc_id", "component_id") == [(2, 2), (5, 2), (9, 9)]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+    got = parity_join.jaccard_components(docs)
+    assert len(list(tmp_path.glob("weftline-*"))) == 2 and rows(got, "doc_id", "component_id") == [(2, 2), (5, 2), (9, 9)]
