@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import scalar
-from weftline.operators import audit, bootstrap, comparison, indicators, joins, ledger, metrics, models, rules, score
+from weftline.operators import audit, bootstrap, comparison, indicators, joins, ledger, metrics, models, rules, score, trailing
 from weftline.sources import bars as source
 from weftline.sources import payloads, sinks
 
@@ -323,14 +323,93 @@ def test_storms_without_alerts(spark):
 
 
 def test_schemes(spark):
-    rows = [("a", k, 1.0, 1.0 + k % 5, "x") for k in range(80)] + [("b", k, 0.0, 0.2, "y") for k in range(90)]
+    rows = [("a", k, 1.0, 1.0 + k % 5, "x") for k in range(80)] + [("b", k, 0.0, 0.2, "y") for k in range(90)] + [("c", 0, 2.0, 2.0, "z")]
     df = spark.createDataFrame(rows, "asset string, date int, p double, y double, cluster string")
-    got = comparison.interval_schemes(df, "p", "y", "cluster")
-    assert got.count() == 4 * 170 and set(got.columns) == {*df.columns, "scheme", "bound0", "bound1", "bound2", "bound3"}
+    known = df.where("asset <> 'c'")
+    table = models.conformal_quantiles(known, "p", "y")
+    assert {r.scope: r.rows for r in table.collect()} == {"all": 170, "in x": 80, "in y": 90}
+    got = comparison.interval_schemes(df, table, "p", "y")
+    assert got.count() == 4 * 171 and set(got.columns) == {*df.columns, "scheme", "residuals", "bound0", "bound1", "bound2", "bound3"}
     early = got.where("asset = 'a' and date = 59").select("scheme", "bound0", "bound3").collect()
     at = {r.scheme: (r.bound0, r.bound3) for r in early}
     assert at["rolling252"] == at["shrunk252"] == at["global"] != at["cluster"]
     late = {r.scheme: r.bound3 for r in got.where("asset = 'a' and date = 79").collect()}
     assert late["rolling252"] == late["cluster"] == 5.0 < late["shrunk252"] < late["global"] == 20.0
+    assert len({(r.bound0, r.bound3) for r in got.where("asset = 'c'").collect()}) == 1  # a cluster that was not known has the bounds of all
     chosen = comparison.scheme_metrics(got, "y")
     assert chosen.count() == 4 and chosen.where("chosen").count() == 1
+    assert {r.pass_rate for r in comparison.pass_rate(got, "y", most=1.0).collect()} == {1.0}
+
+
+def test_bounds_do_not_look_ahead(spark):
+    """Later outcomes, those of the judged rows included, change no bound."""
+    rng = np.random.default_rng(1)
+    rows = [(a, dt.date(2000, 1, 1) + dt.timedelta(days=k), 1.0, float(rng.exponential()), a[0], "development" if a != "y1" else "holdout") for a in ("x1", "x2", "y1", "y2") for k in range(300)]
+    df = spark.createDataFrame(rows, "asset string, date date, p double, y double, cluster string, role string")
+
+    def bounds(rows):
+        table = models.conformal_quantiles(models.known_before(rows, "2000-07-01"), "p", "y")
+        judged = comparison.interval_schemes(rows, table, "p", "y").where("date >= '2000-07-01' and date <= '2000-09-01'")
+        return sorted(tuple(r) for r in judged.select("asset", "date", "scheme", "bound0", "bound1", "bound2", "bound3").collect())
+
+    plain = bounds(df)
+    assert len(plain) == 4 * 4 * 63
+    assert bounds(df.withColumn("y", F.when(F.col("date") >= "2000-09-01", F.col("y") * 9).otherwise(F.col("y")))) == plain
+    held = F.when((F.col("role") == "holdout") & (F.col("date") < "2000-07-01"), F.col("y") * 9).otherwise(F.col("y"))
+    other = [r for r in bounds(df.withColumn("y", held)) if r[2] in ("global", "cluster")]
+    assert other == [r for r in plain if r[2] in ("global", "cluster")]  # what is held out calibrates nothing
+
+
+def brute_quantile(pairs, q):
+    pairs = sorted(pairs)
+    v, w = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    return float(np.interp(q, (np.cumsum(w) - w / 2) / w.sum(), v))
+
+
+def test_weighted_quantiles(spark):
+    rng = np.random.default_rng(7)
+    groups = {
+        "many": [(float(x), float(w)) for x, w in zip(rng.normal(size=5000).round(3), rng.random(5000) + 0.01, strict=True)],
+        "ties": [(float(x), float(w)) for x, w in zip(rng.integers(0, 4, 300), rng.random(300) + 0.01, strict=True)],
+        "one": [(2.5, 1.0)], "two": [(1.0, 1.0), (3.0, 9.0)], "same": [(4.0, 1.0)] * 7, "wide": [(1e9, 1.0), (-1e9, 1.0), (0.0, 100.0)],
+    }
+    rows = [(k, v, w) for k, pairs in groups.items() for v, w in pairs] + [("one", None, 1.0), ("two", 5.0, 0.0), ("gone", 1.0, None)]
+    points = [0.0, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0]
+    got = {r.k: r for r in models.weighted_quantile(spark.createDataFrame(rows, "k string, v double, w double").repartition(7), "v", "w", points, ["k"], 9).collect()}
+    assert set(got) == set(groups)
+    for k, pairs in groups.items():
+        assert got[k].rows == len(pairs)
+        for i, q in enumerate(points):
+            assert abs(got[k][f"q{i}"] - brute_quantile(pairs, q)) < 1e-6 * max(1.0, abs(got[k][f"q{i}"])), (k, q)
+    assert models.weighted_quantile(spark.createDataFrame([], "k string, v double, w double"), "v", "w", points, ["k"]).count() == 0
+
+
+def brute_trailing(values, n):
+    """Rank and median among the n before, from lists."""
+    out = []
+    for i, x in enumerate(values):
+        past = values[max(0, i - n) : i]
+        rank = None if len(past) < n or None in past or x is None else 100.0 * sum(p <= x for p in past) / n
+        known = [p for p in past if p is not None]
+        out.append((rank, float(np.quantile(known, 0.3)) if len(known) >= 3 else None))
+    return out
+
+
+def test_trailing_in_chunks(spark):
+    """Chunks change nothing, and a long series is cut into many."""
+    rng = np.random.default_rng(5)
+    series = {"a": [float(x) for x in rng.integers(0, 9, 400)], "b": [None if rng.random() < 0.05 else float(x) for x in rng.normal(size=333)], None: [1.0, 2.0], "c": [5.0]}
+    rows = [(k, i, v) for k, values in series.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "asset string, date int, v double").withColumn("own", F.lit("x"))
+    wanted = [trailing.Rank("rank", "v", "v", 20), trailing.Quantiles(("low",), "v", (0.3,), 31, 3)]
+    for chunk in (1, 7, 64, 8192):
+        got = {(r.asset, r.date): r for r in trailing.with_trailing(df, wanted, chunk=chunk).collect()}
+        assert len(got) == len(rows) and got["a", 0].own == "x"
+        for k, values in series.items():
+            ranks, lows = brute_trailing(values, 20), brute_trailing(values, 31)
+            for i in range(len(values)):
+                r = got[k, i]
+                assert r.rank == (None if ranks[i][0] is None else pytest.approx(ranks[i][0])) and r.low == (None if lows[i][1] is None else pytest.approx(lows[i][1])), (k, i, chunk)
+    placed = trailing.with_trailing(spark.range(100_000).selectExpr("'a' as asset", "id as date", "id * 1.0 as v"), [trailing.Rank("rank", "v", "v")])
+    assert placed.where("rank = 100").count() == 100_000 - 252
+    assert trailing.with_trailing(df.limit(0), wanted).count() == 0

@@ -122,11 +122,6 @@ def top_coefficients(model: LinearModel, n: int = 8) -> list[tuple[str, float]]:
     return sorted(zip(model.columns, model.coefficients, strict=True), key=lambda p: (-abs(p[1]), p[0]))[:n]
 
 
-def others(rows: DataFrame, names: list[str], cluster: str = "cluster") -> DataFrame:
-    """Each row once for every name that is not its cluster, as excluded: what is left when that cluster is left out."""
-    return rows.withColumn("excluded", F.explode(F.array(*(F.lit(n) for n in names)))).where(F.col("excluded") != F.col(cluster))
-
-
 #: Predictors of the two calibrators.
 CALIBRATORS = {"platt": ["_logit"], "beta": ["_log_p", "_log_rest"]}
 

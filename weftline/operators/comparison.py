@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scalar import half_up, ratio
 from weftline.operators.metrics import rounded, wilson
+from weftline.operators.models import outcome_ratio
+from weftline.operators.trailing import Quantiles, with_trailing
 
 #: Grades in order.
 GRADES = ("calm", "normal", "rough", "storm")
@@ -65,28 +67,54 @@ def storm_report(rows: DataFrame, alert: Column, event: Column, *keys: str) -> D
     return rounded(got.withColumns({"f1": ratio(2.0 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), "lift": ratio(F.col("precision"), F.col("base_rate"))}))
 
 
-def interval_schemes(rows: DataFrame, predicted: str, actual: str, cluster: str, points: tuple[float, ...] = (0.1, 0.25, 0.75, 0.9), key: str = "asset", time: str = "date", n: int = 252, least: int = 60, pull: float = 100.0) -> DataFrame:
-    """One row per row and scheme: scheme, bound0, bound1, ... for the quantile points of actual / predicted.
+#: Quantile points of the outer and inner bounds, and their names in a table of conformal quantiles.
+POINTS = {0.1: "q0", 0.25: "q1", 0.75: "q3", 0.9: "q4"}
 
-    global: quantiles of all rows; cluster: of the row's cluster; rolling252: of
-    up to n earlier rows of the series; shrunk252: these blended with the global
-    ones by k / (k + pull) for k earlier ratios. With fewer than ``least`` earlier
-    ratios the last two are global. Predictions below 0.01 divide as 0.01.
-    """
-    wanted = F.array(*(F.lit(p) for p in points))
-    fine = lambda q: F.transform(q, lambda x: half_up(x, 10))
-    held = rows.withColumn("_q", half_up(F.try_divide(F.col(actual), F.greatest(F.col(predicted), F.lit(0.01))), 8))
-    total = held.agg(fine(F.percentile("_q", wanted)).alias("_g"))
-    parts = held.groupBy(cluster).agg(fine(F.percentile("_q", wanted)).alias("_c"))
+
+def own_quantiles(tape: DataFrame, predicted: str, actual: str, key: str = "asset", time: str = "date", n: int = 252, least: int = 60) -> DataFrame:
+    """tape with residuals, the number of up to n earlier rows with a ratio of outcome to prediction, and own0 to own3, these ratios' quantiles; null of fewer than ``least``."""
+    held = tape.withColumn("_q", outcome_ratio(predicted, actual))
     before = Window.partitionBy(key).orderBy(time).rowsBetween(-n, -1)
-    held = held.withColumns({"_k": F.count("_q").over(before), "_o": fine(F.percentile("_q", wanted).over(before))})
-    held = held.join(parts, cluster).crossJoin(F.broadcast(total))  # total has one row
-    enough, share = F.col("_k") >= least, F.col("_k") / (F.col("_k") + pull)
-    own = F.when(enough, F.col("_o")).otherwise(F.col("_g"))
+    names = tuple(f"own{k}" for k in range(len(POINTS)))
+    out = with_trailing(held.withColumn("residuals", F.count("_q").over(before)), [Quantiles(names, "_q", tuple(POINTS), n, least)], key, time)
+    return out.withColumns({c: half_up(F.col(c), 10) for c in names}).drop("_q")
+
+
+def interval_schemes(tape: DataFrame, table: DataFrame, predicted: str, actual: str, cluster: str = "cluster", key: str = "asset", time: str = "date", n: int = 252, least: int = 60, pull: float = 100.0, digits: int = 6) -> DataFrame:
+    """One row per row of tape and scheme: scheme, residuals, bound0 to bound3 for POINTS of outcome over prediction.
+
+    table: conformal quantiles, from rows whose outcome was known before the first
+    row that is judged (``models.known_before``). global: its scope ``all``; cluster:
+    the row's cluster's scope, ``all`` if there is none; rolling252: quantiles of up
+    to n earlier ratios of the series on the tape; shrunk252: these blended with the
+    global ones by k / (k + pull) for k ratios. With fewer than ``least`` earlier
+    ratios the last two are global. No row's bounds use its own or a later outcome.
+    """
+    wanted = F.array(*(F.col(c) for c in POINTS.values()))
+    total = table.where("scope = 'all'").select(wanted.alias("_g"))
+    parts = table.where(F.startswith("scope", F.lit("in "))).select(F.substring("scope", 4, 1 << 30).alias(cluster), wanted.alias("_c"))
+    own = F.array(*(F.col(f"own{k}") for k in range(len(POINTS))))
+    held = own_quantiles(tape, predicted, actual, key, time, n, least).withColumn("_o", own)
+    held = held.join(parts, cluster, "left").crossJoin(F.broadcast(total))  # total has one row
+    enough, share = F.col("residuals") >= least, F.col("residuals") / (F.col("residuals") + pull)
     blend = F.when(enough, F.zip_with("_o", "_g", lambda o, g: share * o + (1.0 - share) * g)).otherwise(F.col("_g"))
-    bounds = lambda q: [half_up(F.get(q, F.lit(k)) * F.col(predicted), 6).alias(f"bound{k}") for k in range(len(points))]
-    each = F.array(*(F.struct(F.lit(s).alias("scheme"), *bounds(q)) for s, q in zip(SCHEMES, (F.col("_g"), F.col("_c"), own, blend), strict=True)))
-    return held.select(*rows.columns, F.inline(each))
+    bounds = lambda q: [half_up(F.get(q, F.lit(k)) * F.col(predicted), digits).alias(f"bound{k}") for k in range(len(POINTS))]
+    schemes = (F.col("_g"), F.coalesce("_c", "_g"), F.when(enough, F.col("_o")).otherwise(F.col("_g")), blend)
+    each = F.array(*(F.struct(F.lit(s).alias("scheme"), *bounds(q)) for s, q in zip(SCHEMES, schemes, strict=True)))
+    return held.select(*tape.columns, "residuals", F.inline(each))
+
+
+def coverage_error(coverage50: Column, coverage80: Column) -> Column:
+    """Mean distance of both coverages from their goals."""
+    return (F.abs(coverage50 - 0.5) + F.abs(coverage80 - 0.8)) / 2.0
+
+
+def series_coverage(bounds: DataFrame, actual: str, *keys: str) -> DataFrame:
+    """Per keys: rows, coverage and width of the inner (50%) and outer (80%) bounds, and the mean coverage error; not rounded."""
+    inside = lambda a, b: F.avg(((F.col(actual) >= F.col(a)) & (F.col(actual) <= F.col(b))).cast("int"))
+    wide = lambda a, b: F.avg(F.col(b) - F.col(a))
+    got = bounds.groupBy(*keys).agg(F.count("*").alias("rows"), inside("bound1", "bound2").alias("coverage50"), wide("bound1", "bound2").alias("width50"), inside("bound0", "bound3").alias("coverage80"), wide("bound0", "bound3").alias("width80"))
+    return got.withColumn("error", coverage_error(F.col("coverage50"), F.col("coverage80")))
 
 
 def scheme_metrics(bounds: DataFrame, actual: str, key: str = "asset") -> DataFrame:
@@ -95,17 +123,20 @@ def scheme_metrics(bounds: DataFrame, actual: str, key: str = "asset") -> DataFr
     Chosen is the narrowest outer width among the schemes whose error is within
     0.005 of the least; of equal widths the first name.
     """
-    inside = lambda a, b: F.avg(((F.col(actual) >= F.col(a)) & (F.col(actual) <= F.col(b))).cast("int"))
-    wide = lambda a, b: F.avg(F.col(b) - F.col(a))
-    each = bounds.groupBy("scheme", key).agg(inside("bound1", "bound2").alias("coverage50"), wide("bound1", "bound2").alias("width50"), inside("bound0", "bound3").alias("coverage80"), wide("bound0", "bound3").alias("width80"))
-    got = each.groupBy("scheme").agg(F.count("*").alias("series"), *(F.avg(c).alias(c) for c in ("coverage50", "width50", "coverage80", "width80")))
-    got = rounded(got.withColumn("error", (F.abs(F.col("coverage50") - 0.5) + F.abs(F.col("coverage80") - 0.8)) / 2.0))
+    got = series_coverage(bounds, actual, "scheme", key).groupBy("scheme").agg(F.count("*").alias("series"), *(F.avg(c).alias(c) for c in ("coverage50", "width50", "coverage80", "width80")))
+    got = rounded(got.withColumn("error", coverage_error(F.col("coverage50"), F.col("coverage80"))))
     best = got.agg(F.min("error").alias("_least"))
     fit = F.col("error") <= F.col("_least") + 0.005
     first = got.crossJoin(F.broadcast(best)).where(fit).agg(F.min(F.struct("width80", "scheme")).alias("_first"))  # a few schemes
     return got.crossJoin(F.broadcast(first)).withColumn("chosen", F.col("scheme") == F.col("_first.scheme")).drop("_first")
 
 
+def pass_rate(bounds: DataFrame, actual: str, key: str = "asset", most: float = 0.1) -> DataFrame:
+    """Per scheme: series and the share of them whose mean coverage error is at most ``most``."""
+    each = series_coverage(bounds, actual, "scheme", key)
+    return rounded(each.groupBy("scheme").agg(F.count("*").alias("series"), F.avg((half_up(F.col("error"), 9) <= most).cast("int")).alias("pass_rate")))
+
+
 def equal_groups(rows: DataFrame, group: str, value: str, key: str = "asset", least: int = 20) -> DataFrame:
     """Per group: the series with at least ``least`` rows in it, their rows, and the mean over them of each one's mean value."""
     each = rows.groupBy(key, group).agg(F.count("*").alias("_n"), F.avg(value).alias("_m")).where(F.col("_n") >= least)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scalar import change_of, growth, half_up, ratio
+from weftline.operators.trailing import Quantiles, Rank, with_trailing
 
 
 def span(key: str, time: str, first: int, last: int):
@@ -48,29 +49,20 @@ def with_indicators(bars: DataFrame, key: str = "asset", time: str = "date") ->
     return base.withColumns(out).drop("_red")
 
 
-def trailing_rank(value: Column, history: Column, n: int = 252) -> Column:
-    """Share in percent of the history (a full list of n values) that is at most value."""
-    return F.when(value.isNotNull() & (F.size(history) == n), half_up(F.size(F.filter(history, lambda x: x <= value)) * 100.0 / n, 6))
-
-
-def _sorted_quantile(values: Column, q: float) -> Column:
-    """Quantile of a sorted array, interpolated between neighbours; null of an empty one."""
-    at = (F.size(values) - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    first, second = F.get(values, low), F.get(values, F.ceil(at).cast("int"))
-    return F.when(F.size(values) > 0, first + (second - first) * (at - low))
-
-
 #: Features whose percentile among the 252 values before is a feature too.
 RANKED = {"atr14": "atr_rank252", "realized_vol20": "vol_rank252", "volume_ratio20": "volume_rank252", "sma_gap20": "gap_rank252"}
+CLOSE_RANK, TAIL = "close_rank252", "return_q10_756"
+#: Features that need the sorted rows before; computed only where named.
+TRAILING = (*RANKED.values(), CLOSE_RANK, TAIL)
 
 
-def with_features(ind: DataFrame, key: str = "asset", time: str = "date", per_year: int = 252) -> DataFrame:
-    """Indicators with returns, gaps, volatilities, drawdown, trailing ranks, z-score and quantile.
+def with_features(ind: DataFrame, key: str = "asset", time: str = "date", per_year: int = 252, trailing: tuple[str, ...] = TRAILING) -> DataFrame:
+    """Indicators with returns, gaps, volatilities, drawdown, z-score, and the named trailing ranks and quantile.
 
     History values are the rounded features of earlier bars, the current value is
     not rounded to 6 digits; one null among the 252 before makes a rank null. The
-    quantile needs no least number of returns.
+    quantile needs no least number of returns. Whether a rank is there is told for
+    all of them, by counts.
     """
     order = Window.partitionBy(key).orderBy(time)
     over = lambda first, last=0: span(key, time, first, last)
@@ -89,16 +81,18 @@ def with_features(ind: DataFrame, key: str = "asset", time: str = "date", per_ye
     ).drop("_r", "_d")
     before = over(-252, -1)
     old = lambda c: half_up(F.col(c), 6)
-    ranks = {name: trailing_rank(F.col(c), F.collect_list(old(c)).over(before)) for c, name in RANKED.items()}
-    ranks["close_rank252"] = trailing_rank(close, F.collect_list("close").over(before))
     mean, spread = F.avg(old("return1")).over(before), F.stddev_samp(old("return1")).over(before)
-    ranks["return_z252"] = F.when((F.count("return1").over(before) == 252) & (spread > 0), half_up(F.try_divide(F.col("return1") - mean, spread), 6))
-    ranks["return_q10_756"] = half_up(_sorted_quantile(F.sort_array(F.collect_list(old("return1")).over(over(-756, -1))), 0.1), 8)
-    # whether a rank is there, by counts alone: what needs no rank itself is spared its lists
-    ranks |= {f"{name}_there": F.col(c).isNotNull() & (F.count(c).over(before) == 252) for c, name in RANKED.items()}
-    ranks["return_q10_756_there"] = F.count("return1").over(over(-756, -1)) > 0
+    more = {"return_z252": F.when((F.count("return1").over(before) == 252) & (spread > 0), half_up(F.try_divide(F.col("return1") - mean, spread), 6))}
+    more |= {f"{name}_there": F.col(c).isNotNull() & (F.count(c).over(before) == 252) for c, name in RANKED.items()}
+    more[f"{TAIL}_there"] = F.count("return1").over(over(-756, -1)) > 0
+    wanted = [Rank(name, c, f"_old_{c}") for c, name in RANKED.items() if name in trailing]
+    wanted += [Rank(CLOSE_RANK, "close", "close")] * (CLOSE_RANK in trailing) + [Quantiles((TAIL,), "_old_return1", (0.1,), 756)] * (TAIL in trailing)
+    history = {c for c, name in (*RANKED.items(), ("return1", TAIL)) if name in trailing}
+    two = one.withColumns(more).withColumns({f"_old_{c}": old(c) for c in sorted(history)})
+    two = with_trailing(two, wanted, key, time, "bar_no").drop(*(f"_old_{c}" for c in history))
+    two = two.withColumns({n: half_up(F.col(n), 8 if n == TAIL else 6) for n in trailing})
     rounded = ("return1", "return5", "return20", "sma_gap5", "sma_gap20", "sma_gap50", "sma_gap200", "realized_vol20", "downside_vol20", "drawdown63")
-    return one.withColumns(ranks).withColumns({c: half_up(F.col(c), 6) for c in rounded})
+    return two.withColumns({c: half_up(F.col(c), 6) for c in rounded})
 
 
 def with_labels(bars: DataFrame, key: str = "asset", time: str = "date") -> DataFrame:
@@ -117,11 +111,12 @@ def with_labels(bars: DataFrame, key: str = "asset", time: str = "date") -> Data
 
 
 def with_events(rows: DataFrame) -> DataFrame:
-    """Labels and features with 0/1 events: up, drop by 1, 2 and 3 percent, historical tail, correction by one atr."""
+    """Labels and features with 0/1 events: up, drop by 1, 2 and 3 percent, historical tail (where the features have its quantile), correction by one atr."""
     flag = lambda c: F.when(c.isNotNull(), c.cast("int"))
     out = {f"up{n}": flag(F.col(f"fwd_return{n}") > 0) for n in (1, 3, 5)}
     out |= {f"drop{n}": flag(F.col("fwd_return1") <= -n) for n in (1, 2, 3)}
-    out["tail1"] = flag(F.col("fwd_return1") <= F.col("return_q10_756"))
+    if TAIL in rows.columns:
+        out["tail1"] = flag(F.col("fwd_return1") <= F.col(TAIL))
     out |= {f"correction{n}": flag(F.col(f"fwd_drawdown{n}") <= -F.col("atr14")) for n in (3, 5)}
     return rows.withColumns(out)
 
@@ -133,7 +128,7 @@ WARM_UP = 300
 
 def panel(rows: DataFrame) -> DataFrame:
     """Rows after the warm-up that have all required features, ranks and the quantile included, and five bars ahead."""
-    flags = [f"{n}_there" for n in (*RANKED.values(), "return_q10_756")]
+    flags = [f"{n}_there" for n in (*RANKED.values(), TAIL)]
     held = rows.where(F.col("bar_no") > WARM_UP).dropna(subset=[*REQUIRED, "fwd_return5"])
     for flag in flags:
         held = held.where(flag)

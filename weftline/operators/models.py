@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scalar import half_up, logit, sigmoid
+from weftline.operators.quantiles import weighted_quantile
+from weftline.operators.trailing import Quantiles, Rank, with_trailing
 
 
 def hierarchical_weights(rows: DataFrame, cluster: str, asset: str) -> DataFrame:
@@ -106,53 +108,11 @@ def logistic(rows: DataFrame, columns: list[str], truth: str, penalty: float, we
     return model
 
 
-def weighted_quantile(rows: DataFrame, value: str, weight: str, points: list[float], keys: list[str]) -> DataFrame:
-    """Quantiles q0, q1, ... of each key, interpolated between the midpoints of cumulated weights, the ends held."""
-    w = Window.partitionBy(*keys)
-    upto = w.orderBy(value, weight).rowsBetween(Window.unboundedPreceding, 0)
-    held = rows.where(F.col(value).isNotNull()).withColumn("_m", (F.sum(weight).over(upto) - F.col(weight) / 2.0) / F.sum(weight).over(w))
-    after = w.orderBy(value, weight)
-    held = held.withColumns({"_next": F.lead(value).over(after), "_next_m": F.lead("_m").over(after), "_first": F.first(value).over(after), "_first_m": F.first("_m").over(after)})
-    out = []
-    for k, q in enumerate(points):
-        between = F.col(value) + (F.col("_next") - F.col(value)) * F.try_divide(F.lit(q) - F.col("_m"), F.col("_next_m") - F.col("_m"))
-        at = F.when((F.col("_m") <= q) & (F.col("_next_m") > q), between).when((F.col("_m") <= q) & F.col("_next_m").isNull(), F.col(value))
-        out.append(half_up(F.coalesce(F.max(at), F.max(F.when(F.col("_first_m") > q, F.col("_first")))), 6).alias(f"q{k}"))
-    return held.groupBy(*keys).agg(*out)
-
-
 def trailing_reference(rows: DataFrame, predicted: str, actual: str, key: str = "asset", time: str = "date", n: int = 252) -> DataFrame:
-    """rows with what n earlier values say: prior_median, prior_q90, high_event (actual strictly above q90), relative (prediction over median) and rank of the prediction."""
-    before = Window.partitionBy(key).orderBy(time).rowsBetween(-n, -1)
-    seen = F.count(actual).over(before) == n
-    history = F.collect_list(F.col(predicted)).over(before)
-    out = rows.withColumns({"prior_median": F.when(seen, half_up(F.percentile(actual, 0.5).over(before), 8)), "prior_q90": F.when(seen, half_up(F.percentile(actual, 0.9).over(before), 8))})
-    return out.withColumns(
-        {
-            "high_event": F.when(F.col("prior_q90").isNotNull(), (F.col(actual) > F.col("prior_q90")).cast("int")),
-            "relative": half_up(F.try_divide(predicted, "prior_median"), 6),
-            "prediction_rank": F.when(F.size(history) == n, half_up(F.size(F.filter(history, lambda x: x <= F.col(predicted))) * 100.0 / n, 6)),
-        }
-    )
-
-
-def trailing_intervals(rows: DataFrame, predicted: str, actual: str, points: list[float], key: str = "asset", time: str = "date", n: int = 252, least: int = 60, pull: float = 100.0) -> DataFrame:
-    """rows with low/high bounds for pairs of points: trailing quantiles of actual / predicted, blended with those of all rows.
-
-    Of fewer than ``least`` earlier ratios the quantiles of all rows stand in;
-    else the weight of a series' own is k / (k + pull) for k ratios.
-    """
-    held = rows.withColumn("_q", half_up(F.try_divide(actual, predicted), 8))
-    before = Window.partitionBy(key).orderBy(time).rowsBetween(-n, -1)
-    wanted = F.array(*(F.lit(p) for p in points))
-    total = held.agg(F.percentile("_q", wanted).alias("_g"))
-    held = held.crossJoin(F.broadcast(total)).withColumns({"residuals": F.count("_q").over(before), "_o": F.percentile("_q", wanted).over(before)})  # total has one row
-    share = F.when(F.col("residuals") >= least, F.col("residuals") / (F.col("residuals") + pull)).otherwise(0.0)
-    for k in range(len(points)):
-        own = F.coalesce(half_up(F.try_element_at("_o", F.lit(k + 1)), 10), F.lit(0.0))
-        blend = share * own + (1.0 - share) * half_up(F.try_element_at("_g", F.lit(k + 1)), 10)
-        held = held.withColumn(f"bound{k}", half_up(blend * F.col(predicted), 4))
-    return held.drop("_q", "_g", "_o")
+    """rows with what n earlier values say: prior_median, prior_q90, high_event (actual strictly above q90), relative (prediction over median) and rank of the prediction; null without n of them."""
+    out = with_trailing(rows, [Quantiles(("prior_median", "prior_q90"), actual, (0.5, 0.9), n, n), Rank("prediction_rank", predicted, predicted, n)], key, time)
+    out = out.withColumns({"prior_median": half_up(F.col("prior_median"), 8), "prior_q90": half_up(F.col("prior_q90"), 8), "prediction_rank": half_up(F.col("prediction_rank"), 6)})
+    return out.withColumns({"high_event": F.when(F.col("prior_q90").isNotNull(), (F.col(actual) > F.col("prior_q90")).cast("int")), "relative": half_up(F.try_divide(predicted, "prior_median"), 6)})
 
 
 def trailing_prior(rows: DataFrame, truth: str, base: Column, key: str = "asset", time: str = "date", n: int = 252, pull: float = 100.0) -> DataFrame:
@@ -167,12 +127,36 @@ def shifted_probability(p: Column, prior: Column, base: Column, strength: float)
     return sigmoid(logit(p) + strength * (logit(prior) - logit(base)))
 
 
-def conformal_quantiles(rows: DataFrame, predicted: str, actual: str, weight: str, cluster: str | None, points: list[float]) -> DataFrame:
-    """Weighted quantiles of actual / predicted, of each cluster or of all rows."""
-    held = rows.withColumn("_q", half_up(F.try_divide(actual, predicted), 8))
-    if not cluster:
-        held, cluster = held.withColumn("scope", F.lit("all")), "scope"
-    return weighted_quantile(held, "_q", weight, points, [cluster])
+#: Levels of outcome over prediction that intervals use.
+LEVELS = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+
+
+def outcome_ratio(predicted: str, actual: str) -> Column:
+    """Outcome over prediction; predictions below 0.01 divide as 0.01."""
+    return half_up(F.try_divide(F.col(actual), F.greatest(F.col(predicted), F.lit(0.01))), 8)
+
+
+def conformal_quantiles(rows: DataFrame, predicted: str, actual: str, cluster: str = "cluster", asset: str = "asset", points: tuple[float, ...] = LEVELS, excluded: list[str] | None = None, digits: int = 6) -> DataFrame:
+    """scope, rows, q0, q1, ...: weighted quantiles of outcome over prediction, of all rows (scope ``all``) and of each cluster.
+
+    In a scope clusters count alike, assets alike in a cluster and rows alike in an
+    asset. With ``excluded``, for each of these clusters also a scope ``not NAME`` of
+    all other clusters' rows; weights of what is left are those of the whole but for
+    a factor, so one pass serves every scope and rows meet their scopes by name.
+    """
+    per_asset = rows.groupBy(cluster, asset).agg(F.count("*").alias("_rows"))
+    per_cluster = per_asset.groupBy(cluster).agg(F.count("*").alias("_assets"))
+    weights = per_asset.join(per_cluster, cluster).select(cluster, asset, (F.lit(1.0) / F.col("_assets") / F.col("_rows")).alias("_weight"))
+    scopes = [F.lit("all"), F.concat(F.lit("in "), F.col(cluster)), *(F.when(F.col(cluster) != name, F.lit(f"not {name}")) for name in excluded or [])]
+    held = rows.select(cluster, asset, outcome_ratio(predicted, actual).alias("_q")).join(weights, [cluster, asset])
+    each = held.select(F.explode(F.array_compact(F.array(*scopes))).alias("scope"), "_q", "_weight")
+    return weighted_quantile(each, "_q", "_weight", list(points), ["scope"], digits)
+
+
+def known_before(tape: DataFrame, cutoff: str, role: str | None = "development", time: str = "date", role_col: str = "role") -> DataFrame:
+    """Rows of a tape strictly before a cutoff, of one role: what may calibrate forecasts from the cutoff on."""
+    held = tape.where(F.col(time) < F.lit(cutoff).cast("date"))
+    return held.where(F.col(role_col) == role) if role else held
 
 
 def choose(results: DataFrame, error: str, tie: str) -> DataFrame:

@@ -39,7 +39,7 @@ _RECORD = {
 @query("model_records", chain("feat", "score", more={"j": "SELECT feat.*, score.rain, score.temperature, score.volatility, score.momentum FROM feat JOIN score USING (asset, date)"}) + "SELECT asset, date, " + ", ".join(f"{h(x, 6)} AS {n}" for n, x in _RECORD.items()) + " FROM j")
 def model_records(spark, sf_dir):
     """Records of all scored bars, warm or not; context that these tables lack takes its fallback."""
-    return calibration.model_record(score.with_score(feature_rows(spark, sf_dir)), "asset", "date").select("asset", "date", *_RECORD)
+    return calibration.model_record(score.with_score(feature_rows(spark, sf_dir, *indicators.RANKED.values(), indicators.CLOSE_RANK)), "asset", "date").select("asset", "date", *_RECORD)
 
 
 # ---- yearly folds and tapes ----
@@ -63,11 +63,12 @@ _TAPE = _FOLDS | {
 
 
 def folds(spark, sf_dir):
-    rows = panel_rows(spark, sf_dir).withColumns({"cluster": F.substring("asset", 1, 1), "log_atr": F.ln(F.greatest("atr14", F.lit(0.01)))})
+    rows = panel_rows(spark, sf_dir, indicators.TAIL).withColumns({"cluster": F.substring("asset", 1, 1), "log_atr": F.ln(F.greatest("atr14", F.lit(0.01)))})
     return calibration.yearly_folds(rows.select("asset", "date", "cluster", "atr14", "log_atr", "rsi14", "rain", "temperature", F.col("next_true_range").alias("y"), "tail1"))
 
 
-def _tape(spark, sf_dir):
+def tape(spark, sf_dir):
+    """Rows predicted by the scale that their year may know."""
     return calibration.scaled_tape(folds(spark, sf_dir), "atr14", "y", "tail1")
 
 
@@ -81,9 +82,9 @@ def fold_audit(spark, sf_dir):
 
 
 @query("causal_tape", chain("panel", more=_TAPE) + "SELECT asset, date, fold, p AS predicted, y FROM t")
-def causal_tape(spark, sf_dir):
+def causaltape(spark, sf_dir):
     """Each row predicted by the scale that its year may know."""
-    return _tape(spark, sf_dir).select("asset", "date", "fold", "predicted", "y")
+    return tape(spark, sf_dir).select("asset", "date", "fold", "predicted", "y")
 
 
 _MOMENT_SQL = {"x0": "ln(greatest(atr14, 0.01e0))", "x1": "rsi14"}
@@ -103,63 +104,13 @@ def fold_moments(spark, sf_dir):
 
 
 @query("ridge_tape")
-def ridge_tape(spark, sf_dir):
+def ridgetape(spark, sf_dir):
     """Out-of-fold ranges of ridge models of the logarithm, one for each year."""
     rows = folds(spark, sf_dir)
     got = calibration.ridge_tape(rows, calibration.ridge_folds(rows, FOLD_PREDICTORS, _log_y(), 0.1))
     return got.select("asset", "date", "fold", half_up(F.col("predicted"), 4).alias("predicted"), "y")
 
 
-_Q = (0.1, 0.25, 0.75, 0.9)
-_QUANTILES = {
-    "w": "SELECT cluster, asset, 1e0 / count(*) / (SELECT count(DISTINCT asset) FROM t a WHERE a.cluster = t.cluster) AS weight FROM t GROUP BY cluster, asset",
-    "e": f"SELECT c.cluster AS excluded, {h('y / greatest(p, 0.01e0)', 8)} AS q, weight FROM t JOIN w USING (cluster, asset) JOIN (SELECT DISTINCT cluster FROM t) c ON c.cluster <> t.cluster",
-    "m": "SELECT *, (sum(weight) OVER (PARTITION BY excluded ORDER BY q, weight ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - weight / 2.0) / sum(weight) OVER (PARTITION BY excluded) AS m FROM e",
-    "n": "SELECT *, lead(q) OVER (PARTITION BY excluded ORDER BY q, weight) AS nq, lead(m) OVER (PARTITION BY excluded ORDER BY q, weight) AS nm, first_value(q) OVER (PARTITION BY excluded ORDER BY q, weight) AS fq, first_value(m) OVER (PARTITION BY excluded ORDER BY q, weight) AS fm FROM m",
-}
-
-
-@query(
-    "tape_quantiles",
-    chain("panel", more=_TAPE | _QUANTILES)
-    + "SELECT excluded, " + ", ".join(f"{h(f'coalesce(max(CASE WHEN m <= {p} AND nm > {p} THEN q + (nq - q) * (({p} - m) / (nm - m)) WHEN m <= {p} AND nm IS NULL THEN q END), max(CASE WHEN fm > {p} THEN fq END))', 4)} AS q{k}" for k, p in enumerate(_Q)) + " FROM n GROUP BY excluded",
-)
-def tape_quantiles(spark, sf_dir):
-    """Quantiles of outcome over prediction on the tape, with each cluster left out in turn."""
-    flags = source.read(spark, sf_dir, "lineitem").select("l_returnflag").distinct().orderBy("l_returnflag").collect()
-    names = [r[0] for r in flags if r[0]]  # the clusters of a policy
-    tape = _tape(spark, sf_dir)
-    per_asset = tape.groupBy("cluster", "asset").agg(F.count("*").alias("_n"))
-    per_cluster = per_asset.groupBy("cluster").agg(F.count("*").alias("_a"))
-    weights = per_asset.join(per_cluster, "cluster").select("cluster", "asset", (F.lit(1.0) / F.col("_n") / F.col("_a")).alias("weight"))
-    rows = tape.join(weights, ["cluster", "asset"]).withColumn("_p", F.greatest("predicted", F.lit(0.01)))
-    got = models.conformal_quantiles(calibration.others(rows, names), "_p", "y", "weight", "excluded", list(_Q))
-    return got.select("excluded", *(half_up(F.col(f"q{k}"), 4).alias(f"q{k}") for k in range(4)))
-
-
-_SLICES = _TAPE | {
-    "r": f"SELECT asset, fold, date, p, y, {h('y / greatest(p, 0.01e0)', 8)} AS q FROM t",
-    "g": "SELECT " + ", ".join(f"{h(f'quantile_cont(q, {p})', 10)} AS g{k}" for k, p in enumerate(_Q)) + " FROM r",
-    "i": "SELECT asset, fold, y, " + ", ".join(f"{h(f'g{k} * p', 6)} AS b{k}" for k in range(4)) + " FROM r CROSS JOIN g",
-}
-
-
-@query(
-    "interval_slices",
-    chain("panel", more=_SLICES)
-    + f"SELECT coalesce(asset, 'all') AS asset, coalesce(fold, 0) AS fold, count(*) AS rows, {h('avg(CAST(y BETWEEN b1 AND b2 AS INT))', 6)} AS coverage50, {h('avg(CAST(y BETWEEN b0 AND b3 AS INT))', 6)} AS coverage80, {h('avg(b3 - b0)', 6)} AS width80, {h('(abs(avg(CAST(y BETWEEN b1 AND b2 AS INT)) - 0.5e0) + abs(avg(CAST(y BETWEEN b0 AND b3 AS INT)) - 0.8e0)) / 2e0', 6)} AS error FROM i GROUP BY GROUPING SETS ((asset), (fold), ())",
-)
-def interval_slices(spark, sf_dir):
-    """Coverage of the tape's global intervals by asset, by year and over all."""
-    rows = _tape(spark, sf_dir).select("asset", "date", "fold", "cluster", "predicted", "y")
-    bounds = comparison.interval_schemes(rows, "predicted", "y", "cluster").where("scheme = 'global'")
-    inside = lambda a, b: F.avg(F.col("y").between(F.col(a), F.col(b)).cast("int"))
-    c5, c8 = inside("bound1", "bound2"), inside("bound0", "bound3")
-    error = (F.abs(c5 - 0.5) + F.abs(c8 - 0.8)) / 2.0
-    got = bounds.groupingSets([("asset",), ("fold",), ()], "asset", "fold").agg(F.count("*").alias("rows"), half_up(c5, 6).alias("coverage50"), half_up(c8, 6).alias("coverage80"), half_up(F.avg(F.col("bound3") - F.col("bound0")), 6).alias("width80"), half_up(error, 6).alias("error"))
-    return got.na.fill("all", ["asset"]).na.fill(0, ["fold"])
-
-
 # ---- weather and tails on the tape ----
 _BACK = "(PARTITION BY asset ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)"
 _WEATHER = _TAPE | {
@@ -169,7 +120,7 @@ _WEATHER = _TAPE | {
 
 
 def _tape_weather(spark, sf_dir):
-    rows = models.trailing_reference(_tape(spark, sf_dir), "predicted", "y").where("prediction_rank is not null")
+    rows = models.trailing_reference(tape(spark, sf_dir), "predicted", "y").where("prediction_rank is not null")
     over = lambda c: half_up(F.col("y") / F.greatest(c, F.lit(0.01)), 6)
     return rows.withColumns({"rank": F.col("prediction_rank"), "over_median": over("prior_median"), "over_atr": over("atr14")})
 
@@ -181,7 +132,7 @@ def tape_weather(spark, sf_dir):
 
 
 #: Sets of the three borders between four grades.
-BORDERS = {"20/70/90": (20, 70, 90), "25/75/90": (25, 75, 90), "30/80/95": (30, 80, 95)}
+BORDERS = {"20-70-90": (20, 70, 90), "25-75-90": (25, 75, 90), "25-70-85": (25, 70, 85), "30-75-90": (30, 75, 90)}
 
 
 @query(
@@ -216,7 +167,7 @@ def _deltas(rows, *keys):
 
 
 def _with_prior(spark, sf_dir):
-    return models.trailing_prior(_tape(spark, sf_dir), "tail1", F.col("base_rate"))
+    return models.trailing_prior(tape(spark, sf_dir), "tail1", F.col("base_rate"))
 
 
 @query("fold_stability", chain("panel", more=_PRIOR) + _DELTA.format("fold, cluster"))
@@ -257,7 +208,7 @@ def cluster_transfer(spark, sf_dir):
     """Each cluster judged by a scale and base rate of the others: their means of means, so one pass serves all clusters."""
     w = models.Window.partitionBy("asset")
     place = F.row_number().over(w.orderBy("date")) / F.count("*").over(w) <= 0.6
-    rows = panel_rows(spark, sf_dir).select("asset", F.substring("asset", 1, 1).alias("cluster"), "atr14", F.col("next_true_range").alias("y"), "tail1", place.alias("learn"))
+    rows = panel_rows(spark, sf_dir, indicators.TAIL).select("asset", F.substring("asset", 1, 1).alias("cluster"), "atr14", F.col("next_true_range").alias("y"), "tail1", place.alias("learn"))
     per_asset = rows.where("learn").groupBy("cluster", "asset").agg(F.avg(F.ln(F.col("y") / F.col("atr14"))).alias("s"), F.avg("tail1").alias("b"), F.count("*").alias("n"))
     per = per_asset.groupBy("cluster").agg(F.avg("s").alias("s"), F.avg("b").alias("b"), F.sum("n").alias("n"))
     total = per.agg(F.count("*").alias("_k"), *(F.sum(c).alias(f"_{c}") for c in "sbn"))  # one row

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import calibration, comparison, evaluation, series, views
+from weftline.plans import calibration, comparison, evaluation, intervals, series, views
 
-MODULES = (series, evaluation, views, comparison, calibration)
+MODULES = (series, evaluation, views, comparison, calibration, intervals)
 
 
 def queries() -> dict:

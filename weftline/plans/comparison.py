@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from weftline.functions import scalar
 from weftline.functions.scalar import half_up, weather_grade
 from weftline.operators import audit, comparison, joins, ledger, models, rules
-from weftline.plans.evaluation import _FORECASTS, _GRADES, _INTERVALS, _graded, settlements
+from weftline.operators.trailing import Rank, with_trailing
+from weftline.plans.evaluation import _FORECASTS, _GRADES, _graded, settlements
 from weftline.plans.reference_sql import chain
 from weftline.plans.reference_sql import half_up as h
 from weftline.plans.series import indicator_rows, observations, panel_rows, score_rows
@@ -64,9 +65,9 @@ _HITS = _GRADES | {
 def _judged(spark, sf_dir):
     """Graded forecasts with the grade of what came, among the 252 values before it."""
     rows = _graded(spark, sf_dir)
-    w = models.Window.partitionBy("asset").orderBy("date").rowsBetween(-252, -1)
-    panel = panel_rows(spark, sf_dir).select("asset", "date", "next_true_range").withColumn("_h", F.collect_list("next_true_range").over(w)).where(F.size("_h") == 252)
-    rank = half_up(F.size(F.filter("_h", lambda x: x <= F.col("next_true_range"))) * 100.0 / 252, 6)
+    outcomes = panel_rows(spark, sf_dir).select("asset", "date", "next_true_range")
+    panel = with_trailing(outcomes, [Rank("_rank", "next_true_range", "next_true_range")]).where("_rank is not null")
+    rank = half_up(F.col("_rank"), 6)
     return rows.select("asset", "date", "grade", "high_event", "next_true_range").join(panel.select("asset", "date", weather_grade(rank).alias("actual_grade")), ["asset", "date"])
 
 
@@ -96,45 +97,6 @@ def storm_report(spark, sf_dir):
     return comparison.storm_report(_graded(spark, sf_dir), F.col("grade") == "storm", F.col("high_event") == 1, "asset")
 
 
-_BOUND = lambda q: ", ".join(f"{h(f'{q(k)} * atr14', 6)} AS b{k}" for k in range(4))
-_SCHEMES = {k: v for k, v in _INTERVALS.items() if k in "rgos"} | {
-    "cq": "SELECT left(asset, 1) AS cluster, " + ", ".join(f"{h(f'quantile_cont(q, {p})', 10)} AS c{k}" for k, p in enumerate((0.1, 0.25, 0.75, 0.9))) + " FROM r GROUP BY 1",
-    "z": " UNION ALL ".join(
-        f"SELECT '{name}' AS scheme, asset, next_true_range AS y, {_BOUND(q)} FROM s{join}"
-        for name, q, join in (
-            ("global", lambda k: f"g{k}", ""),
-            ("cluster", lambda k: f"c{k}", " JOIN cq ON cluster = left(asset, 1)"),
-            ("rolling252", lambda k: f"(CASE WHEN residuals >= 60 THEN o{k} ELSE g{k} END)", ""),
-            ("shrunk252", lambda k: f"(CASE WHEN residuals >= 60 THEN share * o{k} + (1.0 - share) * g{k} ELSE g{k} END)", ""),
-        )
-    ),
-    "za": "SELECT scheme, asset, avg(CAST(y BETWEEN b1 AND b2 AS INT)) AS c5, avg(b2 - b1) AS w5, avg(CAST(y BETWEEN b0 AND b3 AS INT)) AS c8, avg(b3 - b0) AS w8 FROM z GROUP BY ALL",
-    "zs": f"SELECT scheme, count(*) AS series, {h('avg(c5)', 6)} AS coverage50, {h('avg(w5)', 6)} AS width50, {h('avg(c8)', 6)} AS coverage80, {h('avg(w8)', 6)} AS width80, {h('(abs(avg(c5) - 0.5e0) + abs(avg(c8) - 0.8e0)) / 2.0', 6)} AS error FROM za GROUP BY scheme",
-}
-
-
-@query(
-    "interval_schemes",
-    chain("panel", more=_SCHEMES) + "SELECT *, scheme = (SELECT scheme FROM zs WHERE error <= (SELECT min(error) FROM zs) + 0.005 ORDER BY width80, scheme LIMIT 1) AS chosen FROM zs",
-)
-def interval_schemes(spark, sf_dir):
-    rows = panel_rows(spark, sf_dir).select("asset", "date", "atr14", "next_true_range", F.substring("asset", 1, 1).alias("cluster"))
-    return comparison.scheme_metrics(comparison.interval_schemes(rows, "atr14", "next_true_range", "cluster"), "next_true_range")
-
-
-@query(
-    "interval_pass_rates",
-    chain("panel", more=_SCHEMES) + f"SELECT scheme, count(*) AS series, {h('avg(CAST(abs(c5 - 0.5e0) <= 0.05 AND abs(c8 - 0.8e0) <= 0.05 AS INT))', 6)} AS pass_rate FROM za GROUP BY scheme",
-)
-def interval_pass_rates(spark, sf_dir):
-    """Share of series, for each scheme, whose coverages both lie within five points of the goal."""
-    rows = panel_rows(spark, sf_dir).select("asset", "date", "atr14", "next_true_range", F.substring("asset", 1, 1).alias("cluster"))
-    y = F.col("next_true_range")
-    inside = lambda a, b: F.avg(((y >= F.col(a)) & (y <= F.col(b))).cast("int"))
-    each = comparison.interval_schemes(rows, "atr14", "next_true_range", "cluster").groupBy("scheme", "asset").agg(inside("bound1", "bound2").alias("c5"), inside("bound0", "bound3").alias("c8"))
-    good = (F.abs(F.col("c5") - 0.5) <= 0.05) & (F.abs(F.col("c8") - 0.8) <= 0.05)
-    return each.groupBy("scheme").agg(F.count("*").alias("series"), half_up(F.avg(good.cast("int")), 6).alias("pass_rate"))
-
 
 @query("pooled_weather", chain("obs") + f"SELECT weather, count(*) AS rows, {h('avg(fwd_return3)', 6)} AS mean FROM obs WHERE asset <> 'RF' GROUP BY weather")
 def pooled_weather(spark, sf_dir):
@@ -217,7 +179,7 @@ def forecast_labels(spark, sf_dir):
     + f"SELECT asset, date, {h('1.0 / (1.0 + exp(-(ln(p / (1.0 - p)) + 0.5e0 * (ln(prior / (1.0 - prior)) - ln(0.1e0 / 0.9e0)))))', 5)} AS p FROM p",
 )
 def shifted_probability(spark, sf_dir):
-    rows = models.trailing_prior(panel_rows(spark, sf_dir).withColumn("p", F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.col("rain") / 100.0))), "tail1", F.lit(0.1))
+    rows = models.trailing_prior(panel_rows(spark, sf_dir, indicators.TAIL).withColumn("p", F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.col("rain") / 100.0))), "tail1", F.lit(0.1))
     return rows.select("asset", "date", half_up(models.shifted_probability(F.col("p"), F.col("prior"), F.lit(0.1), 0.5), 5).alias("p"))
 
 

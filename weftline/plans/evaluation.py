@@ -68,8 +68,10 @@ def _grid_sql(signals: dict, targets: dict) -> str:
 
 
 def _grid(spark, sf_dir, signals, targets):
+    text = " ".join([*signals.values(), *(e for e, _ in targets.values())])
+    needed = [n for n in indicators.TRAILING if n in text] + [indicators.TAIL] * ("tail1" in text)
     values = {k: F.col(v) for k, (_, v) in targets.items() if v}
-    return metrics.signal_grid(panel_rows(spark, sf_dir), {k: F.expr(e) for k, e in signals.items()}, {k: F.expr(e) for k, (e, _) in targets.items()}, values)
+    return metrics.signal_grid(panel_rows(spark, sf_dir, *needed), {k: F.expr(e) for k, e in signals.items()}, {k: F.expr(e) for k, (e, _) in targets.items()}, values)
 
 
 @query("direction_grid", _grid_sql(SIGNALS, UPS))
@@ -143,7 +145,7 @@ def range_errors(spark, sf_dir):
     chain("panel", more={"r": "SELECT *, row_number() OVER (PARTITION BY asset ORDER BY vol_rank252 DESC, date) AS place, count(*) OVER (PARTITION BY asset) AS all_rows FROM panel"}) + f"SELECT asset, {h('(avg(next_true_range) FILTER (place <= greatest(1, ceil(all_rows * 0.2e0)))) / avg(next_true_range)', 6)} AS lift FROM r GROUP BY asset",
 )
 def top_quintile_lift(spark, sf_dir):
-    return metrics.top_share_lift(panel_rows(spark, sf_dir), "vol_rank252", "next_true_range", "asset", "date")
+    return metrics.top_share_lift(panel_rows(spark, sf_dir, "vol_rank252"), "vol_rank252", "next_true_range", "asset", "date")
 
 
 @query(
@@ -152,7 +154,7 @@ def top_quintile_lift(spark, sf_dir):
     + f"SELECT asset, p AS positives, q AS negatives, {h('(s - CAST(p AS DOUBLE) * (p + 1) / 2) / (CAST(p AS DOUBLE) * q)', 6)} AS auc FROM m",
 )
 def auc_by_asset(spark, sf_dir):
-    return metrics.roc_auc(panel_rows(spark, sf_dir), "rain", "tail1", ["asset"])
+    return metrics.roc_auc(panel_rows(spark, sf_dir, indicators.TAIL), "rain", "tail1", ["asset"])
 
 
 @query(
@@ -160,12 +162,12 @@ def auc_by_asset(spark, sf_dir):
     chain("panel", more={"r": "SELECT asset, tail1, row_number() OVER w AS n, sum(tail1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM panel WINDOW w AS (PARTITION BY asset ORDER BY rain DESC, date)"}) + f"SELECT asset, {h('avg(CAST(k AS DOUBLE) / n) FILTER (tail1 = 1)', 6)} AS average_precision FROM r GROUP BY asset",
 )
 def average_precision(spark, sf_dir):
-    return metrics.average_precision(panel_rows(spark, sf_dir), "rain", "tail1", ["asset"], "date")
+    return metrics.average_precision(panel_rows(spark, sf_dir, indicators.TAIL), "rain", "tail1", ["asset"], "date")
 
 
 @query("calibration_bins", chain("panel", more={"p": "SELECT rain / 100.0 AS p, tail1 FROM panel"}) + f"SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n, {h('avg(p)', 6)} AS mean_p, {h('avg(tail1)', 6)} AS rate FROM p GROUP BY bin")
 def calibration_bins(spark, sf_dir):
-    return metrics.calibration_bins(panel_rows(spark, sf_dir).withColumn("p", F.col("rain") / 100.0), "p", "tail1")
+    return metrics.calibration_bins(panel_rows(spark, sf_dir, indicators.TAIL).withColumn("p", F.col("rain") / 100.0), "p", "tail1")
 
 
 @query(
@@ -180,7 +182,7 @@ def calibration_bins(spark, sf_dir):
     + f"SELECT asset, CAST(sum(n) AS BIGINT) AS n, {h('sum(square) / sum(n)', 6)} AS brier, {h('sum(loss) / sum(n)', 6)} AS log_loss, {h('sum(abs(gap)) / sum(n)', 6)} AS ece FROM b GROUP BY asset",
 )
 def probability_metrics(spark, sf_dir):
-    return metrics.probability_metrics(panel_rows(spark, sf_dir).withColumn("p", F.col("rain") / 100.0), "p", "tail1", ["asset"])
+    return metrics.probability_metrics(panel_rows(spark, sf_dir, indicators.TAIL).withColumn("p", F.col("rain") / 100.0), "p", "tail1", ["asset"])
 
 
 @query(
@@ -189,7 +191,7 @@ def probability_metrics(spark, sf_dir):
     + f"SELECT asset, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, {_rates('precision, recall, lift')} FROM x2",
 )
 def top_decile(spark, sf_dir):
-    return metrics.top_decile(panel_rows(spark, sf_dir), "atr_rank252", "tail1", "asset")
+    return metrics.top_decile(panel_rows(spark, sf_dir, "atr_rank252", indicators.TAIL), "atr_rank252", "tail1", "asset")
 
 
 _RANK = "rank() OVER (PARTITION BY asset, year ORDER BY {0}) + (count(*) OVER (PARTITION BY asset, year, {0}) - 1) / 2.0"
@@ -324,7 +326,7 @@ _WEIGHTS = {
 
 def weighted_rows(spark, sf_dir):
     columns = ("asset", "date", "atr14", "rsi14", "sma_gap20", "realized_vol20", "rain", "next_true_range", "tail1")
-    rows = panel_rows(spark, sf_dir).select(*columns, F.substring("asset", 1, 1).alias("cluster")).cache()  # counted at three levels
+    rows = panel_rows(spark, sf_dir, indicators.TAIL).select(*columns, F.substring("asset", 1, 1).alias("cluster")).cache()  # counted at three levels
     return models.hierarchical_weights(rows, "cluster", "asset")
 
 
@@ -412,51 +414,18 @@ def walk_forward_search(spark, sf_dir):
     + "SELECT cluster, " + ", ".join(f"{h(f'coalesce(max(CASE WHEN m <= {p} AND nm > {p} THEN q + (nq - q) * (({p} - m) / (nm - m)) WHEN m <= {p} AND nm IS NULL THEN q END), max(CASE WHEN fm > {p} THEN fq END))', 4)} AS q{k}" for k, p in enumerate((0.1, 0.25, 0.75, 0.9))) + " FROM n GROUP BY cluster",
 )
 def weighted_quantile(spark, sf_dir):
-    got = models.conformal_quantiles(weighted_rows(spark, sf_dir), "atr14", "next_true_range", "weight", "cluster", [0.1, 0.25, 0.75, 0.9])
+    rows = weighted_rows(spark, sf_dir).withColumn("q", models.outcome_ratio("atr14", "next_true_range"))
+    got = models.weighted_quantile(rows, "q", "weight", [0.1, 0.25, 0.75, 0.9], ["cluster"])
     return got.select("cluster", *(half_up(F.col(f"q{k}"), 4).alias(f"q{k}") for k in range(4)))
 
 
 _PAST = "(PARTITION BY asset ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)"
-_POINTS = (0.1, 0.25, 0.75, 0.9)
-_INTERVALS = {
-    "r": f"SELECT asset, date, atr14, next_true_range, {h('next_true_range / atr14', 8)} AS q FROM panel",
-    "g": "SELECT " + ", ".join(f"{h(f'quantile_cont(q, {p})', 10)} AS g{k}" for k, p in enumerate(_POINTS)) + " FROM r",
-    "o": f"SELECT *, count(q) OVER {_PAST} AS residuals, " + ", ".join(f"{h(f'quantile_cont(q, {p}) OVER {_PAST}', 10)} AS o{k}" for k, p in enumerate(_POINTS)) + " FROM r CROSS JOIN g",
-    "s": "SELECT *, CASE WHEN residuals >= 60 THEN residuals / (residuals + 100e0) ELSE 0e0 END AS share FROM o",
-    "b": "SELECT asset, date, next_true_range, residuals, " + ", ".join(f"{h(f'(share * coalesce(o{k}, 0e0) + (1.0 - share) * g{k}) * atr14', 4)} AS bound{k}" for k in range(4)) + " FROM s",
-}
-
-
-def _intervals(spark, sf_dir):
-    rows = panel_rows(spark, sf_dir).select("asset", "date", "atr14", "next_true_range").cache()  # read for all rows and for each series
-    return models.trailing_intervals(rows, "atr14", "next_true_range", list(_POINTS))
-
-
-@query("trailing_intervals", chain("panel", more=_INTERVALS) + "SELECT asset, date, residuals, bound0, bound1, bound2, bound3 FROM b")
-def trailing_intervals(spark, sf_dir):
-    return _intervals(spark, sf_dir).select("asset", "date", "residuals", "bound0", "bound1", "bound2", "bound3")
-
-
-_Z = 1.959963984540054
-_WILSON = f"(p + {_Z * _Z!r}e0 / (2.0 * n)) / (1.0 + {_Z * _Z!r}e0 / n)"
-_HALF = f"{_Z!r}e0 * sqrt(p * (1.0 - p) / n + {_Z * _Z!r}e0 / (4.0 * n * n)) / (1.0 + {_Z * _Z!r}e0 / n)"
-
-
-@query(
-    "interval_coverage",
-    chain("panel", more=_INTERVALS | {"c": "SELECT asset, CAST(count(*) AS DOUBLE) AS n, avg(CASE WHEN next_true_range BETWEEN bound0 AND bound3 THEN 1e0 ELSE 0e0 END) AS p, avg(bound3 - bound0) AS width FROM b GROUP BY asset"})
-    + f"SELECT asset, CAST(n AS BIGINT) AS n, {h('p', 6)} AS coverage, {h(_WILSON + ' - ' + _HALF, 6)} AS wilson_low, {h(_WILSON + ' + ' + _HALF, 6)} AS wilson_high, {h('width', 6)} AS width, {h('abs(p - 0.8e0)', 6)} AS coverage_error FROM c",
-)
-def interval_coverage(spark, sf_dir):
-    return metrics.interval_coverage(_intervals(spark, sf_dir), "bound0", "bound3", "next_true_range", "asset", 0.8)
-
-
 @query(
     "trailing_prior",
     chain("panel") + f"SELECT asset, date, {h(f'(coalesce(sum(tail1) OVER {_PAST}, 0) + 100.0e0 * 0.1e0) / (count(tail1) OVER {_PAST} + 100.0e0)', 6)} AS prior FROM panel",
 )
 def trailing_prior(spark, sf_dir):
-    return models.trailing_prior(panel_rows(spark, sf_dir), "tail1", F.lit(0.1)).select("asset", "date", half_up(F.col("prior"), 6).alias("prior"))
+    return models.trailing_prior(panel_rows(spark, sf_dir, indicators.TAIL), "tail1", F.lit(0.1)).select("asset", "date", half_up(F.col("prior"), 6).alias("prior"))
 
 
 _GRADES = {
@@ -575,8 +544,8 @@ def random_direction(spark, sf_dir):
 
 @query("look_ahead", "SELECT CAST(NULL AS VARCHAR) AS asset WHERE false")
 def look_ahead(spark, sf_dir):
-    """Features up to 1995 that change when later bars do: none."""
+    """Features up to the middle of 1998, long after the warm-up, that change when later bars do: none."""
     features = lambda b: indicators.with_features(indicators.with_indicators(b))
-    return audit.future_change(features, source.daily_bars(spark, sf_dir), "1995-06-30", ["return1", "atr14", "rsi14", "atr_rank252", "return_q10_756"]).select("asset")
+    return audit.future_change(features, source.daily_bars(spark, sf_dir), "1998-06-30", ["return1", "atr14", "rsi14", "return_z252", *indicators.TRAILING]).select("asset")
 
 

@@ -29,8 +29,9 @@ def indicator_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.with_indicators(source.daily_bars(spark, sf_dir))
 
 
-def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.with_features(indicator_rows(spark, sf_dir))
+def feature_rows(spark: SparkSession, sf_dir: str, *trailing: str) -> DataFrame:
+    """Features, and the trailing ranks and quantile that are named."""
+    return indicators.with_features(indicator_rows(spark, sf_dir), trailing=trailing)
 
 
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +43,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.with_score(indicators.with_labels(indicator_rows(spark, sf_dir))).where("fwd_return5 is not null")
 
 
-def panel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Panel of features, events and the score."""
-    rows = indicators.with_events(indicators.with_labels(feature_rows(spark, sf_dir)))
+def panel_rows(spark: SparkSession, sf_dir: str, *trailing: str) -> DataFrame:
+    """Panel of features, the named trailing ones too, events and the score."""
+    rows = indicators.with_events(indicators.with_labels(feature_rows(spark, sf_dir, *trailing)))
     return indicators.panel(score.with_score(rows))
 
 
@@ -227,7 +228,8 @@ def day_icons(spark, sf_dir):
 def _feature(name: str, columns: str) -> None:
     @query(name, chain("feat") + f"SELECT asset, date, {columns} FROM feat")
     def run(spark, sf_dir):
-        return feature_rows(spark, sf_dir).select("asset", "date", *columns.split(", "))
+        wanted = columns.split(", ")
+        return feature_rows(spark, sf_dir, *(c for c in wanted if c in indicators.TRAILING)).select("asset", "date", *wanted)
 
 
 _feature("feat_returns", "return1, return5, return20")
@@ -250,20 +252,20 @@ EVENTS = "up1, up3, up5, drop1, drop2, drop3, tail1, correction3, correction5"
 
 @query("labels_events", chain("panel") + f"SELECT asset, date, {EVENTS} FROM panel")
 def labels_events(spark, sf_dir):
-    return panel_rows(spark, sf_dir).select("asset", "date", *EVENTS.split(", "))
+    return panel_rows(spark, sf_dir, indicators.TAIL).select("asset", "date", *EVENTS.split(", "))
 
 
 @query("panel_summary", chain("panel") + "SELECT asset, count(*) AS rows, min(date) AS first_date, max(date) AS last_date, floor(avg(up1) * 1e6 + 0.5) / 1e6 AS up_rate, floor(avg(tail1) * 1e6 + 0.5) / 1e6 AS tail_rate FROM panel GROUP BY asset")
 def panel_summary(spark, sf_dir):
     rate = lambda c: half_up(F.avg(c), 6)
-    return panel_rows(spark, sf_dir).groupBy("asset").agg(F.count("*").alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), rate("up1").alias("up_rate"), rate("tail1").alias("tail_rate"))
+    return panel_rows(spark, sf_dir, indicators.TAIL).groupBy("asset").agg(F.count("*").alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), rate("up1").alias("up_rate"), rate("tail1").alias("tail_rate"))
 
 
 @query("feature_missing", chain("feat") + "SELECT asset, count(*) AS rows, count(*) - count(sma200) AS no_sma200, count(*) - count(atr_rank252) AS no_atr_rank252, count(*) - count(return_z252) AS no_return_z252 FROM feat GROUP BY asset")
 def feature_missing(spark, sf_dir):
     from weftline.operators.audit import missing_counts
 
-    return missing_counts(feature_rows(spark, sf_dir), ["sma200", "atr_rank252", "return_z252"])
+    return missing_counts(feature_rows(spark, sf_dir, "atr_rank252"), ["sma200", "atr_rank252", "return_z252"])
 
 
 _ASOF = chain("bars", "market") + "SELECT bars.asset AS asset, bars.date AS date, market.date AS as_of, market.close AS market_close FROM bars ASOF LEFT JOIN market ON bars.date {0} market.date"
