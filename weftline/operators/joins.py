@@ -79,6 +79,36 @@ def split_by_dates(rows: DataFrame, validation_start: str, test_start: str, purg
     return out.withColumn("bucket", bucket).drop("_b", "_up", "_down")
 
 
+def interval_join(rows: DataFrame, bounds: DataFrame, time: str = "date", low: str = "low", high: str = "high", by: tuple[str, ...] = ("asset",), width: int = 365) -> DataFrame:
+    """Rows with the columns of each of their key's bounds whose [low, high) holds their date.
+
+    Bounds are cut into buckets of ``width`` days, rows stand in one: an equi-join on
+    key and bucket, confirmed afterwards, so a key with many bounds is no cross join.
+    A null low or high is open: it reaches to the rows' first or last date. Rows
+    that no bound holds are left out; rows that several hold are repeated.
+    """
+    bucket = lambda day: F.floor(F.unix_date(day) / width)
+    ends = rows.agg(F.min(F.col(time).cast("date")).alias("_first"), F.max(F.col(time).cast("date")).alias("_last"))
+    day = lambda c: F.col(c).cast("date")
+    held = bounds.crossJoin(F.broadcast(ends))  # ends has one row
+    held = held.withColumns({"_from": F.greatest(F.coalesce(day(low), F.col("_first")), F.col("_first")), "_to": F.least(F.coalesce(day(high), F.date_add("_last", 1)), F.date_add("_last", 1))}).where("_from < _to")
+    cut = held.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.date_sub("_to", 1))))).drop("_first", "_last")
+    met = rows.withColumn("_bucket", bucket(day(time))).join(cut, [*by, "_bucket"])
+    return met.where((day(time) >= F.col("_from")) & (day(time) < F.col("_to"))).drop("_bucket", "_from", "_to")
+
+
+def fraction_bounds(rows: DataFrame, parts: dict[str, float], key: str = "asset", time: str = "date") -> DataFrame:
+    """key, split, low, high: each series' own bounds, where its first share of rows up to each part's end lies; the first is open below, the last above."""
+    w = Window.partitionBy(key)
+    placed = rows.select(key, time, (F.row_number().over(w.orderBy(time)) - 1).alias("_at"), F.count("*").over(w).alias("_n"))
+    names, ends = list(parts), list(parts.values())
+    border = lambda share: F.min(F.when(F.col("_at") >= F.floor(F.col("_n") * F.lit(share)), F.col(time)))
+    found = placed.groupBy(key).agg(*(border(e).alias(f"_b{k}") for k, e in enumerate(ends[:-1])))
+    none = F.lit(None).cast(rows.schema[time].dataType)
+    each = [F.struct(F.lit(n).alias("split"), (F.col(f"_b{k - 1}") if k else none).alias("low"), (F.col(f"_b{k}") if k < len(ends) - 1 else none).alias("high")) for k, n in enumerate(names)]
+    return found.select(key, F.inline(F.array(*each)))
+
+
 def fold_rows(rows: DataFrame, train_end: str, valid_start: str, valid_end: str, purge: int = 5, key: str = "asset", time: str = "date") -> DataFrame:
     """Rows of one walk-forward fold with part (train or validation); purge rows go at the end of train and the start of validation."""
     day = F.col(time)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import calibration, comparison, evaluation, intervals, series, views
+from weftline.plans import calibration, comparison, evaluation, intervals, modeling, series, views
 
-MODULES = (series, evaluation, views, comparison, calibration, intervals)
+MODULES = (series, evaluation, views, comparison, calibration, intervals, modeling)
 
 
 def queries() -> dict:

@@ -155,7 +155,7 @@ def _stream(spark, sf_dir):
     """The events table as a stream: the file itself, as it would arrive in a folder."""
     folder = _scratch(spark)
     source.read(spark, sf_dir, "events").select(*EVENTS.fieldNames()).write.parquet(folder)
-    return settlement.event_stream(spark, folder, EVENTS, files_per_trigger=1000)
+    return settlement.event_stream(spark, folder, EVENTS)
 
 
 @query("stream_hourly", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS events, min(value) AS low, max(value) AS high FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL")
