@@ -202,7 +202,6 @@ def test_payloads(spark):
     hits = {"quotes": [{"symbol": "A", "quoteType": "EQUITY", "exchange": "NMS", "shortname": ""}, {"symbol": "^X", "quoteType": "INDEX", "exchange": "ZZZ"}, {"symbol": "B", "quoteType": "EQUITY", "exchange": "ZZZ"}]}
     got = payloads.search_hits(spark.createDataFrame([(json.dumps(hits),)], "j string"), "j", ["EQUITY", "INDEX"], ["NMS"])
     assert [(r.symbol, r.name, r.kind) for r in got.collect()] == [("A", "A", "stock"), ("^X", "^X", "index")]
-    assert payloads.synthetic_candles(spark.createDataFrame([("a",), ("b",)], "asset string"), 50).where("high < low").isEmpty()
 
 
 def test_candle_validation_and_sink(spark, tmp_path):

@@ -101,5 +101,6 @@ def price_text(x: Column) -> Column:
 
 
 def percent_text(x: Column) -> Column:
-    """Signed percentage with two digits."""
-    return F.when(x.isNull(), "-").otherwise(F.concat(F.when(x > 0, "+").otherwise(""), F.format_number(x, 2), F.lit("%")))
+    """Signed percentage with two digits; a fixed text without a value."""
+    value = half_up(x, 2)
+    return F.when(x.isNull(), "확인 중").otherwise(F.concat(F.when(x >= 0, "+").otherwise(""), F.format_string("%.2f%%", value)))

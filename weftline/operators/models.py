@@ -158,7 +158,3 @@ def known_before(tape: DataFrame, cutoff: str, role: str | None = "development",
     held = tape.where(F.col(time) < F.lit(cutoff).cast("date"))
     return held.where(F.col(role_col) == role) if role else held
 
-
-def choose(results: DataFrame, error: str, tie: str) -> DataFrame:
-    """The row of the least error, the first by ``tie`` among equals."""
-    return results.orderBy(error, tie).limit(1)

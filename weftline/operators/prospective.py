@@ -51,6 +51,29 @@ def benchmarks(rows: DataFrame, base: str, actual: str, scale: float, key: str =
     return out.where(F.col("_k") == n).drop("_k")
 
 
+def register(forecasts: DataFrame, inference: DataFrame, resolved: DataFrame, existing: DataFrame, policy: dict, n: int = 252) -> DataFrame:
+    """Benchmarks registered before an outcome: one row for each forecast that has none yet and whose asset and day are an inference row's.
+
+    forecasts: forecast_id, record_hash, asset, as_of; inference: asset, date, atr14;
+    resolved: asset, date, y; existing: forecast_id; policy: with its hash and
+    atr_scale. Each row names its forecast, the forecast's hash and the policy's, and
+    holds the scaled ATR, the last outcome and the median, quartiles and 90% point of
+    the n outcomes before the day. Forecasts without an ATR are passed over; an asset
+    with fewer than n earlier outcomes is an error, as nothing may be registered on less.
+    """
+    open_ = forecasts.join(existing.select("forecast_id"), "forecast_id", "left_anti")
+    due = open_.join(inference.select("asset", F.col("date").alias("as_of"), "atr14").where("atr14 is not null"), ["asset", "as_of"])
+    w = Window.partitionBy("forecast_id").orderBy(F.desc("date"))
+    past = due.join(resolved.select("asset", "date", "y"), "asset", "left").where("date is null or date < as_of").withColumn("_n", F.when(F.col("date").isNotNull(), F.row_number().over(w))).where(f"_n is null or _n <= {n}")
+    points = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
+    keys = ["forecast_id", "record_hash", "asset", "as_of", "atr14"]
+    got = past.groupBy(*keys).agg(F.count("y").alias("observations"), F.max_by("y", "date").alias("last_outcome"), *(half_up(F.percentile("y", p), 8).alias(c) for c, p in points.items()))
+    missed = due.select("forecast_id", "asset").join(got.where(F.col("observations") >= n).select("forecast_id"), "forecast_id", "left_anti").limit(5).collect()
+    if missed:
+        raise ValueError(f"fewer than {n} earlier outcomes: {sorted(r.asset for r in missed)}")
+    return got.select("forecast_id", F.col("record_hash").alias("forecast_hash"), F.lit(policy["policy_sha256"]).alias("policy_sha256"), "asset", "as_of", half_up(F.col("atr14") * policy["atr_scale"], 6).alias("base_scaled"), "last_outcome", "observations", *points)
+
+
 def with_policy_hash(body: dict) -> dict:
     """A policy with the hash of its canonical JSON."""
     return body | {"policy_sha256": value_hash(body)}
@@ -78,7 +101,3 @@ def ensure_policy(spark: SparkSession, path: str, body: dict, settlements: DataF
     spark.createDataFrame([(json.dumps(policy, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
     return policy
 
-
-def with_tail_risk(rows: DataFrame, p: str, prior: Column, base: Column) -> DataFrame:
-    """rows with tail_risk: p moved by the whole log-odds of the series' prior over the base rate."""
-    return rows.withColumn("tail_risk", shifted_probability(F.col(p), prior, base, 1.0))

@@ -113,8 +113,9 @@ def freshness(age_days: Column, us: Column) -> Column:
 
 
 def rank_label(percentile: Column) -> Column:
-    """Where a forecast stands among its past."""
-    return F.when(percentile >= 90, "top").when(percentile >= 75, "high").when(percentile < 25, "low").otherwise("usual")
+    """Where a forecast stands among its past; from 90 on with the share in percent that is as high, at least 1."""
+    share = F.greatest(F.lit(1), F.ceil(100.0 - percentile)).cast("string")
+    return F.when(percentile >= 90, F.concat(F.lit("top "), share, F.lit("%"))).when(percentile >= 75, "high").when(percentile < 25, "low").otherwise("usual")
 
 
 def score_label(score: Column) -> Column:
@@ -122,6 +123,29 @@ def score_label(score: Column) -> Column:
     return F.when(score >= 68, "strong").when(score >= 56, "firm").when(score >= 44, "even").when(score >= 32, "weak").otherwise("poor")
 
 
+def direction(score: Column) -> Column:
+    """Where a part score points: up from 58, down to 42."""
+    return F.when(score >= 58, "up").when(score <= 42, "down").otherwise("flat")
+
+
+#: Headlines of the market by least temperature.
+HEADLINES = (
+    (64, "위험선호가 우세하지만 과열 신호를 함께 확인할 구간"),
+    (54, "완만한 위험선호 속에서 종목별 차별화가 이어지는 구간"),
+    (44, "뚜렷한 방향보다 확인이 필요한 중립 구간"),
+    (34, "방어적 흐름이 우세해 추격보다 위험 관리가 필요한 구간"),
+)
+LOWEST_HEADLINE = "시장 전반의 경계 신호가 강해진 방어 우선 구간"
+
+
+def headline(temperature: Column) -> Column:
+    """Headline of a market's temperature; null without one."""
+    out = F.when(temperature.isNull(), F.lit(None).cast("string"))
+    for least, text in HEADLINES:
+        out = out.when(temperature >= least, text)
+    return out.otherwise(LOWEST_HEADLINE)
+
+
 def ago(minutes: Column) -> Column:
     """Relative time: now, minutes, hours or days."""
     m = minutes.cast("long")

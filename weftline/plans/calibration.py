@@ -178,15 +178,6 @@ def fold_gate(spark, sf_dir):
     return calibration.decide(got, {"range_improves": 0.75, "tail_improves": 0.75})
 
 
-@query(
-    "layer_decisions",
-    chain("panel", more=_PRIOR | {"d": _DELTA.format("cluster")}) + "SELECT bool_and(mae_delta < 0) AS range, bool_and(brier_delta < 0) AS tail, bool_and(rows >= 20) AS enough, bool_and(mae_delta < 0) AND bool_and(brier_delta < 0) AND bool_and(rows >= 20) AS overall FROM d",
-)
-def layer_decisions(spark, sf_dir):
-    """What passes in every cluster."""
-    return calibration.layer_decisions(_deltas(_with_prior(spark, sf_dir), "cluster"), {"range": F.col("mae_delta") < 0, "tail": F.col("brier_delta") < 0, "enough": F.col("rows") >= 20})
-
-
 _TRANSFER = {
     "k": "SELECT asset, left(asset, 1) AS cluster, atr14, next_true_range AS y, tail1, row_number() OVER (PARTITION BY asset ORDER BY date) * 1e0 / count(*) OVER (PARTITION BY asset) <= 0.6e0 AS learn FROM panel",
     "a": "SELECT cluster, avg(s) AS s, avg(b) AS b, sum(n) AS n FROM (SELECT cluster, asset, avg(ln(y / atr14)) AS s, avg(tail1) AS b, count(*) AS n FROM k WHERE learn GROUP BY cluster, asset) GROUP BY cluster",

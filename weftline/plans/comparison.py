@@ -166,7 +166,7 @@ def dedupe_either(spark, sf_dir):
 @query(
     "forecast_labels",
     chain("panel", more=_GRADES)
-    + f"SELECT asset, date, CASE WHEN rank >= 90 THEN 'top' WHEN rank >= 75 THEN 'high' WHEN rank < 25 THEN 'low' ELSE 'usual' END AS label, {h('greatest(atr14 * 1.6e0 * 1.12e0, atr14 * 1.25e0, 0.1e0)', 6)} AS band, CASE WHEN date_diff('day', date, DATE '2001-11-05') <= (CASE WHEN asset = 'AF' THEN 4 ELSE 1 END) THEN 'fresh' ELSE 'old' END AS age FROM w JOIN panel USING (asset, date)",
+    + f"SELECT asset, date, CASE WHEN rank >= 90 THEN 'top ' || CAST(greatest(1, ceil(100.0 - rank)) AS INT) || '%' WHEN rank >= 75 THEN 'high' WHEN rank < 25 THEN 'low' ELSE 'usual' END AS label, {h('greatest(atr14 * 1.6e0 * 1.12e0, atr14 * 1.25e0, 0.1e0)', 6)} AS band, CASE WHEN date_diff('day', date, DATE '2001-11-05') <= (CASE WHEN asset = 'AF' THEN 4 ELSE 1 END) THEN 'fresh' ELSE 'old' END AS age FROM w JOIN panel USING (asset, date)",
 )
 def forecast_labels(spark, sf_dir):
     age = F.datediff(F.lit("2001-11-05").cast("date"), F.col("date"))

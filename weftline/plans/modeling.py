@@ -301,8 +301,8 @@ def cluster_gate(spark, sf_dir):
     return calibration.pass_rates(_gated(cohort_rows(spark, sf_dir), "cluster"), cohorts.cluster_conditions())
 
 
-@query("layer_gate")
-def layer_gate(spark, sf_dir):
+@query("layer_decisions")
+def layer_decisions(spark, sf_dir):
     """Which layers every cohort passes: range with its bound, intervals, weather, tails with their AUC."""
     return calibration.layer_decisions(_gated(cohort_rows(spark, sf_dir), "role"), cohorts.layer_conditions())
 

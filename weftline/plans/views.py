@@ -163,8 +163,8 @@ def stream_hourly(spark, sf_dir):
     """Hours that the watermark has closed, appended to a ledger by a stream."""
     out, mark = _scratch(spark), _scratch(spark)
     rows = settlement.hourly_counts(_stream(spark, sf_dir)).withColumn("key", F.concat_ws("|", "event_type", "hour"))
-    settlement.append_once(rows, out, mark, "key").awaitTermination()
-    return spark.read.parquet(out).select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), "events", "low", "high")
+    settlement.append_once(rows, out, mark, "key", F.col("hour").cast("date")).awaitTermination()
+    return spark.read.schema("event_type string, hour timestamp, events long, low double, high double").parquet(out).select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), "events", "low", "high")
 
 
 @query(
@@ -175,6 +175,6 @@ def stream_settle(spark, sf_dir):
     """Stream-stream join of forecasts and outcomes, appended to a ledger."""
     out, mark = _scratch(spark), _scratch(spark)
     rows = settlement.forecasts_and_outcomes(_stream(spark, sf_dir)).withColumn("key", F.concat_ws("|", "forecast_id", "seen", "actual"))
-    settlement.append_once(rows, out, mark, "key").awaitTermination()
+    settlement.append_once(rows, out, mark, "key", F.col("seen").cast("date")).awaitTermination()
     got = spark.read.schema("forecast_id long, error double").parquet(out)
     return got.groupBy("forecast_id").agg(F.count("*").alias("outcomes"), (F.floor(F.min("error") * 1e6 + 0.5) / 1e6).alias("least_error"))

@@ -71,21 +71,6 @@ def prefer(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     return both.withColumn("_first", F.min("_source").over(Window.partitionBy(*keys))).where("_source = _first").drop("_source", "_first")
 
 
-def synthetic_candles(assets: DataFrame, count: int, asset_col: str = "asset", base: float = 100.0) -> DataFrame:
-    """Deterministic candles from waves and a hashed drift; each opens at the close before, closes are a running product."""
-    from pyspark.sql import Window
-
-    from weftline.functions.scalar import text_hash
-
-    seed = F.pmod(text_hash(F.col(asset_col)), F.lit(997)) / 997.0
-    rows = assets.select(F.col(asset_col).alias("asset"), seed.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"))
-    move = F.sin(F.col("i") / 7.0 + F.col("s") * 6.28) * 0.004 + F.cos(F.col("i") / 17.0) * 0.003 + (F.col("s") - 0.5) * 0.001
-    w = Window.partitionBy("asset").orderBy("i")
-    rows = rows.withColumn("close", F.lit(base) * F.exp(F.sum(F.ln(1.0 + move)).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    rows = rows.withColumn("open", F.coalesce(F.lag("close").over(w), F.lit(base)))
-    return rows.select("asset", "i", "open", (F.greatest("open", "close") * 1.001).alias("high"), (F.least("open", "close") * 0.999).alias("low"), "close", (1000.0 + 300.0 * F.sin(F.col("i") / 5.0)).alias("volume"))
-
-
 def usable_translation(source: Column, text: Column) -> Column:
     """Whether a translation is worth showing: not empty, not the source itself, with some letters."""
     t = F.trim(text)

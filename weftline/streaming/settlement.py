@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weftline.operators import segments
+
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files of events as they arrive; ts is read as a timestamp for watermarks.
@@ -35,18 +37,14 @@ def forecasts_and_outcomes(events: DataFrame, late: str = "2 hours") -> DataFram
     return f.join(o, F.expr("user_id = _user and seen >= made and seen <= made + interval 1 hour")).select("forecast_id", "made", "seen", "predicted", "actual", F.abs(F.col("predicted") - F.col("actual")).alias("error"))
 
 
-def append_once(stream: DataFrame, path: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Append a stream to a Parquet ledger; rows whose key is there already are left out, so a repeated batch changes nothing."""
+def append_once(stream: DataFrame, path: str, checkpoint: str, key: str, day: Column, buckets: int = 1) -> StreamingQuery:
+    """Append a stream to a Parquet ledger by day and bucket of the key (``segments.append``): a batch reads only the partitions it touches, and a repeated one changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        held = batch.persist()  # decided on and written from one computation of the batch
         try:
-            there = spark.read.parquet(path).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            there = None
-        (fresh.join(there, key, "left_anti") if there is not None else fresh).write.mode("append").parquet(path)
+            segments.append(held, path, key, day, buckets=buckets)
+        finally:
+            held.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
