@@ -16,9 +16,10 @@ CHECKED = [
     "labels_forward", "asof_inclusive", "asof_strict", "asof_tolerance", "breadth", "excess_return", "split_fraction", "split_summary", "confusion_storm", "direction_grid", "bin_temperature", "spearman_by_asset",
     "probability_metrics", "top_quintile_lift", "quality_audit", "quality_audit_daily", "market_briefing", "day_icons", "walk_forward_year", "range_errors", "redundant_pairs", "weighted_quantile", "trailing_intervals", "interval_coverage", "settlement_join", "hash_chain", "chain_breaks", "news_categories", "session_status",
     "comparison_by_asset", "comparison_macro", "equal_weather", "rows_for_keys", "adjusted_history", "news_payload", "symbol_search", "orphan_settlements", "dedupe_either", "stale_rows", "number_texts", "storm_report", "interval_schemes", "panel_gates", "vix_against_market", "last_settlements", "distinct_sets", "bounds_for_keys",
-    "model_records", "fold_audit", "causal_tape", "fold_moments", "tape_quantiles", "interval_slices", "tape_weather", "weather_borders", "fold_gate", "layer_decisions", "cluster_transfer", "shift_strengths", "series_checks", "split_protocol",
+    "model_records", "fold_audit", "causal_tape", "fold_moments", "tape_quantiles", "interval_slices", "tape_weather", "weather_borders", "fold_gate", "cluster_transfer", "shift_strengths", "series_checks", "split_protocol",
     "contract_breaks", "registered_benchmarks", "situation_texts", "stations", "pulse_bars", "time_buckets", "symbol_texts", "symbol_aliases", "score_quotes", "paged_history", "cached_series", "rows_by_source", "digested_texts", "visible_rows",
-    "chart_payload", "stream_hourly", "stream_settle",
+    "chart_payload", "stream_hourly", "stream_settle", "cutoff_quantiles", "interval_pass_rates", "ridge_tape", "frozen_tape", "cohort_bundle", "score_parity", "split_by_bounds", "stream_forecasts",
+    "ledger_segments", "segment_breaks", "ledger_appends", "snapshot_build", "benchmark_registration", "canonical_hashes", "score_texts", "truncation_check",
 ]
 
 

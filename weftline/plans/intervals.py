@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 #: Forecasts from here on are judged; what was known before calibrates them. One series is held out of all learning.
-CUTOFF, HELD_OUT = "1997-01-01", "RO"
+CUTOFF, HELD_OUT = "2000-01-01", "RO"
 LEVELS = models.LEVELS
 _BEFORE = f"date < DATE '{CUTOFF}' AND asset <> '{HELD_OUT}'"
 _RATIO = h("y / greatest(p, 0.01e0)", 8)
