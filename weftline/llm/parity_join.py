@@ -360,6 +360,7 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     shared = sets.where("least <> most").select("key", "cid", "list", "spare", "sets").distinct().withColumn("rank", F.row_number().over(by_set)).where("rank > spare").select("key", "cid").distinct()
     shared = scratch.write(shared)
     n_shared = shared.count()
+    slim = scratch.write(rows.select("doc_id", F.col("n").alias("n_shingles"), "cid", "row_key"), rows)  # sketches and postings are used up
 
     # the least class of a posting with the others, in parts of bounded size
     centres = scratch.write(shared.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("sets")))
@@ -394,7 +395,6 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     least = parts.groupBy("part").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("classes"))
     parts, least = scratch.write(parts), scratch.write(least)
     named = scratch.write(join_facts(parts, least, "part", "classes", parts.count()).select("cid", "copies", "component_id"))
-    slim = scratch.write(rows.select("doc_id", F.col("n").alias("n_shingles"), "cid", "row_key"))
     scratch.keep(named, slim)
     shown = ["doc_id", "n_shingles", "component_id", "row_key"]
     grouped_rows = join_facts(slim.where("cid is not null"), named, "cid", "copies", total).select(shown)
