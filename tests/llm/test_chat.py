@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -30,3 +31,35 @@ def test_parts(spark):
     assert [(a.number, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "a.png", 512), (1, "audio", "b.wav", 38), (2, "document", "c.pdf", 600)]
     assert r.attachment_tokens == 1150
     assert rows(chat.read_chat(made), "loss_text") == [("ok",)]
+
+
+def _of(spark, turns):
+    made = spark.range(turns).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"))
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"), F.lit("r").alias("ref"), F.lit(1.0).alias("units"))
+    return made.withColumn("parts", F.array(part("text", F.concat(F.lit("word "), F.col("turn").cast("string"))), part("image", F.lit(None).cast("string"))))
+
+
+def test_long_conversation(spark):
+    made = chat.format_chat(_of(spark, 20_000))
+    r = chat.read_chat(made).first()
+    assert len(r.turns) == 20_000 and r.turns[19_999].text == "word 19999"
+    assert r.loss_text == "".join(f"word {k}" for k in range(1, 20_000, 2))
+    assert [a.number for a in made.first().attachments] == list(range(20_000))
+
+
+def test_time_grows_with_turns(spark):
+    def seconds(turns):
+        began = time.time()
+        chat.chat_digests(chat.format_chat(_of(spark, turns))).collect()
+        return time.time() - began
+
+    seconds(1_000)
+    assert seconds(80_000) < 8 * max(1, seconds(20_000))  # 16 times, if each turn were counted from the first
+
+
+def test_many_parts_in_a_turn(spark):
+    parts = [("text", f"t{k}", None, None) if k % 2 else ("audio", None, f"a{k}", 1.0) for k in range(9_999)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts), (1, 1, "user", [("image", None, "x", 1.0)])], "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,units:double>>")
+    made = chat.format_chat(df).first()
+    assert made.attachments[-1].number == 5_000 and made.formatted.endswith("<|image:5000|><|end|>") and made.attachment_tokens == 5_000 * 25 + 256
+    assert chat.read_chat(chat.format_chat(df)).first().loss_text == "".join(f"t{k}" for k in range(1, 9_999, 2))

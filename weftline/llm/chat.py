@@ -12,7 +12,7 @@ for each turn. Inside roles and texts every control string is escaped, so that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -40,14 +40,13 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("units")))
 
 
-def _attachments(turns: Column, rates: dict[str, float]) -> Column:
-    """Parts other than text, in order, with number, reference and tokens: units (1 if null) times the type's rate, rounded up."""
-    parts = F.filter(F.flatten(F.transform(turns, lambda t: t["parts"])), lambda p: p["type"].isin(*rates))
-    rate = lambda p: F.element_at(F.create_map(*(F.lit(x) for kv in rates.items() for x in kv)), p["type"])
-    return F.transform(
-        parts,
-        lambda p, i: F.struct(i.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), F.ceil(F.greatest(F.coalesce(p["units"], F.lit(1.0)), F.lit(0.0)) * rate(p)).cast("long").alias("tokens")),
-    )
+def _before(order: str | list[str]) -> WindowSpec:
+    """The rows of a conversation that come before a row."""
+    return Window.partitionBy("conv_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _joined(pieces: Column, name: str) -> Column:
+    return F.array_join(F.transform(pieces, lambda p: p[name]), "")
 
 
 def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", rates: dict[str, float] | None = None, loss_role: str = "assistant") -> DataFrame:
@@ -59,10 +58,11 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     unknown type are read as text. All rows of a null conv_id are one
     conversation. loss_spans are [start, length] in code points, from 0, of the
     content of turns of loss_role. An empty table gives no rows. A conversation
-    is one output row, so it must fit in a task, as any Spark row must.
+    is one output row, so it must fit in a task, as any Spark row must; the time
+    it takes grows with its turns and parts, but for their sorting: numbers and
+    places are running sums over rows that stay where the conversation was gathered.
     """
     rates = rates or ATTACHMENTS
-    kinds = list(rates)
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.struct(
@@ -72,53 +72,64 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         ).alias("t"),
     )
     conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    conv = conv.withColumn("attachments", _attachments(F.col("turns"), rates))
-    # number of attachments before each turn
-    counts = F.transform("turns", lambda t: F.size(F.filter(t["parts"], lambda p: p["type"].isin(*kinds))))
-    conv = conv.withColumn("counts", F.when(F.size("attachments") == 0, F.transform("turns", lambda t: F.lit(0))).otherwise(F.transform("turns", lambda t, i: F.aggregate(F.slice(counts, 1, i), F.lit(0), lambda a, x: a + x))))
-
-    def content(parts: Column, before: Column) -> Column:
-        nth = lambda i: before + F.size(F.filter(F.slice(parts, 1, i), lambda p: p["type"].isin(*kinds)))
-        return F.array_join(
-            F.transform(
-                parts,
-                lambda p, i: F.when(p["type"].isin(*kinds), F.concat(F.lit("<|"), p["type"], F.lit(":"), nth(i).cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit("")))),
-            ),
-            "",
-        )
-
-    conv = conv.withColumn("bodies", F.zip_with("turns", "counts", lambda t, n: F.struct(t["role"].alias("role"), escape(t["role"]).alias("head"), content(t["parts"], n).alias("body"))))
-    formatted = F.array_join(F.transform("bodies", lambda b: F.concat(F.lit(TURN), b["head"], F.lit(TEXT), b["body"], F.lit(END))), "")
-    fixed = len(TURN) + len(TEXT)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, b: Column) -> Column:
-        at, n = acc["at"] + fixed + F.length(b["head"]), F.length(b["body"]).cast("long")
-        spans = F.when(b["role"] == loss_role, F.concat(acc["spans"], F.array(F.struct(at.alias("start"), n.alias("length"))))).otherwise(acc["spans"])
-        return F.struct((at + n + len(END)).alias("at"), spans.alias("spans"))
-
-    return conv.select(
-        "conv_id",
-        formatted.alias("formatted"),
-        F.aggregate("bodies", start, step, lambda acc: acc["spans"]).alias("loss_spans"),
-        "attachments",
-        F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("attachment_tokens"),
+    parts = conv.select("conv_id", F.posexplode("turns").alias("i", "t")).select("conv_id", "i", F.col("t.role").alias("role"), F.posexplode_outer("t.parts").alias("j", "part"))
+
+    attached = F.coalesce(F.col("part.type").isin(*rates), F.lit(False))
+    parts = parts.withColumn("number", F.coalesce(F.sum(attached.cast("long")).over(_before(["i", "j"])), F.lit(0).cast("long")))
+    rate = F.element_at(F.create_map(*(F.lit(x) for kv in rates.items() for x in kv)), F.col("part.type"))
+    tokens = F.ceil(F.greatest(F.coalesce("part.units", F.lit(1.0)), F.lit(0.0)) * rate).cast("long")
+    placeholder = F.concat(F.lit("<|"), F.col("part.type"), F.lit(":"), F.col("number").cast("string"), F.lit("|>"))
+    written = F.when(attached, placeholder).otherwise(escape(F.coalesce("part.text", F.lit(""))))
+    said = parts.groupBy("conv_id", "i").agg(
+        F.first("role").alias("role"),
+        _joined(F.sort_array(F.collect_list(F.struct("j", written.alias("w")))), "w").alias("body"),
+        F.sort_array(F.collect_list(F.when(attached, F.struct(F.col("number").cast("int").alias("number"), "part.type", "part.ref", tokens.alias("tokens"))))).alias("attachments"),
+    )
+    head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
+    said = said.select("conv_id", "i", "role", "attachments", F.length(head).cast("long").alias("skip"), F.length("body").cast("long").alias("length"), F.concat(head, F.col("body"), F.lit(END)).alias("piece"))
+    start = F.coalesce(F.sum(F.length("piece").cast("long")).over(_before("i")), F.lit(0).cast("long")) + F.col("skip")
+    span = F.when(F.col("role") == loss_role, F.struct("start", "length"))
+    chats = said.withColumn("start", start).groupBy("conv_id").agg(
+        _joined(F.sort_array(F.collect_list(F.struct("i", "piece"))), "piece").alias("formatted"),
+        F.sort_array(F.collect_list(span)).alias("loss_spans"),
+        F.sort_array(F.flatten(F.collect_list("attachments"))).alias("attachments"),
     )
+    return chats.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
 
 
 def read_chat(chats: DataFrame) -> DataFrame:
-    """conv_id, turns (role and text, placeholders left out), loss_text and formatted_chars, read back from formatted and loss_spans."""
+    """conv_id, turns (role and text, placeholders left out), loss_text and formatted_chars, read back from formatted and loss_spans.
+
+    formatted falls into pieces, one for each turn, whose places are the running
+    sum of the lengths before them; a span is read from the last piece that does
+    not begin after it, so that no span is sought from the start of the string.
+    A row of chats is one conversation; a span lies within a turn.
+    """
     quoted = lambda s: s.replace("|", r"\|")
     holder = r"<\|[a-z]+:\d+\|>"
     pieces = F.filter(F.split("formatted", quoted(END)), lambda p: F.startswith(p, F.lit(TURN)))
-
-    def turn(p: Column) -> Column:
-        role = F.substring_index(F.substring(p, len(TURN) + 1, 2**31 - 1), TEXT, 1)
-        body = F.substring(p, F.length(role) + len(TURN) + len(TEXT) + 1, F.length(p))
-        return F.struct(unescape(role).alias("role"), unescape(F.regexp_replace(body, holder, "")).alias("text"))
-
-    loss = F.transform("loss_spans", lambda s: unescape(F.regexp_replace(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")), holder, "")))
-    return chats.select("conv_id", F.transform(pieces, turn).alias("turns"), F.array_join(loss, "").alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("long")
+    marks = F.concat(
+        F.transform(pieces, lambda p: F.struct(p.alias("piece"), no_number.alias("start"), no_number.alias("length"))),
+        F.transform("loss_spans", lambda s: F.struct(no_text.alias("piece"), s["start"].cast("long").alias("start"), s["length"].cast("long").alias("length"))),
+    )
+    sized = chats.withColumn("formatted_chars", F.length("formatted").cast("long"))  # once for each conversation, not for each mark
+    rows = sized.select("conv_id", "formatted_chars", F.posexplode_outer(marks).alias("k", "m")).select("conv_id", "formatted_chars", "k", "m.*")
+    held = F.sum(F.length("piece").cast("long") + len(END)).over(_before("k"))
+    rows = rows.withColumn("at", F.coalesce("start", held, F.lit(0).cast("long")))
+    under = Window.partitionBy("conv_id").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("under", F.last(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")), ignorenulls=True).over(under))
+
+    role = F.substring_index(F.substring("piece", len(TURN) + 1, 2**31 - 1), TEXT, 1)
+    body = F.substring("piece", F.length(role) + len(TURN) + len(TEXT) + 1, F.length("piece"))
+    text = lambda c: unescape(F.regexp_replace(c, holder, ""))
+    loss = text(F.substring(F.col("under.piece"), (F.col("start") - F.col("under.at") + 1).cast("int"), F.col("length").cast("int")))
+    read = rows.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("k", unescape(role).alias("role"), text(body).alias("text"))))).alias("turns"),
+        _joined(F.sort_array(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("k", loss.alias("loss"))))), "loss").alias("loss_text"),
+        F.first("formatted_chars").alias("formatted_chars"),
+    )
+    return read.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), "loss_text", "formatted_chars")
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:
