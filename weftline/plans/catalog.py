@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import calibration, comparison, evaluation, intervals, modeling, records, series, views
+from weftline.plans import calibration, comparison, evaluation, intervals, modeling, publishing, records, series, views
 
-MODULES = (series, evaluation, views, comparison, calibration, intervals, modeling, records)
+MODULES = (series, evaluation, views, comparison, calibration, intervals, modeling, records, publishing)
 
 
 def queries() -> dict:
