@@ -84,3 +84,21 @@ def test_stretches_equal_brute_force():
                 if whole and max(sum(weights[max(a, s) : min(b, s + WINDOW)]) for s in range(a - WINDOW + 1, b)) >= least:
                     want.add((a, b))
         assert set(stretches(weights, least)) == want
+
+
+def test_names_that_are_subjects():
+    for name in ("share-price", "related-work", "comment-on-law", "social-policy", "menu-of-the-day", "ad-hoc-networks", "notice_of_motion"):
+        for key in ("class", "id"):
+            assert main_text(f'<article><p>Before.</p><div {key}="{name}"><p>Of the matter.</p></div><p>After.</p></article>') == "Before. Of the matter. After."
+        assert main_text(f'<body><div class="{name}"><p>Of the matter.</p></div></body>') == "Of the matter."
+    for name in ("share-buttons", "related posts", "related-posts", "comments-section", "social_links", "menu-2", "ad", "ad-slot-3", "google-ads", "cookie-law-info", "promo-banner", "responses", "reader-responses", "alertbox"):
+        assert main_text(f'<article><p>Before.</p><div class="{name}"><p>Not this.</p></div><p>After.</p></article>') == "Before. After."
+        assert main_text(f'<body><div class="{name}"><p>Not this.</p></div><p>But this.</p></body>') == "But this."
+
+
+def test_names_around_an_article():
+    talk = "<p>" + "</p><p>".join(["A reader says a lot about it, and at length."] * 9) + "</p>"
+    for name in ("discussion", "legal", "privacy", "site-legal", "alertbox", "responses"):
+        assert main_text(f'<body><article><p>Short news.</p></article><section id="{name}">{talk}</section></body>') == "Short news."
+    assert main_text(f'<article><p>Method.</p><section id="discussion">{talk}</section></article>').count("at length") == 9
+    assert main_text('<body><main id="legal"><p>Terms.</p></main></body>') == "Terms."

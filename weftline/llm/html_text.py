@@ -41,10 +41,17 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _DROPPED = frozenset("script style noscript template svg math canvas iframe object audio video map head title nav footer aside form button select textarea input datalist menu dialog header".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login share sharing social comment comments disqus reply replies related recommended widget widgets toolbar pagination pager".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login share sharing social comment comments responses disqus reply replies alertbox related recommended widget widgets toolbar pagination pager".split()
 )
 #: Of these, what holds no article of its own.
 _CERTAIN = _WORDS - frozenset("sidebar sidebars menu menus nav navbar navigation header masthead topbar banner modal popup share sharing social widget widgets toolbar".split())
+#: These are subjects of articles too: they say so only alone or beside words of page layout (``share-price`` does not, ``share-box`` does).
+_SUBJECTS = frozenset("ad ads banner comment comments consent header login menu menus navigation notice notices promotion related recommended reply replies responses share sharing social sponsor sponsors".split())
+_LAYOUT = frozenset(
+    "area bar block body bottom box btn button buttons card cards col column container content count desktop entry entries fixed form global grid group holder icon icons inline inner item items label large left link links list main mobile module native outer page panel post posts primary reader readers right row secondary section site slot small sticky stories story tab text thread tile title toggle tools top unit user users video wrap wrapper wrapping articles google leaderboard".split()
+)
+#: Outside articles these name parts around them, inside they are parts of their own.
+_OUTSIDE = frozenset("discussion disclaimer legal privacy terms".split())
 _UNLESS = frozenset("has with no not without".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCES = frozenset("article main section div table ul ol dl body td th li aside nav".split())
@@ -78,8 +85,12 @@ def _hinted(name: str, attributes: str, inside: bool = False) -> int:
                 bits = {word} if name in ("article", "main") else set(re.split(r"[^a-z0-9]+", word)) - {""}
                 if name in _PLAIN and not bits <= _WORDS or inside and bits & _OWN and not bits & (_WORDS - _OWN):
                     continue
-                if bits & _WORDS and not bits & _UNLESS:
-                    found = max(found, 2 if bits & _CERTAIN else 1)
+                said = bits & (_WORDS if inside or name in ("article", "main") else _WORDS | _OUTSIDE)
+                if not said or bits & _UNLESS:
+                    continue
+                if said <= _SUBJECTS | _OUTSIDE and any(not b.isdigit() for b in bits - _WORDS - _OUTSIDE - _LAYOUT):
+                    continue
+                found = max(found, 2 if said & _CERTAIN else 1)
     return found
 
 
