@@ -68,3 +68,15 @@ def test_removal_and_empty_tables(spark):
     assert cut == " ".join([*words(1000, 5), "end"])
     assert dc.contamination_report(d, i.limit(0)).where("contaminated or n_hit > 0").count() == 0
     assert dc.contamination_report(d.limit(0), i).count() == 0
+
+
+def test_all_columns_stay(spark):
+    docs, items = case()
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as _spans", "2 as _spans_0", "3 as __spans_1", "4 as _n_words")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    bad = {r[0] for r in brute(docs, items) if r[5]}
+    for options in ({}, {"shard_words": 30}, {"cut": True}):
+        kept = dc.decontaminate(d, i, **options)
+        assert kept.columns == d.columns
+        assert {tuple(r)[:1] + tuple(r)[2:] for r in kept.collect()} == {(k, 1, 2, 3, 4) for k, _ in docs if k not in bad}
+    assert {r["_spans_0"] for r in dc.find_spans(d, i, shard_words=30).collect()} == {2}

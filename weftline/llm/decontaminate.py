@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.common import free_name
+
 #: Fixed by the contract: words are runs of anything but ASCII other than letters and digits.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -230,22 +232,24 @@ def find_spans(
     item_text_col: str = "text",
     window: int = WINDOW,
     shard_words: int = 2_000_000,
+    spans_col: str = "_spans",
 ) -> DataFrame:
-    """docs with a struct column ``_spans``: word count, starts and ends of the hit spans in words, ids of the items.
+    """docs with a struct column spans_col: word count, starts and ends of the hit spans in words, ids of the items.
 
     Null and empty texts have no words. Items without words match nothing; null
     item ids cause hits but are not listed. Repeated rows are judged alike. All
-    columns of docs stay; a column named ``_spans`` in docs is replaced. An empty
-    items table gives no hits, an empty docs table no rows.
+    columns of docs stay, but for one named like spans_col, which is replaced. An
+    empty items table gives no hits, an empty docs table no rows. A long text is one
+    row's work, in a time that grows with its length.
     """
-    out = docs.drop("_spans")
+    out = docs.drop(spans_col)
     names = []
     for k, shard in enumerate(_shards(items, item_col, item_text_col, shard_words)):
-        names.append(f"_spans_{k}")
+        names.append(free_name(docs, f"_spans_{k}"))
         scan = _scanner(docs.sparkSession.sparkContext.broadcast(SuffixAutomaton.build(shard, window)))
         out = out.withColumn(names[-1], scan(F.col(text_col).cast("string")))
     merged = F.col(names[0]) if len(names) == 1 else _merged(names)
-    return out.withColumn("_spans", merged).drop(*names)
+    return out.withColumn(spans_col, merged).drop(*names)
 
 
 def _merged(names: list[str]) -> Column:
@@ -288,15 +292,18 @@ def contamination_report(docs: DataFrame, items: DataFrame, doc_col: str = "doc_
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", coverage: int = COVERAGE, cut: bool = False, **options) -> DataFrame:
     """docs without the contaminated ones; with cut, the hit spans of the others are removed from their texts too.
 
-    A cut text keeps its other words, lower-cased and joined by one space.
+    A cut text keeps its other words, lower-cased and joined by one space. Columns of
+    docs stay, whatever their names; nulls, repeated rows and empty tables as in
+    ``find_spans``.
     """
-    found = find_spans(docs, items, text_col=text_col, **options)
-    r = F.col("_spans")
+    name = free_name(docs, "_spans")
+    found = find_spans(docs, items, text_col=text_col, spans_col=name, **options)
+    r = F.col(name)
     hit = F.aggregate(F.zip_with(r["_ends"], r["_starts"], lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     kept = found.where(~((hit > 0) & (coverage * hit >= r["_n_words"])))
     if cut:
         kept = kept.withColumn(text_col, F.when(hit > 0, _cut(F.col(text_col), r["_starts"], r["_ends"])).otherwise(F.col(text_col)))
-    return kept.drop("_spans")
+    return kept.drop(name)
 
 
 @F.arrow_udf(T.StringType())
