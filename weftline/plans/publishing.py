@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from weftline.functions.shared import shared_dir
-from weftline.operators import export
+from weftline.functions.scalar import half_up
+from weftline.operators import export, status
 from weftline.plans.evaluation import _FORECASTS, forecasts, settlements
 from weftline.plans.reference_sql import chain
+from weftline.plans.reference_sql import half_up as h
 from weftline.sources import bars as source
 from weftline.sources import paging
 
@@ -72,3 +74,43 @@ def public_export(spark, sf_dir):
         F.col("integrity.forecast_head").alias("forecast_head"),
         F.col("integrity.settlement_head").alias("settlement_head"),
     )
+
+
+_TAIL = "least(f.predicted / 20e0, 1e0)"
+
+
+@query(
+    "ledger_status",
+    chain("ind", "lab", more=_FORECASTS | {
+        "b": "SELECT forecast_id, floor(predicted * 0.95e0 * 1e6 + 0.5) / 1e6 AS atr_baseline, floor(predicted * 1.1e0 * 1e6 + 0.5) / 1e6 AS last_range FROM f WHERE day(as_of) % 2 = 0",
+        "p": f"SELECT s.*, {_TAIL} AS tail, s.actual > f.high80 AS event, atr_baseline, last_range FROM s JOIN f ON f.forecast_id = s.forecast_id LEFT JOIN b ON b.forecast_id = s.forecast_id",
+        "l": "SELECT CASE WHEN predicted >= 3 THEN 'storm' ELSE 'calm' END AS grade, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY as_of DESC, forecast_id) AS k FROM f) WHERE k = 1 GROUP BY grade",
+    })
+    + f"""SELECT (SELECT count(*) FROM f) AS forecasts, (SELECT count(*) FROM b) AS benchmarks, (SELECT count(*) FROM s) AS settlements, (SELECT count(*) FROM f) - (SELECT count(*) FROM s) AS unsettled,
+(SELECT count(DISTINCT asset) FROM f) AS latest_assets, (SELECT string_agg(grade || '=' || n, ',' ORDER BY grade) FROM l) AS grades, count(*) AS settled, {h('avg(abs(actual - predicted))', 6)} AS range_mae,
+{h('avg(CAST(covered50 AS INT))', 6)} AS coverage50, {h('avg(CAST(covered80 AS INT))', 6)} AS coverage80, {h('avg((CAST(event AS INT) - tail) * (CAST(event AS INT) - tail))', 6)} AS tail_brier,
+{h('avg(abs(actual - atr_baseline))', 6)} AS atr_baseline_mae, {h('avg(abs(actual - last_range))', 6)} AS last_range_mae FROM p""",
+)
+def ledger_status(spark, sf_dir):
+    """State of all ledgers; benchmarks are registered on even days, the outcome is a tail event above the outer bound."""
+    made, done = forecasts(spark, sf_dir), settlements(spark, sf_dir)
+    scaled = lambda k, name: half_up(F.col("predicted") * k, 6).alias(name)
+    registered = made.where(F.day("as_of") % 2 == 0).select("forecast_id", scaled(0.95, "atr_baseline"), scaled(1.1, "last_range"))
+    graded = made.withColumns({"tail_probability": F.least(F.col("predicted") / 20.0, F.lit(1.0)), "grade": F.when(F.col("predicted") >= 3, "storm").otherwise("calm")})
+    judged = done.join(made.select("forecast_id", "high80"), "forecast_id").withColumn("tail_event", F.col("actual") > F.col("high80"))
+    grades = F.array_join(F.transform(F.map_entries("latest_grades"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return status.ledger_status(graded, registered, judged).withColumn("grades", grades).drop("latest_grades")
+
+
+@query(
+    "dashboard_quotes",
+    chain("bars")
+    + f"""SELECT m.asset AS asset, CASE WHEN c.n >= 2 THEN 'live' ELSE 'error' END AS status, CASE WHEN c.n >= 2 THEN least(c.n, 6) ELSE 0 END AS n_candles, CASE WHEN c.n >= 2 THEN c.last END AS price,
+CASE WHEN c.n >= 2 THEN {h('(c.last - c.prev) / c.prev * 100e0', 6)} END AS day_change FROM (SELECT DISTINCT l_returnflag || l_linestatus AS asset FROM lineitem UNION SELECT DISTINCT o_orderstatus FROM orders) m
+LEFT JOIN (SELECT asset, count(*) AS n, max(CASE WHEN k = 1 THEN CAST(close AS DOUBLE) END) AS last, max(CASE WHEN k = 2 THEN CAST(close AS DOUBLE) END) AS prev FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date DESC) AS k FROM bars) GROUP BY asset) c ON c.asset = m.asset""",
+)
+def dashboard_quotes(spark, sf_dir):
+    """Quotes of all series and of the states of orders, which have no bars."""
+    named = source.read(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("asset")).unionByName(source.read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("asset"))).distinct()
+    got = status.dashboard_quotes(named, source.daily_bars(spark, sf_dir).withColumn("close", F.col("close").cast("double")))
+    return got.select("asset", "status", F.size("candles").cast("long").alias("n_candles"), "price", "day_change")
