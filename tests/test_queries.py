@@ -20,6 +20,7 @@ CHECKED = [
     "contract_breaks", "registered_benchmarks", "situation_texts", "stations", "pulse_bars", "time_buckets", "symbol_texts", "symbol_aliases", "score_quotes", "paged_history", "cached_series", "rows_by_source", "digested_texts", "visible_rows",
     "chart_payload", "stream_hourly", "stream_settle", "cutoff_quantiles", "interval_pass_rates", "ridge_tape", "frozen_tape", "cohort_bundle", "score_parity", "split_by_bounds", "stream_forecasts",
     "ledger_segments", "segment_breaks", "ledger_appends", "snapshot_build", "benchmark_registration", "canonical_hashes", "score_texts", "truncation_check",
+    "paged_source", "public_export", "ledger_status", "dashboard_quotes", "weather_report", "live_bars",
 ]
 
 

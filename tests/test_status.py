@@ -2,7 +2,8 @@ import datetime
 
 import pytest
 
-from weftline.operators import status
+from weftline.operators import comparison, status
+from weftline.sources import bars
 
 FORECAST = "forecast_id string, asset string, as_of date, predicted double, tail_probability double, grade string"
 BENCHMARK = "forecast_id string, atr_baseline double, last_range double"
@@ -30,9 +31,25 @@ def test_status_of_empty_ledgers(spark):
 
 def test_quotes(spark):
     markets = spark.createDataFrame([("A", "x"), ("B", "y"), ("C", "z"), (None, "n"), ("D", "w")], "asset string, status string").withColumnRenamed("status", "label")
-    bars = [("A", day(k), 1.0, 2.0, 0.5, float(k)) for k in range(1, 10)] + [("B", day(1), 1.0, 1.0, 1.0, 1.0), ("D", day(1), 0.0, 0.0, 0.0, 0.0), ("D", day(2), 1.0, 1.0, 1.0, 1.0), ("E", day(1), 1.0, 1.0, 1.0, 1.0)]
-    got = {r.asset: r for r in status.dashboard_quotes(markets, spark.createDataFrame(bars, "asset string, date date, open double, high double, low double, close double")).collect()}
+    rows = [("A", day(k), 1.0, 2.0, 0.5, float(k)) for k in range(1, 10)] + [("B", day(1), 1.0, 1.0, 1.0, 1.0), ("D", day(1), 0.0, 0.0, 0.0, 0.0), ("D", day(2), 1.0, 1.0, 1.0, 1.0), ("E", day(1), 1.0, 1.0, 1.0, 1.0)]
+    got = {r.asset: r for r in status.dashboard_quotes(markets, spark.createDataFrame(rows, "asset string, date date, open double, high double, low double, close double")).collect()}
     assert sorted(got, key=str) == ["A", "B", "C", "D", None]
     assert [c.date.day for c in got["A"].candles] == [4, 5, 6, 7, 8, 9] and (got["A"].price, got["A"].day_change, got["A"].status, got["A"].label) == (9.0, 12.5, "live", "x")
     assert all((got[k].candles, got[k].price, got[k].day_change, got[k].status) == ([], None, None, "error") for k in ("B", "C", None))
     assert (got["D"].price, got["D"].day_change, got["D"].status) == (1.0, None, "live")
+
+
+def test_all_grades_are_listed(spark):
+    rows = [("calm", "normal", 2.0, 1.0, 0), ("calm", "storm", 4.0, 0.0, 1), ("storm", "storm", 6.0, 2.0, 1), (None, "calm", 1.0, 1.0, 0)]
+    df = spark.createDataFrame(rows, "g string, a string, y double, m double, e int")
+    got = {r.grade: r for r in comparison.weather_report(df, "g", "a", "y", "m", "e").collect()}
+    assert sorted(got) == ["calm", "normal", "rough", "storm"]
+    c = got["calm"]
+    assert (c.rows, c.mean_actual, c.exact, c.within_one, c.event_rate, c.mean_prior_ratio, c.share) == (2, 3.0, 0.0, 0.5, 0.5, 2.0, 0.5)
+    assert (got["rough"].rows, got["rough"].share, got["rough"].exact) == (0, None, None)
+    assert {r.rows for r in comparison.weather_report(df.limit(0), "g", "a", "y", "m", "e").collect()} == {0}
+
+
+def test_live(spark):
+    df = spark.createDataFrame([("A", k) for k in range(5)] + [("B", 1), ("B", 2), (None, 3)], "asset string, date int")
+    assert sorted(map(tuple, bars.live(df, 3, 3).collect()), key=str) == [("A", 2, "live"), ("A", 3, "live"), ("A", 4, "live"), ("B", 1, "mock"), ("B", 2, "mock"), (None, 3, "mock")]

@@ -40,8 +40,8 @@ def macro(rows: DataFrame, *columns: str) -> DataFrame:
     return rounded(rows.agg(F.count("*").alias("groups"), *(F.avg(c).alias(c) for c in columns)))
 
 
-def grade_hits(rows: DataFrame, predicted: str, actual_grade: str, actual: str, event: str) -> DataFrame:
-    """Per predicted grade: rows and their share, mean and median of the actual value, the shares of exact and within-one grades, and the event rate. Grades without rows are not listed."""
+def grade_hits(rows: DataFrame, predicted: str, actual_grade: str, actual: str, event: str, *more: Column) -> DataFrame:
+    """Per predicted grade: rows and their share, mean and median of the actual value, the shares of exact and within-one grades, the event rate, and more aggregates. Grades without rows are not listed."""
     order = lambda c: F.array_position(F.array(*(F.lit(g) for g in GRADES)), F.col(c))
     got = rows.groupBy(predicted).agg(
         F.count("*").alias("rows"),
@@ -50,11 +50,24 @@ def grade_hits(rows: DataFrame, predicted: str, actual_grade: str, actual: str,
         F.avg((order(predicted) == order(actual_grade)).cast("int")).alias("exact"),
         F.avg((F.abs(order(predicted) - order(actual_grade)) <= 1).cast("int")).alias("within_one"),
         F.avg(F.col(event).cast("int")).alias("event_rate"),
+        *more,
     )
     total = got.agg(F.sum("rows").alias("_all"))
     return rounded(got.crossJoin(F.broadcast(total)).withColumn("share", F.col("rows") / F.col("_all")).drop("_all"))  # total has one row
 
 
+def weather_report(rows: DataFrame, predicted: str, actual_grade: str, actual: str, prior: str, event: str) -> DataFrame:
+    """All four grades from calm to storm: what ``grade_hits`` has of each, and the mean ratio of the actual value to the median before it.
+
+    A grade without rows has 0 rows and nulls; rows of no grade count for the shares
+    only; a prior median of 0 or null has no ratio.
+    """
+    mean_ratio = F.avg(F.try_divide(F.col(actual), F.col(prior))).alias("mean_prior_ratio")
+    got = grade_hits(rows, predicted, actual_grade, actual, event, mean_ratio).withColumnRenamed(predicted, "grade")
+    grades = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, GRADES))).alias("grade"))
+    return grades.join(got, "grade", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+
+
 def storm_report(rows: DataFrame, alert: Column, event: Column, *keys: str) -> DataFrame:
     """Per keys: confusion of alerts and events, precision and recall with 95% Wilson intervals, F1, specificity, base rate and lift; null where a denominator is 0."""
     n = lambda c, name: F.count_if(c).alias(name)

@@ -68,7 +68,7 @@ def _judged(spark, sf_dir):
     outcomes = panel_rows(spark, sf_dir).select("asset", "date", "next_true_range")
     panel = with_trailing(outcomes, [Rank("_rank", "next_true_range", "next_true_range")]).where("_rank is not null")
     rank = half_up(F.col("_rank"), 6)
-    return rows.select("asset", "date", "grade", "high_event", "next_true_range").join(panel.select("asset", "date", weather_grade(rank).alias("actual_grade")), ["asset", "date"])
+    return rows.select("asset", "date", "grade", "high_event", "prior_median", "next_true_range").join(panel.select("asset", "date", weather_grade(rank).alias("actual_grade")), ["asset", "date"])
 
 
 @query(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.shared import shared_dir
 from weftline.functions.scalar import half_up
-from weftline.operators import export, status
+from weftline.operators import comparison, export, status
+from weftline.plans.comparison import _HITS, _judged
 from weftline.plans.evaluation import _FORECASTS, forecasts, settlements
 from weftline.plans.reference_sql import chain
 from weftline.plans.reference_sql import half_up as h
@@ -114,3 +115,24 @@ def dashboard_quotes(spark, sf_dir):
     named = source.read(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("asset")).unionByName(source.read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("asset"))).distinct()
     got = status.dashboard_quotes(named, source.daily_bars(spark, sf_dir).withColumn("close", F.col("close").cast("double")))
     return got.select("asset", "status", F.size("candles").cast("long").alias("n_candles"), "price", "day_change")
+
+
+_PRIOR = {"a3": "SELECT w.grade AS grade, a1.y AS y, w.high_event AS event, w.prior_median AS pm, list_position(['calm', 'normal', 'rough', 'storm'], w.grade) AS o, CASE WHEN ar < 25 THEN 1 WHEN ar < 75 THEN 2 WHEN ar < 90 THEN 3 ELSE 4 END AS ao FROM w JOIN a1 USING (asset, date)"}
+
+
+@query(
+    "weather_report",
+    chain("panel", more=_HITS | _PRIOR)
+    + f"""SELECT g.grade AS grade, count(y) AS rows, {h('avg(y)', 6)} AS mean_actual, {h('quantile_cont(y, 0.5)', 6)} AS median_actual, {h('avg(CAST(o = ao AS INT))', 6)} AS exact, {h('avg(CAST(abs(o - ao) <= 1 AS INT))', 6)} AS within_one,
+{h('avg(event)', 6)} AS event_rate, {h('avg(y / nullif(pm, 0))', 6)} AS mean_prior_ratio, CASE WHEN count(y) > 0 THEN {h('count(y) / CAST((SELECT count(*) FROM a3) AS DOUBLE)', 6)} END AS share FROM (SELECT unnest(['calm', 'normal', 'rough', 'storm']) AS grade) g LEFT JOIN a3 ON a3.grade = g.grade GROUP BY g.grade""",
+)
+def weather_report(spark, sf_dir):
+    """Hits of every grade, those never forecast included."""
+    return comparison.weather_report(_judged(spark, sf_dir), "grade", "actual_grade", "next_true_range", "prior_median", "high_event")
+
+
+@query("live_bars", "SELECT event_id, user_id, CASE WHEN count(*) OVER (PARTITION BY user_id) < 20 THEN 'mock' ELSE 'live' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 96")
+def live_bars(spark, sf_dir):
+    """The last 96 events of each user; fewer than 20 are not enough."""
+    events = source.read(spark, sf_dir, "events").select("event_id", "user_id")
+    return source.live(events, 96, 20, key="user_id", time="event_id")

@@ -66,3 +66,9 @@ def recent(bars: DataFrame, n: int, key: str = "asset", time: str = "date") -> D
     """The last n bars of each asset."""
     w = Window.partitionBy(key).orderBy(F.desc(time))
     return bars.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def live(bars: DataFrame, n: int, least: int, key: str = "asset", time: str = "date") -> DataFrame:
+    """The last n bars of each asset with status: ``live``, or ``mock`` where these are fewer than least, so that a stand-in is to be used."""
+    held = F.count("*").over(Window.partitionBy(key))
+    return recent(bars, n, key, time).withColumn("status", F.when(held < least, "mock").otherwise("live"))
