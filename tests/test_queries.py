@@ -1,12 +1,18 @@
 """Registered queries against SQL on the smallest tables."""
 
+import builtins
+import dis
+import importlib
 import math
 import os
+import pkgutil
+import types
 
 import duckdb
 import pytest
 
 import __spark_entry__
+import weftline
 from weftline.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +67,26 @@ def test_every_sql_has_a_query():
 def test_entry(spark):
     if os.path.isdir(SF):
         assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_shifted_probability_equals_sql(spark, tables):
+    got = plain(catalog.queries()["shifted_probability"](spark, SF).toPandas())
+    assert got and got == plain(tables.sql(catalog.oracle_sql()["shifted_probability"]).df())
+
+
+def functions(code):
+    """A module's code object and those of all functions in it."""
+    yield code
+    for c in code.co_consts:
+        if isinstance(c, types.CodeType):
+            yield from functions(c)
+
+
+@pytest.mark.parametrize("name", [m.name for m in pkgutil.walk_packages(weftline.__path__, "weftline.")])
+def test_functions_name_what_exists(name):
+    """A name that is not imported fails when its query runs, and not all queries run here."""
+    module = importlib.import_module(name)
+    with open(module.__file__, encoding="utf-8") as f:
+        code = compile(f.read(), module.__file__, "exec")
+    used = {i.argval for c in functions(code) for i in dis.get_instructions(c) if i.opname == "LOAD_GLOBAL"}
+    assert not {n for n in used if not hasattr(module, n) and not hasattr(builtins, n)}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalar
 from weftline.functions.scalar import half_up, weather_grade
-from weftline.operators import audit, comparison, joins, ledger, models, rules
+from weftline.operators import audit, comparison, indicators, joins, ledger, models, rules
 from weftline.operators.trailing import Rank, with_trailing
 from weftline.plans.evaluation import _FORECASTS, _GRADES, _graded, settlements
 from weftline.plans.reference_sql import chain
